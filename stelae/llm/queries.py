@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, quality, robust, secrets, simhash
-from .common import table
+from . import bpe, chat, decontaminate, pii, quality, robust, rollup, secrets, simhash
+from .common import shared_dir, stage, table
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,10 +34,86 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after five batches over all documents: inserts; a move of the languages other than English to the next
+    tokenizer version; that batch again, which changes nothing; revised counts of documents of quality 0, without their
+    symbols; deletes of toxic ones."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    bare = F.translate(F.col("text"), "#*$%&|<>", "")
+    per_doc = docs.select(
+        "doc_id", "source", "lang", *[rollup.tokens(v).alias(v) for v in rollup.VERSIONS], *[rollup.tokens(v, bare).alias(f"{v} bare") for v in rollup.VERSIONS]
+    )
+    counted = stage(per_doc.join(labels, "doc_id", "left"), "token-counts")
+    as_version = lambda df, v, n="n": df.withColumn("tokenizer", F.lit(v)).withColumn(n, F.col(f"`{v}`"))
+    now = F.when(F.col("lang") != "en", "marks-2").otherwise("words-1")
+    at_now = lambda suffix="": F.when(F.col("lang") != "en", F.col(f"`marks-2{suffix}`")).otherwise(F.col(f"`words-1{suffix}`"))
+    moved = counted.where("lang <> 'en'")
+    move = rollup.deletes(as_version(moved, "words-1")).unionByName(rollup.inserts(as_version(moved, "marks-2")))
+    revised = counted.where("quality = 0").withColumn("tokenizer", now).withColumn("n_old", at_now()).withColumn("n", at_now(" bare"))
+    gone = counted.where("toxic = 1").withColumn("tokenizer", now)
+    gone = gone.withColumn("n", F.when(F.col("quality") == 0, at_now(" bare")).otherwise(at_now()))
+    kept = rollup.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    for batch_id, changes in (
+        ("1-insert", rollup.inserts(as_version(counted, "words-1"))),
+        ("2-move", move),
+        ("2-move", move),
+        ("3-revise", rollup.revisions(revised)),
+        ("4-delete", rollup.deletes(gone)),
+    ):
+        kept.commit(batch_id, changes)
+    return kept.totals()
+
+
+_TOKENS_SQL = {
+    "words-1": r"len(regexp_extract_all({}, '[^\x20\x09-\x0D]+'))",
+    "marks-2": r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}\x20\x09-\x0D]'))",
+}
+_OP6_SQL = f"""
+WITH l AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
+d AS (
+  SELECT d.source, d.lang, coalesce(l.toxic, 0) AS toxic,
+    CASE WHEN l.quality = 0 THEN translate(d.text, '#*$%&|<>', '') ELSE d.text END AS t
+  FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id
+)
+SELECT source, lang, CASE WHEN lang <> 'en' THEN 'marks-2' ELSE 'words-1' END AS tokenizer, CAST(count(*) AS BIGINT) AS n_docs,
+  CAST(sum(CASE WHEN lang <> 'en' THEN {_TOKENS_SQL["marks-2"].format("t")} ELSE {_TOKENS_SQL["words-1"].format("t")} END) AS BIGINT) AS n_tokens
+FROM d WHERE toxic <> 1 GROUP BY ALL
+"""
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chat.dialogues(table(spark, sf_dir, "conversations"))
+    masks = F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"])), ",")
+    return made.withColumn("masks", masks)
+
+
+_OP9_SQL = """
+WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS content FROM conversations WHERE conv_id IS NOT NULL),
+seats AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
+parts AS (
+  SELECT s.conv_id, p.perspective, turn, speaker, content, speaker = perspective AS own,
+    '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user name=' || speaker END || chr(10) AS head,
+    CAST(floor(coalesce(turn, 0) / 256) AS BIGINT) AS block
+  FROM said s JOIN seats p ON s.conv_id = p.conv_id
+),
+placed AS (
+  SELECT *, head || content || '<|im_end|>' || chr(10) AS rendered,
+    coalesce(sum(length(head) + length(content) + 11) OVER w, 0) AS before, row_number() OVER w2 AS nth
+  FROM parts
+  WINDOW w AS (PARTITION BY conv_id, perspective, block ORDER BY turn, speaker, content ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    w2 AS (PARTITION BY conv_id, perspective, block ORDER BY turn, speaker, content)
+)
+SELECT conv_id, perspective, block, string_agg(rendered, '' ORDER BY nth) AS rendered,
+  coalesce(string_agg(CAST(before + length(head) AS BIGINT)::VARCHAR || ':' || CAST(before + length(head) + length(content) AS BIGINT)::VARCHAR, ',' ORDER BY nth) FILTER (own), '') AS masks
+FROM placed GROUP BY conv_id, perspective, block
+"""
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.digests(docs, secrets.train(docs))
@@ -40,12 +122,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_decontamination,
         op2_quality_classifier,
         op3_pii,
         op4_simhash,
         op5_quality_rules,
+        op6_token_rollup,
         op8_bpe,
+        op9_chat_rotation,
         op10_secrets,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_token_rollup": _OP6_SQL, "op9_chat_rotation": _OP9_SQL}

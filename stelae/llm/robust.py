@@ -24,7 +24,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 STATS = ("x0", "x1", "x2", "x3", "x4")
 #: Least spread of each transformed statistic: finer differences never make an outlier.
 FLOOR = (0.8, 0.12, 0.08, 0.2, 0.14)
-KEEP, STEPS, LEAST, SHARE = 0.75, 4, 200, 0.9999
+KEEP, STEPS, LEAST, SHARE = 0.75, 4, 200, 0.99999
 BINS, PER_UNIT = 400, 8
 WINDOW = 5
 
