@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, pii, quality, robust, rollup, secrets, simhash
+from . import bpe, chat, decontaminate, passages, pii, quality, robust, rollup, secrets, simhash
 from .common import shared_dir, stage, table
 
 
@@ -82,6 +82,10 @@ FROM d WHERE toxic <> 1 GROUP BY ALL
 """
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -128,6 +132,7 @@ QUERIES = {
         op4_simhash,
         op5_quality_rules,
         op6_token_rollup,
+        op7_passages,
         op8_bpe,
         op9_chat_rotation,
         op10_secrets,
