@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import search
+
+FAMILIES = (search,)
+
+QUERIES: dict = {k: f for m in FAMILIES for k, f in m.query.queries.items()}
+ORACLE_SQL: dict[str, str] = {k: s for m in FAMILIES for k, s in m.query.sql.items()}
