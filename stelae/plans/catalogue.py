@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import search
+from . import relational, search
 
-FAMILIES = (search,)
+FAMILIES = (search, relational)
 
 QUERIES: dict = {k: f for m in FAMILIES for k, f in m.query.queries.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in FAMILIES for k, s in m.query.sql.items()}
