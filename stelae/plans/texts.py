@@ -78,8 +78,8 @@ def id_range_expand(spark, d):
     return T.expand_ids(table(spark, d, "orders").select("o_orderkey", r.alias("r")), "r").select("o_orderkey", "id")
 
 
-_LACUNA = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN left(text, 10) || '[' || substring(text, 11, CAST(doc_id % 9 AS INT)) || ']' || substring(text, 30, 20)
-WHEN 1 THEN '[' || left(text, 5) || ']' WHEN 2 THEN left(text, 8) || '[..]' ELSE left(text, 8) || '[ab] x [cd]' END AS t FROM documents"""
+_LACUNA = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN left(text, 10) || '[' || substring(text, 11, CAST(doc_id % 9 AS INT)) || ']' || substring(text, 30)
+WHEN 1 THEN '[' || text || ']' WHEN 2 THEN text || '[..]' ELSE text || '[ab] x [cd]' END AS t FROM documents"""
 
 
 @query(f"""WITH t AS ({_LACUNA}), f AS (SELECT doc_id, t, regexp_extract_all(t, '\\[([^\\[\\]]*)\\]', 1) AS f FROM t),
@@ -90,10 +90,10 @@ SELECT doc_id, restoration, width, CASE WHEN width = 1 THEN 'w1' WHEN width <= 3
 def lacuna_mine(spark, d):
     k, t = F.col("doc_id") % 4, F.col("text")
     made = (
-        F.when(k == 0, F.concat(F.substring(t, 1, 10), F.lit("["), F.substring(t, F.lit(11), (F.col("doc_id") % 9).cast("int")), F.lit("]"), F.substring(t, 30, 20)))
-        .when(k == 1, F.concat(F.lit("["), F.substring(t, 1, 5), F.lit("]")))
-        .when(k == 2, F.concat(F.substring(t, 1, 8), F.lit("[..]")))
-        .otherwise(F.concat(F.substring(t, 1, 8), F.lit("[ab] x [cd]")))
+        F.when(k == 0, F.concat(F.substring(t, 1, 10), F.lit("["), F.substring(t, F.lit(11), (F.col("doc_id") % 9).cast("int")), F.lit("]"), F.substring(t, F.lit(30), F.length(t))))
+        .when(k == 1, F.concat(F.lit("["), t, F.lit("]")))
+        .when(k == 2, F.concat(t, F.lit("[..]")))
+        .otherwise(F.concat(t, F.lit("[ab] x [cd]")))
     )
     out = table(spark, d, "documents").select("doc_id", T.lacunae(made).alias("l"))
     return out.where("l is not null").select("doc_id", "l.*")
@@ -121,13 +121,11 @@ def _feature_sql() -> str:
 (contains(c, 's')::INT + contains(c, 'ś')::INT + contains(c, 'ξ')::INT + contains(c, 'z')::INT) >= 2 AS three_sibilants,
 contains(c, 'c') AND NOT contains(c, 'k') AND NOT contains(c, 'q') AS c_dominant, regexp_matches(c, '[θφχ]') AS aspirates_frequent,
 regexp_matches(c, 'al(\\s|$)') AS genitive_al, contains(c, 'f') AS f_present, contains(c, 's') AND NOT contains(c, 'ś') AND NOT contains(c, 'ξ') AS simplified_sibilants,
-regexp_matches(c, '[dbgo]') AS latin_influence FROM (SELECT doc_id, lower(substring(text, CAST(doc_id % 50 + 1 AS INT), 12)) AS c FROM documents)"""
+regexp_matches(c, '[dbgo]') AS latin_influence FROM (SELECT doc_id, lower(text) AS c FROM documents)"""
 
 
-def _short(spark, d):
-    """A stretch of each text about as long as an inscription."""
-    c = F.lower(F.substring(F.col("text"), (F.col("doc_id") % 50 + 1).cast("int"), F.lit(12)))
-    return table(spark, d, "documents").select("doc_id", c.alias("c"))
+def _canonical(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.lower("text").alias("c"))
 
 
 def _tags_sql() -> str:
@@ -141,7 +139,7 @@ WHEN archaic = r[1] THEN 'archaic' WHEN classical = r[1] THEN 'classical' ELSE '
 
 @query(_tags_sql())
 def dating_tag_scores(spark, d):
-    return S.dating_tags(_short(spark, d), "doc_id", F.col("c"))
+    return S.dating_tags(_canonical(spark, d), "doc_id", F.col("c"))
 
 
 def _posterior_sql() -> str:
@@ -154,7 +152,7 @@ e AS (SELECT doc_id, bin, exp(s - max(s) OVER (PARTITION BY doc_id)) AS w FROM s
 
 @query(_posterior_sql() + " SELECT doc_id, CAST(bin AS INT) AS bin, CAST(-675 + 50 * bin AS INT) AS year, round(p, 6)::DOUBLE AS p FROM p")
 def bayesian_posterior(spark, d):
-    return S.dating_posterior(_short(spark, d), "doc_id", F.col("c")).withColumn("p", F.round("p", 6))
+    return S.dating_posterior(_canonical(spark, d), "doc_id", F.col("c")).withColumn("p", F.round("p", 6))
 
 
 @query(
@@ -163,7 +161,7 @@ def bayesian_posterior(spark, d):
 SELECT doc_id, CAST(arg_max(year, [p, -bin]) AS INT) AS map_year, CAST(min(year) - 25 AS INT) AS low, CAST(max(year) + 25 AS INT) AS high FROM r WHERE before < 0.95 GROUP BY doc_id"""
 )
 def credible_interval(spark, d):
-    return S.credible_interval(S.dating_posterior(_short(spark, d), "doc_id", F.col("c")), "doc_id")
+    return S.credible_interval(S.dating_posterior(_canonical(spark, d), "doc_id", F.col("c")), "doc_id")
 
 
 VOCABULARY = {"function": ["the", "and", "der", "die", "les"], "abuse": ["stupid", "trash", "scum"], "place": ["ing", "heit", "ción"]}
@@ -199,7 +197,7 @@ def dates_displayed(spark, d):
     return c.select("c_custkey", T.date_display(F.col("y"), F.col("u")).alias("shown"), mid.alias("middle"), half.alias("half"))
 
 
-@query("""SELECT doc_id, concat_ws(' | ', CASE WHEN trim(lang) <> '' THEN 'lang: ' || lang END, CASE WHEN trim(source) <> '' THEN 'source: ' || source END, CASE WHEN trim(text) <> '' THEN 'notes: ' || left(text, 40) END) AS context FROM documents""")
+@query("""SELECT doc_id, concat_ws(' | ', CASE WHEN trim(lang) <> '' THEN 'lang: ' || lang END, CASE WHEN trim(source) <> '' THEN 'source: ' || source END, CASE WHEN trim(text) <> '' THEN 'notes: ' || left(text, 500) END) AS context FROM documents""")
 def embedding_context(spark, d):
     parts = {"lang": F.col("lang"), "source": F.col("source"), "notes": F.col("text")}
-    return table(spark, d, "documents").select("doc_id", T.context_text(parts, {"notes": 40}).alias("context"))
+    return table(spark, d, "documents").select("doc_id", T.context_text(parts, {"notes": 500}).alias("context"))
