@@ -92,15 +92,16 @@ def dating_posterior(df: DataFrame, id_col: str, canonical: Column) -> DataFrame
 
     The log-likelihood of a bin is a sum of constants picked by the features, so it is one expression without a join.
     """
-    f = dating_features(canonical)
+    seen = df.select(id_col, *[F.coalesce(c, F.lit(False)).alias(f"f_{k}") for k, c in dating_features(canonical).items()])
+    f = {k: F.col(f"f_{k}") for k in LIKELIHOODS}
     bins = range(len(next(iter(LIKELIHOODS.values()))))
     floor = lambda p: F.ln(F.lit(max(p, 1e-10)))
     sums = [sum((F.when(f[k], floor(p[b])).otherwise(floor(1 - p[b])) for k, p in LIKELIHOODS.items()), F.lit(0.0)) for b in bins]
-    logs = df.select(id_col, F.array(*sums).alias("l"))
-    logs = logs.select(id_col, F.transform("l", lambda x: F.exp(x - F.array_max("l"))).alias("w"))
-    logs = logs.withColumn("t", F.aggregate("w", F.lit(0.0), lambda a, x: a + x))
-    out = logs.select(id_col, "t", F.posexplode("w").alias("bin", "w"))
-    return out.select(id_col, "bin", (FIRST_BIN + BIN_YEARS * F.col("bin") + BIN_YEARS // 2).alias("year"), (F.col("w") / F.col("t")).alias("p"))
+    # each array of one array binds its element to a name, so that no step is computed again for every bin
+    weights = F.transform(F.array(F.array(*sums)), lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))
+    shares = F.transform(weights, lambda w: F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda a, y: a + y)))
+    out = seen.select(id_col, F.posexplode(shares[0]).alias("bin", "p"))
+    return out.select(id_col, "bin", (FIRST_BIN + BIN_YEARS * F.col("bin") + BIN_YEARS // 2).alias("year"), "p")
 
 
 def credible_interval(posterior: DataFrame, id_col: str, share: float = 0.95) -> DataFrame:

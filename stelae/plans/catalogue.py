@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational, search, texts, vectors
+from . import records, relational, search, texts, vectors
 
-FAMILIES = (search, relational, texts, vectors)
+FAMILIES = (search, relational, texts, vectors, records)
 
 QUERIES: dict = {k: f for m in FAMILIES for k, f in m.query.queries.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in FAMILIES for k, s in m.query.sql.items()}
