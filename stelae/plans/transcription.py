@@ -71,3 +71,33 @@ def fuzzy_best_match_levenshtein(spark, d):
 def pages_by_host(spark, d):
     p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"))
     return J.counts_of(p, p, "host", "pages")
+
+
+@query()
+def site_clusters(spark, d):
+    from stelae.operators.models import site_clusters as clusters
+
+    return clusters(table(spark, d, "documents"), "source", "text", "abcdefghijklmnopqrstuvwxyz")
+
+
+@query()
+def naive_bayes_labels(spark, d):
+    from stelae.operators import models
+
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "text", "quality")
+    fitted = models.naive_bayes(rows, "text", "quality")
+    return fitted.transform(models.with_grams(rows, "text")).select("doc_id", "quality", F.col("prediction").cast("int").alias("predicted"))
+
+
+@query("""SELECT lang, substring(t, CAST(i AS INT), 2) AS context, substring(t, CAST(i + 2 AS INT), 1) AS next, count(*) AS n FROM (SELECT b.text AS t, 'all' AS lang, unnest(range(1, length(b.text) - 1)) AS i FROM benchmark b WHERE length(b.text) > 2) GROUP BY ALL""")
+def character_contexts(spark, d):
+    from stelae.operators.models import character_model
+
+    return character_model(table(spark, d, "benchmark"), "text", 2).withColumn("lang", F.lit("all"))
+
+
+@query("""SELECT quality, round((SELECT count(*) FROM labels) / ((SELECT count(DISTINCT quality) FROM labels) * count(*)), 6)::DOUBLE AS weight FROM labels GROUP BY quality""")
+def class_weights(spark, d):
+    from stelae.operators.models import class_weights as weights
+
+    return weights(table(spark, d, "labels"), "quality").withColumn("weight", F.round("weight", 6))
