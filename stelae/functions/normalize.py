@@ -66,7 +66,97 @@ f 1031A f F f
     final=("m",),
     clusters=("kt", "tθ", "pφ", "kχ"),
 )
-LANGUAGES = {"etruscan": ETRUSCAN}
+#: Letters of related scripts, those of the first but for sound and spellings.
+FALISCAN = Language(
+    "Faliscan",
+    """
+a 10300 a A a
+b 10301 b B b
+c 10302 k C c K k
+d 10303 d D d
+e 10304 e E e
+v 10305 w V v W w
+z 10306 dz Z z
+h 10307 h H h
+θ 10308 tʰ TH Th th θ Θ
+i 10309 i I i
+l 1030B l L l
+m 1030C m M m
+n 1030D n N n
+o 1030F o O o
+p 10310 p P p
+q 10312 kw Q q
+r 10313 r R r
+s 10314 s S s
+t 10315 t T t
+u 10316 u U u
+f 1031A f F f
+g 1031B g G g
+""",
+    (0x10300, 0x1032F),
+)
+OSCAN = Language(
+    "Oscan",
+    """
+a 10300 a A a
+b 10301 b B b
+d 10303 d D d
+e 10304 e E e
+v 10305 w V v W w
+z 10306 ts Z z
+h 10307 h H h
+i 10309 i I i
+í 10309 iː Í í ii II Ii
+k 1030A k K k C c
+l 1030B l L l
+m 1030C m M m
+n 1030D n N n
+o 1030F o O o
+p 10310 p P p
+r 10313 r R r
+s 10314 s S s
+t 10315 t T t
+u 10316 u U u
+ú 10316 uː Ú ú uu UU Uu
+f 1031A f F f
+g 1031B g G g
+""",
+    (0x10300, 0x1032F),
+)
+_TYRSENIAN = """
+a 10300 a A a
+e 10304 e E e
+v 10305 v V v W w
+z 10306 ts Z z
+h 10307 h H h
+θ 10308 tʰ TH Th th θ Θ
+i 10309 i I i
+k 1030A k K k C c
+l 1030B l L l
+m 1030C m M m
+n 1030D n N n
+p 10310 p P p
+ś 10311 ʃ Ś ś SH Sh sh S2 s2
+r 10313 r R r
+s 10314 s S s
+t 10315 t T t
+u 10316 u U u
+φ 10318 pʰ PH Ph ph φ Φ
+χ 10317 kʰ CH Ch ch KH Kh kh χ Χ
+"""
+RHAETIC = Language("Rhaetic", _TYRSENIAN, (0x10300, 0x1032F), clusters=("kt", "tθ", "pφ", "kχ"))
+LEMNIAN = Language("Lemnian", _TYRSENIAN + "o 1030F o O o\n", (0x10300, 0x1032F))
+LANGUAGES = {"etruscan": ETRUSCAN, "faliscan": FALISCAN, "oscan": OSCAN, "lemnian": LEMNIAN, "rhaetic": RHAETIC}
+
+
+def register(identifier: str, language: Language) -> None:
+    """Add a language; identifiers are lower-case letters, digits and underscores."""
+    if not re.fullmatch(r"[a-z][a-z0-9_]*", identifier):
+        raise ValueError(f"not an identifier: {identifier!r}")
+    LANGUAGES[identifier] = language
+    _tables.cache_clear()
+
+
 #: Commands of typeset editions.
 COMMANDS = {r"\d{h}": "θ", r"\theta": "θ", r"\d{p}": "φ", r"\phi": "φ", r"\d{k}": "χ", r"\chi": "χ", r"\'{s}": "ś", r"\v{s}": "ś"}
 _MARKS = {"[": ("]", "supplied"), "(": (")", "expansion"), "⸢": ("⸣", "unclear")}

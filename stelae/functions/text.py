@@ -102,8 +102,9 @@ def source_tag(c: str | Column) -> Column:
 def sieve(c: str | Column, letters: str, words: list[str], endings: list[str], rescued: list[str]) -> Column:
     """Foreign by letter, word or ending, unless a rescue word is present."""
     t = F.lower(_c(c))
-    hit = t.rlike(f"[{letters}]") | t.rlike(rf"\b({'|'.join(words)})\b") | t.rlike(rf"[a-z]({'|'.join(endings)})\b")
-    return hit & ~t.rlike(rf"\b({'|'.join(rescued)})\b")
+    whole = lambda ws: rf"(^|[^\p{{L}}])({'|'.join(ws)})([^\p{{L}}]|$)"
+    hit = t.rlike(f"[{letters}]") | t.rlike(whole(words)) | t.rlike(rf"[a-z]({'|'.join(endings)})([^\p{{L}}]|$)")
+    return hit & ~t.rlike(whole(rescued))
 
 
 def expand_ids(df: DataFrame, col: str, out: str = "id") -> DataFrame:

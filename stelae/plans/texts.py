@@ -62,8 +62,8 @@ def source_tag(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.source_tag(F.concat(pick, F.col("o_orderkey").cast("string"))).alias("tag"))
 
 
-@query("""SELECT doc_id, (regexp_matches(lower(text), '[q]') OR regexp_matches(lower(text), '\\b(the|and)\\b') OR regexp_matches(lower(text), '[a-z](ung|heit)\\b'))
- AND NOT regexp_matches(lower(text), '\\b(stupid|trash)\\b') AS foreign_text FROM documents""")
+@query("""SELECT doc_id, (regexp_matches(lower(text), '[q]') OR regexp_matches(lower(text), '(^|[^\\p{L}])(the|and)([^\\p{L}]|$)') OR regexp_matches(lower(text), '[a-z](ung|heit)([^\\p{L}]|$)'))
+ AND NOT regexp_matches(lower(text), '(^|[^\\p{L}])(stupid|trash)([^\\p{L}]|$)') AS foreign_text FROM documents""")
 def latin_sieve(spark, d):
     return table(spark, d, "documents").select("doc_id", T.sieve("text", "q", ["the", "and"], ["ung", "heit"], ["stupid", "trash"]).alias("foreign_text"))
 
