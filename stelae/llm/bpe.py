@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from .common import id_type, map_texts
 
-#: The pre-split of byte-level BPE, as published for it.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The pre-split of byte-level BPE, as published for it; letters come first, as most pieces are words, and nothing else begins like them.
+PIECES = r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points (hexadecimal ranges) that became letters or numbers after Unicode 16, which the library's pre-split follows.
 AFTER_16 = """
     558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7dd a7e2-a7e2 a7f1-a7f1 ab6c-ab6d 107bb-107bf
@@ -33,7 +33,7 @@ AFTER_16 = """
     3d000-3fc3f
 """
 #: Entries of a worker's table of encoded words; it is emptied when full, so that memory is bounded.
-MOST_WORDS = 250_000
+MOST_WORDS = 500_000
 MOST_ARCS = 1_000_000
 
 
@@ -44,6 +44,9 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+_NONE: frozenset[int] = frozenset()
+
+
 class Automaton:
     """Compiled from ``vocab`` (bytes -> id) and ``merges`` (pairs of ids and the id made, in order)."""
 
@@ -56,17 +59,20 @@ class Automaton:
         self.removed: dict[tuple[int, int], int] = {}
         for t, (a, b, c) in enumerate(merges, 1):
             self._gadget(t, a, b, c)
-        self.arcs: dict[tuple[int, int], bool] = {}
-        self.size = {i: len(b) for b, i in vocab.items()}
+        self.arcs: dict[int, bool] = {}  # x << 32 | y
+        states = max(vocab.values(), default=-1) + 1
+        self.size, self.shorter = [0] * states, [-1] * states  # shorter: the longest token that is a proper prefix, or -1
         self.step: dict[int, int] = {}  # node << 8 | byte -> node of the tree of tokens
-        self.ends: dict[int, int] = {}
-        self.shorter: dict[int, int] = {}  # the longest token that is a proper prefix, or -1
+        self.ends = [-1]  # the token that ends at a node, or -1
         for token in sorted(vocab):
-            node, best = 0, -1
+            node, best, y = 0, -1, vocab[token]
             for byte in token:
-                best = self.ends.get(node, best)
-                node = self.step.setdefault(node << 8 | byte, len(self.step) + 1)
-            self.ends[node], self.shorter[vocab[token]] = vocab[token], best
+                best = self.ends[node] if self.ends[node] >= 0 else best
+                key, new = node << 8 | byte, len(self.ends)
+                node = self.step.setdefault(key, new)
+                if node == new:
+                    self.ends.append(-1)
+            self.ends[node], self.shorter[y], self.size[y] = y, best, len(token)
 
     def _gadget(self, t: int, a: int, b: int, c: int) -> None:
         self.left[c], self.right[c], self.time[c] = a, b, t
@@ -92,36 +98,44 @@ class Automaton:
                 x, now = self.right[x], tx - 1
 
     def arc(self, x: int, y: int) -> bool:
-        known = self.arcs.get((x, y))
+        known = self.arcs.get(x << 32 | y)
         if known is None:
             if len(self.arcs) >= MOST_ARCS:
                 self.arcs.clear()
-            known = self.arcs[x, y] = self._arc(x, y, len(self.time) + 1)
+            known = self.arcs[x << 32 | y] = self._arc(x, y, len(self.time) + 1)
         return known
 
     def encode(self, word: bytes) -> list[int]:
         """The path of ``word``: from each state the longest token first; a prefix whose (only) path leads nowhere is not tried again."""
         arcs, size, shorter, step, ends, n = self.arcs, self.size, self.shorter, self.step, self.ends, len(word)
         out: list[int] = []
-        dead: set[int] = set()
+        dead = _NONE
         i, last, y = 0, -1, -1
         forward = True
         while i < n:
             if forward:
-                node, at, y = 0, i, -1
-                while at < n and (node := step.get(node << 8 | word[at])) is not None:
-                    at += 1
-                    if node in ends:
-                        y = ends[node]
+                node, y = 0, -1
+                for byte in word[i:] if i else word:
+                    node = step.get(node << 8 | byte)
+                    if node is None:
+                        break
+                    if (token := ends[node]) >= 0:
+                        y = token
             while y >= 0:
-                if i + size[y] not in dead and (last < 0 or (arcs[last, y] if (last, y) in arcs else self.arc(last, y))):
-                    break
+                if i + size[y] not in dead:
+                    if last < 0:
+                        break
+                    known = arcs.get(last << 32 | y)
+                    if self.arc(last, y) if known is None else known:
+                        break
                 y = shorter[y]
             forward = y >= 0
             if forward:
                 out.append(y)
                 i, last = i + size[y], y
             else:
+                if dead is _NONE:
+                    dead = set()
                 dead.add(i)
                 y = out.pop()
                 i -= size[y]
@@ -147,8 +161,9 @@ class Tokenizer:
         self.automaton = Automaton(plain, [(ids[a], ids[b], ids[a + b]) for a, b in merges])
         self.automaton.label |= {i: s.encode() for s, i in special.items()}
         self.special = special
+        self.names = list(map(str, range(max([*ids.values(), *special.values()], default=-1) + 1)))
         new = "[" + "".join(rf"\U{int(a, 16):08x}-\U{int(b, 16):08x}" for a, b in (r.split("-") for r in AFTER_16.split())) + "]"
-        self.new = regex.compile(new)
+        self.new, self.late = regex.compile(new), regex.compile(r"[^\x00-\u0557]")  # the second, cheap one rules the first out for most texts
         self.pieces = regex.compile(PIECES)
         self.pieces_16 = regex.compile(r"(?V1)" + PIECES.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|{new})").replace(r"\p{L}+", rf"[\p{{L}}--{new}]+").replace(r"\p{N}+", rf"[\p{{N}}--{new}]+"))
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
@@ -160,7 +175,7 @@ class Tokenizer:
             if k % 2:
                 out.append(self.special[part])
                 continue
-            words, pieces = self.words, self.pieces_16 if self.new.search(part) else self.pieces
+            words, pieces = self.words, self.pieces_16 if self.late.search(part) and self.new.search(part) else self.pieces
             for piece in pieces.findall(part):
                 ids = words.get(piece)
                 if ids is None:
@@ -214,7 +229,7 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
         for x in texts:
             found = t.encode(x.decode())
             out["n_tokens"].append(len(found))
-            out["ids_sha256"].append(hashlib.sha256(",".join(map(str, found)).encode()).hexdigest())
+            out["ids_sha256"].append(hashlib.sha256(",".join(map(t.names.__getitem__, found)).encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(t.decode(found).encode()).hexdigest())
         return out
 
