@@ -15,7 +15,8 @@ def text_key(c: str | Column) -> Column:
 
     (Texts with letters that fold to several, such as ß, need :func:`stelae.functions.normalize.folded` first.)
     """
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(_c(c)), r"[\[\]<>{}()?–—-]", ""), r"\s+", " "))
+    # only white space that is not one blank is rewritten: most of it is
+    return F.trim(F.regexp_replace(F.translate(F.lower(_c(c)), "[]<>{}()?–—-", ""), r"\s{2,}|[^\S ]", " "))
 
 
 def tokens(c: str | Column) -> Column:

@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stelae.functions.text import characters
-
 
 def letter_frequencies(df: DataFrame, by: str, text_col: str, alphabet: str) -> DataFrame:
     """(by, letter, n, share) for every letter of the alphabet, those that do not occur with 0; shares are of the group's letters."""
-    spark = df.sparkSession
-    letters = spark.createDataFrame([(c,) for c in dict.fromkeys(alphabet)], "letter string")
-    used = df.select(by, F.explode(characters(F.lower(text_col))).alias("letter")).groupBy(by, "letter").agg(F.count("*").alias("n"))
-    grid = df.select(by).distinct().join(F.broadcast(letters))  # an alphabet: tens of rows
-    out = grid.join(used, [by, "letter"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
-    total = out.groupBy(by).agg(F.sum("n").alias("total"))
-    return out.join(total, by).withColumn("share", F.when(F.col("total") > 0, F.col("n") / F.col("total")).otherwise(0.0)).drop("total")
+    letters = list(dict.fromkeys(alphabet))
+    low = F.lower(F.coalesce(text_col, F.lit("")))
+    # how much shorter a text is without a letter: no character becomes a row, and sums are partial on each task
+    sums = [F.sum(F.length("_t") - F.length(F.replace(F.col("_t"), F.lit(c)))).cast("bigint") for c in letters]
+    wide = df.select(by, low.alias("_t")).groupBy(by).agg(F.array(*sums).alias("_n"))
+    total = F.aggregate("_n", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    out = wide.select(by, total.alias("_all"), F.posexplode("_n").alias("_i", "n"))
+    name = F.element_at(F.array(*[F.lit(c) for c in letters]), F.col("_i") + 1)
+    return out.select(by, name.alias("letter"), "n", F.when(F.col("_all") > 0, F.col("n") / F.col("_all")).otherwise(0.0).alias("share"))
 
 
 def chi_squared(counts: DataFrame, row: str, col: str, n: str) -> DataFrame:
