@@ -101,3 +101,24 @@ def class_weights(spark, d):
     from stelae.operators.models import class_weights as weights
 
     return weights(table(spark, d, "labels"), "quality").withColumn("weight", F.round("weight", 6))
+
+
+@query("""WITH t AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(trim('mi ' || p_name || ' turce arnθal')), '[:·•|/\\\\\\[\\]()<>{}、,.\\s]+'), lambda x: x <> '' AND NOT regexp_full_match(x, '[-–—0-9]+')) AS w FROM part),
+r AS (SELECT p_partkey, list_filter(w, lambda x: x IN ('mi', 'turce')) AS k, list_filter(w, lambda x: x NOT IN ('mi', 'turce')) AS n FROM t)
+SELECT p_partkey, array_to_string(list_concat(list_transform(k, lambda x: CASE WHEN x = 'mi' THEN 'EGO:mi' ELSE 'VERB:turce' END),
+ list_transform(n, lambda x, i: CASE WHEN i = 1 THEN 'PRAENOMEN:' WHEN regexp_matches(x, '(al|ial|s|sa|isa|us|es)$') THEN 'PATRONYMIC:' ELSE 'GENTILICIUM:' END || x)), ' ') AS roles FROM r""")
+def role_parse(spark, d):
+    from stelae.operators import roles as O
+
+    p = table(spark, d, "part").select("p_partkey", O.parse(O.tokens(F.concat(F.lit("mi "), "p_name", F.lit(" turce arnθal")))).alias("r"))
+    return p.select("p_partkey", F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["role"], x["filler"])), " ").alias("roles"))
+
+
+@query()
+def structural_neighbours(spark, d):
+    from stelae.operators import roles as O
+    from stelae.operators.vectors import neighbours
+
+    p = table(spark, d, "supplier").select("s_suppkey", O.parse(O.tokens(F.concat(F.when(F.col("s_suppkey") % 2 == 0, "mi ").otherwise(""), "s_name", F.lit(" arnθal")))).alias("r"))
+    v = O.bundle(p, "s_suppkey", "r").select("s_suppkey", "structure")
+    return neighbours(v.where("s_suppkey % 50 = 0"), v, "s_suppkey", "structure", 5)

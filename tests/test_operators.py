@@ -140,3 +140,32 @@ def test_structured_query(spark):
     r = search.structured_query(q, "q", {"archaic": (-700, -500), "late": (-300, -50)}, {"tm": "has_tm"}).collect()
     assert (r[0].residual, r[0].year_from, r[0].year_to, r[0].has_tm) == ("tular", -700, -50, True)
     assert r[1].year_from is None
+
+
+def test_roles_and_hypervectors(spark):
+    from stelae.operators import roles
+
+    df = spark.createDataFrame([(1, "mi larθ arnθal spurina turce"), (2, ""), (3, None)], "id int, t string")
+    r = df.select("id", roles.parse(roles.tokens(F.col("t"))).alias("r"))
+    assert [(x.role, x.filler) for x in r.where("id = 1").first().r] == [("EGO", "mi"), ("VERB", "turce"), ("PRAENOMEN", "larθ"), ("PATRONYMIC", "arnθal"), ("GENTILICIUM", "spurina")]
+    v = roles.bundle(r.where("id = 1"), "id", "r")
+    got = v.select(*[vectors.cosine(roles.unbound(F.col("content"), "GENTILICIUM"), roles.atom(F.lit(f"word {w}"))).alias(w) for w in ("spurina", "larθ", "mi")]).first()
+    assert got.spurina > max(got.larθ, got.mi) + 0.2
+
+
+def test_windows_and_patterns(spark):
+    from stelae.operators import routing
+
+    df = spark.createDataFrame([("aaaa KEY bbbb key cccc",), ("no such word here at all, truly",), ("abcd",)], "t string")
+    got = [r.w for r in df.select(routing.keyword_windows(F.col("t"), "key", 2).alias("w")).collect()]
+    assert got == ["a KEY b [...] b key c", "no [...] ly", "abcd"]
+    assert routing_json(spark, '```json\n[{"a": "x"}]\n```') == ["x"]
+    assert routing_json(spark, '{"items": [{"a": "y"}]}') == ["y"]
+    assert routing_json(spark, "none") is None
+
+
+def routing_json(spark, text):
+    from stelae.operators import routing
+
+    r = spark.createDataFrame([(text,)], "t string").select(routing.unfenced_json(F.col("t"), "a: string").alias("j")).first().j
+    return None if r is None else [x.a for x in r]
