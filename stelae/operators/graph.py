@@ -52,6 +52,7 @@ def numbered(df: DataFrame, order: str, prefix: str = "P", digits: int = 5) -> D
     from pyspark.sql.window import Window
 
     ranged = df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
+    ranged = ranged.checkpoint() if _shared(df) else ranged.persist()  # ranges are read twice and must be the same
     w = Window.partitionBy("_p").orderBy(order)
     inside = ranged.withColumn("_r", F.row_number().over(w) - 1)
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
