@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from stelae.llm import bpe, decontaminate, quality, secrets, simhash
-from stelae.llm.common import id_type, map_texts, stage, table, unstage
+from stelae.llm.common import map_rows, stage, table, unstage
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality network predicts as good (2). Scores and rows are made in one pass, so nothing is joined."""
+    """Documents that the quality network predicts as good (2). Scored and dropped in one pass, so nothing is joined."""
     network = quality.train(docs, table(spark, sf_dir, "labels"))
-    names = docs.columns
-    whole = docs.select(F.struct(*names).alias("row"), "text")
-    scored = quality.scores(whole, network, id_col="row")
-    return scored.where("predicted = 1").select(*[F.col(f"doc_id.{c}").alias(c) for c in names])
+
+    def good(part, texts):
+        return part.filter(pa.array(network.score(texts) >= quality.THRESHOLD))
+
+    return map_rows(docs, good, docs.schema)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,29 +40,29 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret found (10) replaced by a mark; n_chars follows the text."""
     network = secrets.train(docs)
-    names = docs.columns
-    whole = docs.select(F.struct(*[c for c in names if c != "text"]).alias("row"), "text")
+    names, text_type = docs.columns, to_arrow_schema(docs.schema)
 
-    def rows(ids, texts):
-        return {"doc_id": ids, "text": [secrets.redacted(t.decode(), network) for t in texts]}
+    def masked(part, texts):
+        clean = [secrets.redacted(t.decode(), network) for t in texts]
+        new = {"text": clean, "n_chars": [len(t) for t in clean]}
+        return pa.RecordBatch.from_arrays([pa.array(new[c], type=text_type.field(c).type) if c in new else part.column(c) for c in names], names)
 
-    made = map_texts(whole, rows, f"doc_id {id_type(whole, 'row').simpleString()}, text string", id_col="row")
-    made = made.select("doc_id.*", "text")
-    return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names)
+    return map_rows(docs, masked, docs.schema)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, exact): token ids (8), and whether they decode to the text itself."""
-    path = bpe.public_path()
-    whole = docs.select(F.struct("doc_id", "lang", "source").alias("row"), "text")
+    path, kept = bpe.public_path(), ["doc_id", "lang", "source"]
 
-    def rows(ids, texts):
+    def made(part, texts):
         t = bpe.tokenizer(path)
         found = [np.array(t.encode(x.decode()), np.int32) for x in texts]
-        return {"doc_id": ids, "n_tokens": [len(x) for x in found], "ids": found, "exact": [t.automaton.decode(f.tolist()) == x for f, x in zip(found, texts)]}
+        exact = [t.automaton.decode(f.tolist()) == x for f, x in zip(found, texts)]
+        new = [pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(exact, pa.bool_())]
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *new], [*kept, "n_tokens", "ids", "exact"])
 
-    schema = f"doc_id {id_type(whole, 'row').simpleString()}, n_tokens bigint, ids array<int>, exact boolean"
-    return map_texts(whole, rows, schema, id_col="row").select("doc_id.*", "n_tokens", "ids", "exact")
+    schema = ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept), "n_tokens bigint, ids array<int>, exact boolean"])
+    return map_rows(docs, made, schema)
 
 
 STAGES = [

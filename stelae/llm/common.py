@@ -78,9 +78,23 @@ def map_texts(docs: DataFrame, rows_of, schema: str | T.StructType, id_col: str
     return id_and_bytes(docs, id_col, text_col).mapInArrow(work, out)
 
 
-def pieces(batch: pa.RecordBatch, rows: int = 512, most: int = 4 << 20):
-    """Slices of a batch with at most ``rows`` rows and about ``most`` bytes of text (column 1), so that a worker's memory is bounded."""
-    size = batch.column(1).nbytes if batch.num_rows else 0
+def map_rows(docs: DataFrame, make, schema: str | T.StructType, text_col: str = "text") -> DataFrame:
+    """Apply ``make(part: RecordBatch, texts: list[bytes]) -> RecordBatch`` to slices of Arrow batches with all columns of ``docs``:
+    what a stage does not change stays in Arrow. Null texts come as empty bytes."""
+    out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    at = docs.columns.index(text_col)
+
+    def work(batches):
+        for batch in batches:
+            for part in pieces(batch, column=at):
+                yield make(part, [b"" if t is None else t for t in part.column(at).cast(pa.binary()).to_pylist()])
+
+    return docs.mapInArrow(work, out)
+
+
+def pieces(batch: pa.RecordBatch, rows: int = 512, most: int = 4 << 20, column: int = 1):
+    """Slices of a batch with at most ``rows`` rows and about ``most`` bytes of text (``column``), so that a worker's memory is bounded."""
+    size = batch.column(column).nbytes if batch.num_rows else 0
     step = max(1, min(rows, int(batch.num_rows * most / max(size, 1)) or 1))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)

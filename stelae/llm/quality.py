@@ -18,6 +18,7 @@ from .common import id_type, map_texts
 
 DIM, FILTERS, STRIDE = 8, 24, 4
 CHUNK, HOP = 64, 48  # in strides
+SEGMENT = HOP * STRIDE * 2048  # bytes read at once
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8 << 20
 THRESHOLD = 0.3
 
@@ -75,10 +76,29 @@ class Network:
         return np.concatenate([np.add.reduceat(top, at) / n, np.maximum.reduceat(top, at), np.minimum.reduceat(top, at)], axis=1)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
+        """Texts are read in pieces of SEGMENT bytes that overlap as chunks do; a document's chunks are combined over its pieces, so memory is bounded."""
         if not texts:
             return np.empty(0)
-        flat, first, end, before = layout(texts)
-        x = (self.features(self.pooled(flat, first, end, before)[1], before) - self.mean) / self.scale
+        step, over = SEGMENT, (CHUNK - HOP) * STRIDE
+        parts = [(i, t[at : at + step + over]) for i, t in enumerate(texts) for at in (range(0, max(len(t) - over, 1), step))]
+        n, k = len(texts), FILTERS
+        count, total = np.zeros(n), np.zeros((n, k))
+        most, least = np.full((n, k), -np.inf, np.float32), np.full((n, k), np.inf, np.float32)
+        at = 0
+        while at < len(parts):
+            end, size = at, 0
+            while end < len(parts) and (end == at or size + len(parts[end][1]) <= 2 * SEGMENT):
+                size += len(parts[end][1])
+                end += 1
+            flat, first, last, before = layout([t for _, t in parts[at:end]])
+            top = self.pooled(flat, first, last, before)[1]
+            doc, cut = np.array([i for i, _ in parts[at:end]]), before[:-1]
+            np.add.at(count, doc, np.diff(before))
+            np.add.at(total, doc, np.add.reduceat(top, cut))
+            np.maximum.at(most, doc, np.maximum.reduceat(top, cut))
+            np.minimum.at(least, doc, np.minimum.reduceat(top, cut))
+            at = end
+        x = (np.concatenate([total / count[:, None], most, least], axis=1) - self.mean) / self.scale
         z = x @ self.p["top"] + self.p["shift"]
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 

@@ -599,3 +599,12 @@ def test_pipeline_against_brute_force(spark, reference_tokenizer):
 
 def test_vocabulary_is_read_in_place():
     assert json.load(open(bpe.public_path(), encoding="utf-8"))["model"]["type"] == "BPE"
+
+
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    rng = random.Random(12)
+    t = " ".join("".join(rng.choices("abcdefgh .", k=6)) for _ in range(3000)).encode()
+    network = quality.Network()
+    whole = network.score([t, b"", t[:100]])
+    monkeypatch.setattr(quality, "SEGMENT", quality.HOP * quality.STRIDE * 4)
+    assert np.allclose(network.score([t, b"", t[:100]]), whole, atol=1e-3)
