@@ -126,7 +126,9 @@ def idempotent_first(spark, d):
     return W.first_per_key(table(spark, d, "events"), ["user_id", "event_type"], "event_id")
 
 
-@query()
+@query("""WITH f AS (SELECT user_id, arg_min(event_type, {'a': ts, 'b': event_id}) FILTER (event_type IN ('click', 'purchase')) AS first_move, count(*) AS n FROM events GROUP BY user_id)
+SELECT user_id, CASE first_move WHEN 'click' THEN 'approved' WHEN 'purchase' THEN 'rejected' ELSE 'pending' END AS state,
+CASE WHEN first_move IS NULL THEN 0 ELSE 1 END AS accepted, CAST(n - CASE WHEN first_move IS NULL THEN 0 ELSE 1 END AS INT) AS refused FROM f""")
 def moderation_state(spark, d):
     moves = [("pending", "click", "approved"), ("pending", "purchase", "rejected")]
     return W.last_state(table(spark, d, "events"), "user_id", moves, "pending", "event_type", "ts", "event_id")
