@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once in an application, so that Python workers find it wherever they start."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(here):
+        path = os.path.join(tempfile.mkdtemp(prefix="spark-stelae-"), "stelae.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(here):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(here)))
+        context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
 
 def local_session(app: str = "stelae", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session in UTC with AQE on; on a cluster, pass your own session instead."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -18,3 +42,5 @@ def local_session(app: str = "stelae", cores: int | str = "*", shuffle_partition
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
