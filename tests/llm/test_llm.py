@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -498,6 +499,36 @@ def test_repeated_passages_are_found(spark):
     assert passages.repeated_passages(docs_of(spark, []).limit(0)).count() == 0
 
 
+def edited_copies(n):
+    """Documents 2k and 2k + 1 share a passage of 50 words but for one word in the middle, and nothing else."""
+    rng = random.Random(20)
+    some = lambda m: [f"w{rng.randrange(50_000)}" for _ in range(m)]
+    texts = []
+    for _ in range(n):
+        p = some(50)
+        texts += [" ".join(some(60) + p + some(60)), " ".join(some(60) + p[:25] + ["edited"] + p[26:] + some(60))]
+    return texts
+
+
+def test_edited_passages_are_recalled(spark):
+    n = 400
+    docs = docs_of(spark, edited_copies(n))
+
+    def recall(**more):
+        return len({r.doc_id // 2 for r in passages.repeated_passages(docs, **more).collect()}) / n
+
+    assert recall() >= 0.98 > recall(functions=4, enough=2)
+
+
+def test_copies_meet_behind_another_first_window():
+    k, t = np.zeros(4, np.int64), np.arange(4) << 32
+    batch = pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.arange(4)), pa.array(t), pa.nulls(4, pa.int64()), pa.nulls(4, pa.int64())], passages._NAMES)
+    for cut in (1, 2, 4):
+        parts = [batch.slice(i, cut) for i in range(0, 4, cut)]
+        got = {(r["d1"], r["d2"]) for b in passages._link(parts) for r in b.to_pylist()}
+        assert got == {(0, 1), (0, 2), (0, 3), (1, 2), (2, 3)}
+
+
 # --- chat
 
 
