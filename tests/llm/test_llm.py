@@ -520,6 +520,49 @@ def test_edited_passages_are_recalled(spark):
     assert recall() >= 0.98 > recall(functions=4, enough=2)
 
 
+def test_passage_beside_a_line_in_another_order():
+    rng = np.random.default_rng(3)
+    some = lambda n: rng.integers(0, 1 << 31, n).astype(np.int32)
+    line, passage = some(8), some(60)
+    x, y = np.concatenate([line, some(20), passage, some(30)]), np.concatenate([some(15), passage, some(25), line])
+    assert passages.near_passages(x, y, 46, 0.8) == [(28, 87, 15, 74)]
+    assert passages.near_passages(np.r_[line, x], np.r_[y, line], 46, 0.8) == [(36, 95, 15, 74)]
+    two = some(50)
+    x, y = np.concatenate([passage, some(9), two]), np.concatenate([two, some(9), passage])
+    assert passages.near_passages(x, y, 46, 0.8) == [(0, 59, 59, 118), (69, 118, 0, 49)]
+    same = np.zeros(3000, np.int32)
+    assert passages.near_passages(same, same, 46, 0.8) == [(0, 2999, 0, 2999)]
+
+
+def slow_near(x, y, least, similarity):
+    """Whether any two stretches of ``least`` or more that begin and end alike have a common subsequence of enough shingles."""
+    for a in range(len(x)):
+        for b in [b for b in range(len(y)) if x[a] == y[b]]:
+            row = [0] * (len(y) - b + 1)
+            for i in range(a, len(x)):
+                new = [0]
+                for j in range(b, len(y)):
+                    new.append(row[j - b] + 1 if x[i] == y[j] else max(row[j - b + 1], new[-1]))
+                    n, m = i - a + 1, j - b + 1
+                    if x[i] == y[j] and min(n, m) >= least and new[-1] >= similarity * (n + m - new[-1]) - 1e-9:
+                        return True
+                row = new
+    return False
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 20), max_size=20), st.lists(st.integers(0, 20), max_size=20), st.lists(st.integers(0, 20), max_size=12), st.integers(0, 11), st.booleans())
+def test_near_passages_equal_brute_force(x, y, shared, edit, once):
+    x, y = x + shared + y[:3], y + shared[:edit] + [21] + shared[edit + 1 :] + x[:3]
+    if once:  # each shingle once: the longest run stands in full, and none is missed
+        x, y = list(dict.fromkeys(x)), list(dict.fromkeys(y))
+    got = passages.near_passages(np.array(x, np.int32), np.array(y, np.int32), 6, 0.7)
+    assert not once or bool(got) == slow_near(x, y, 6, 0.7)
+    for a1, b1, a2, b2 in got:
+        assert min(b1 - a1, b2 - a2) >= 5 and x[a1] == y[a2] and x[b1] == y[b2]
+        assert slow_near(x[a1 : b1 + 1], y[a2 : b2 + 1], min(b1 - a1, b2 - a2) + 1, 0.7)
+
+
 def test_copies_meet_behind_another_first_window():
     k, t = np.zeros(4, np.int64), np.arange(4) << 32
     batch = pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.arange(4)), pa.array(t), pa.nulls(4, pa.int64()), pa.nulls(4, pa.int64())], passages._NAMES)
