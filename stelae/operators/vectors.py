@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Query rows sent to every task at once: a block of this many vectors is a few megabytes.
+#: Query rows sent to every task at once, about: a block of this many vectors is a few megabytes.
 QUERY_BLOCK = 4096
 
 
@@ -39,19 +39,25 @@ def top_k(vectors: DataFrame, id_col: str, vec_col: str, query: list[float], k:
 def neighbours(queries: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, k: int, same: list[str] | None = None) -> DataFrame:
     """(query, id, score, rank): for every query row its ``k`` nearest others, by cosine, exactly.
 
-    ``queries`` is a stated set: its first QUERY_BLOCK rows by id must be all of it, else the caller loops over blocks.
+    ``queries`` is a stated set, counted here and sent in blocks of about QUERY_BLOCK rows by hash of the id, each in one pass over ``vectors``.
     With ``same``, partition columns must agree. Ranks are kept by an aggregation that holds k of each query and task.
     """
     same = same or []
-    q = queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("_q"), norm(F.col(vec_col)).alias("_qn"), *[F.col(c).alias(f"_{c}") for c in same]).limit(QUERY_BLOCK)
+    q = queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("_q"), norm(F.col(vec_col)).alias("_qn"), *[F.col(c).alias(f"_{c}") for c in same])
     cond = F.lit(True)
     for c in same:
         cond = cond & (F.col(c) == F.col(f"_{c}"))
     rows = vectors.select(id_col, vec_col, norm(F.col(vec_col)).alias("_n"), *same)
-    met = rows.join(F.broadcast(q), (F.col("query") != F.col(id_col)) & cond & (F.col("_n") > 0) & (F.col("_qn") > 0))
-    scored = met.select("query", id_col, (dot(F.col(vec_col), F.col("_q")) / (F.col("_n") * F.col("_qn"))).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    found = None
+    for b in range(blocks):
+        block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+        met = rows.join(F.broadcast(block), (F.col("query") != F.col(id_col)) & cond & (F.col("_n") > 0) & (F.col("_qn") > 0))
+        scored = met.select("query", id_col, (dot(F.col(vec_col), F.col("_q")) / (F.col("_n") * F.col("_qn"))).alias("score"))
+        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def margin_gate(hits: DataFrame, query_col: str, least: float) -> DataFrame:

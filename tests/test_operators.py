@@ -169,3 +169,13 @@ def routing_json(spark, text):
 
     r = spark.createDataFrame([(text,)], "t string").select(routing.unfenced_json(F.col("t"), "a: string").alias("j")).first().j
     return None if r is None else [x.a for x in r]
+
+
+def test_neighbours_of_more_queries_than_a_block(spark, monkeypatch):
+    from stelae.operators import vectors
+
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(20)], "id bigint, v array<double>")
+    whole = sorted(tuple(r) for r in vectors.neighbours(v, v, "id", "v", 2).collect())
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 6)
+    assert sorted(tuple(r) for r in vectors.neighbours(v, v, "id", "v", 2).collect()) == whole
+    assert len(whole) == 40
