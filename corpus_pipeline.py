@@ -7,7 +7,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.window import Window
 
 from stelae.llm import bpe, decontaminate, quality, secrets, simhash
 from stelae.llm.common import map_rows, stage, table, unstage
@@ -24,11 +23,21 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each SimHash component (4); of rows that share that doc_id, one."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", "lang", "source")
-    return kept.withColumn("nth", F.row_number().over(order)).where("nth = 1").select(*docs.columns)
+    """One row of each SimHash component (4): that of the least doc_id, nulls last, then of the least text hash. Rows that share a
+    doc_id, or have none, stand for themselves. The least of a group is an aggregation with partial results, so none is held in one task."""
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h bigint, fp bigint"
+
+    def marks(part, texts):
+        fp = np.frombuffer(b"".join(simhash.fingerprint(t) for t in texts), ">i8").astype(np.int64)
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(fp)], ["doc_id", "h", "fp"])
+
+    marked = stage(map_rows(named, marks, schema), "near-copies")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("x")
+    chosen = marked.join(simhash.component_of(marked), "fp").groupBy("root").agg(first)
+    chosen = stage(chosen.select("root", F.col("x.doc_id").alias("_id"), F.col("x.h").alias("_h")), "near-copies-chosen")
+    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")))
+    return kept.groupBy("root").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

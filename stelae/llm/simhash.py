@@ -163,6 +163,13 @@ def links(nodes: DataFrame, most: int = MOST_BITS, block: int = BLOCK) -> DataFr
     return dealt.mapInArrow(_compare(most), "u bigint, v bigint")
 
 
+def component_of(marked: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """From rows with ``fp``: (fp, root), each fingerprint once; equal roots are one component."""
+    nodes = stage(marked.select("fp").distinct(), "simhash-nodes")
+    roots = components(links(nodes, most))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, most: int = MOST_BITS) -> DataFrame:
     """One row for each row of ``docs``: (doc_id, fp, component_id), the least doc_id reachable over links.
 

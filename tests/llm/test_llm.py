@@ -682,3 +682,15 @@ def test_long_texts_are_scored_in_pieces(monkeypatch):
     whole = network.score([t, b"", t[:100]])
     monkeypatch.setattr(quality, "SEGMENT", quality.HOP * quality.STRIDE * 4)
     assert np.allclose(network.score([t, b"", t[:100]]), whole, atol=1e-3)
+
+
+def test_near_dedup_keeps_null_and_shared_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    text = [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(5)]
+    rows = [(1, text[0]), (2, text[0]), (2, text[1]), (2, text[2]), (None, text[2]), (None, text[3]), (None, text[3]), (None, text[4]), (9, text[1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, text[0]), (2, text[1]), (2, text[2]), (None, text[3]), (None, text[4])], key=repr)
