@@ -6,22 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def descendants(seeds: DataFrame, edges: DataFrame, parent: str, child: str, most_depth: int = 64) -> DataFrame:
+def descendants(seeds: DataFrame, edges: DataFrame, parent: str, child: str, most_depth: int | None = None) -> DataFrame:
     """(root, node, depth): all that is reached from each seed (column ``root``) over parent -> child edges, each at its least depth.
 
     Rounds join the newest nodes alone and drop those known, so cycles end; the frontier's emptiness is all that the driver learns.
+    Rounds go on until it is empty; with ``most_depth``, an answer that would be cut there is an error.
     """
     found = seeds.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
     newest = found
     step = edges.select(F.col(parent).alias("node"), F.col(child).alias("_next")).where("node is not null and _next is not null").distinct()
-    for depth in range(1, most_depth + 1):
+    depth = 0
+    while True:
+        depth += 1
         reached = newest.join(step, "node").select("root", F.col("_next").alias("node")).distinct()
         newest = reached.join(found, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
         newest = newest.checkpoint() if _shared(newest) else newest.persist()
         if newest.isEmpty():
-            break
+            return found
+        if most_depth is not None and depth > most_depth:
+            raise ValueError(f"nodes lie deeper than {most_depth}")
         found = found.unionByName(newest)
-    return found
 
 
 def _shared(df: DataFrame) -> bool:

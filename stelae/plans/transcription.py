@@ -60,7 +60,7 @@ def gazetteer_links(spark, d):
 SELECT p_partkey, p_brand, round(score, 6)::DOUBLE AS score FROM x QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, p_brand) = 1""")
 def fuzzy_best_match_levenshtein(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
-    brands = F.broadcast(p.select("p_brand").distinct().limit(1000))  # a stated list of at most so many names
+    brands = F.broadcast(p.select("p_brand").distinct())
     score = 1 - F.levenshtein("p_name", "p_brand") / F.greatest(F.length("p_name"), F.length("p_brand"))
     met = p.select("p_partkey", "p_name").crossJoin(brands).select("p_partkey", "p_brand", score.alias("score"))
     best = met.groupBy("p_partkey").agg(F.min(F.struct((-F.col("score")).alias("less"), "p_brand")).alias("m"))

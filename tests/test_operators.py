@@ -179,3 +179,18 @@ def test_neighbours_of_more_queries_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 6)
     assert sorted(tuple(r) for r in vectors.neighbours(v, v, "id", "v", 2).collect()) == whole
     assert len(whole) == 40
+
+
+def test_descendants_deeper_than_64_rounds(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(1, 68)], "p bigint, c bigint").coalesce(1)
+    s = spark.createDataFrame([(1,)], "root bigint")
+    assert graph.descendants(s, e, "p", "c").agg({"depth": "max"}).first()[0] == 67
+    with pytest.raises(ValueError):
+        graph.descendants(s, e, "p", "c", most_depth=2)
+
+
+def test_best_match_among_more_than_1000_names(spark, tmp_path):
+    from stelae.plans.transcription import fuzzy_best_match_levenshtein
+
+    spark.createDataFrame([(i, f"name{i:04d}", f"name{i:04d}") for i in range(1200)], "p_partkey bigint, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    assert fuzzy_best_match_levenshtein(spark, str(tmp_path)).where("score = 1").count() == 1200
