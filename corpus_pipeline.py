@@ -13,7 +13,8 @@ from stelae.llm.common import map_rows, stage, table, unstage
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality network predicts as good (2). Scored and dropped in one pass, so nothing is joined."""
+    """Documents that the quality network predicts as good (2). Scored and dropped in one pass, so nothing is joined: rows with null
+    or shared ids are judged each by its text, null texts as empty ones, very long ones whole; an empty table gives none."""
     network = quality.train(docs, table(spark, sf_dir, "labels"))
 
     def good(part, texts):
@@ -36,18 +37,23 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("x")
     chosen = marked.join(simhash.component_of(marked), "fp").groupBy("root").agg(first)
     chosen = stage(chosen.select("root", F.col("x.doc_id").alias("_id"), F.col("x.h").alias("_h")), "near-copies-chosen")
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")))
-    return kept.groupBy("root").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    packed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.struct(*docs.columns).alias("row"))  # no column of docs stands beside ours
+    kept = packed.join(chosen, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
+    return kept.groupBy("root").agg(F.min("row").alias("row")).select("row.*")
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage that aligns with a benchmark item (1)."""
-    leaks = stage(decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a passage that aligns with a benchmark item (1). A row goes by its own text: rows that share an id, or have none,
+    are judged one by one; null and empty texts match nothing and stay; texts are read whole; an empty table gives none."""
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
+    leaks = stage(decontaminate.matches(keyed, table(spark, sf_dir, "benchmark"), id_col="key").select("doc_id.*").distinct(), "leaks")
+    packed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.struct(*docs.columns).alias("row"))
+    return packed.join(leaks, packed["id"].eqNullSafe(leaks["doc_id"]) & (packed["h"] == leaks["h"]), "left_anti").select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret found (10) replaced by a mark; n_chars follows the text."""
+    """All documents, each secret found (10) replaced by a mark; n_chars follows the text. Null texts become empty; ids do not matter;
+    repeated rows stay; texts are read whole; an empty table gives none."""
     network = secrets.train(docs)
     names, text_type = docs.columns, to_arrow_schema(docs.schema)
 
@@ -60,7 +66,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids, exact): token ids (8), and whether they decode to the text itself."""
+    """(doc_id, lang, source, n_tokens, ids, exact): token ids (8), and whether they decode to the text itself, for every row. Null and
+    empty texts have no ids; null ids, languages and sources stay null; repeated rows are encoded each; an empty table gives none."""
     path, kept = bpe.public_path(), ["doc_id", "lang", "source"]
 
     def made(part, texts):
