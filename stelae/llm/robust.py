@@ -22,8 +22,9 @@ from .common import id_type, map_texts, stage, unstage
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 STATS = ("x0", "x1", "x2", "x3", "x4")
-#: Least spread of each transformed statistic: finer differences never make an outlier.
-FLOOR = (0.8, 0.12, 0.08, 0.2, 0.14)
+#: Least spread of each transformed statistic, so that groups without any spread judge no finer difference; each is small enough that its
+#: statistic alone can pass the cut (the last: a fifth of the words repeated).
+FLOOR = (0.5, 0.08, 0.05, 0.15, 0.079)
 KEEP, STEPS, LEAST, SHARE = 0.75, 4, 200, 0.99999
 BINS, PER_UNIT = 400, 8
 WINDOW = 5
