@@ -1,10 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Test items are read in blocks of bounded size. For each block a first pass over the corpus counts the items' words; an
-n-gram of an item is a rare seed if, with its words drawn apart, it is expected in at most ``chance`` places of the
-corpus. (Words are counted, not n-grams, so a passage copied into a third of all documents is as rare as before.) A
-second pass joins every document to the items of whose seeds it has one, and aligns the words around each seed with
-the item. The score is the best local alignment (match 1, mismatch and gap -1) over the item's number of words.
+n-gram of an item is a rare seed if, with its words drawn apart, its share of all places is at most ``chance``, whatever
+the corpus's size. (Words are counted, not n-grams, so a passage copied into a third of all documents is as rare as
+before.) Of every ``EVERY`` n-grams in a row that have no rare one, the rarest is a seed, so that edits to one part of an
+item leave seeds in the others. A second pass joins every document to the items of whose seeds it has one, and aligns the
+words around each seed with the item. The score is the best local alignment (match 1, mismatch and gap -1) over the
+item's number of words; items of more than ``PART`` words are aligned in parts, whose scores are added.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark.sql import types as T
 
 from .common import id_and_bytes, id_type, pieces
 
-SEED, CHANCE, THRESHOLD = 4, 1.0, 0.5
+SEED, CHANCE, THRESHOLD = 3, 1e-8, 0.5
+EVERY, PART = 8, 256
 #: A block of test items: so many items and bytes of text at most (one longer item is a block of its own).
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 8 << 20
 
@@ -63,14 +66,17 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
 
 
 class Index:
-    """A block of test items: its vocabulary, its items as word numbers, and the places of its n-grams."""
+    """A block of test items: its vocabulary, its items' parts as word numbers, and the places of their n-grams."""
 
     def __init__(self, items: list[tuple[int, bytes]], n: int = SEED):
-        self.n, self.vocab, self.items = n, {}, []
+        self.n, self.vocab, self.items, self.parts = n, {}, [], []
         for item, text in items:
             w = words_of(text)
             if w:
-                self.items.append((item, np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w], np.int64)))
+                found = np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w], np.int64)
+                cuts = np.linspace(0, len(w), -(-len(w) // PART) + 1).astype(int)
+                self.parts += [(len(self.items), found[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+                self.items.append((item, len(w)))
         self.size = len(self.vocab)
         self.fit(None, 0)
 
@@ -83,14 +89,20 @@ class Index:
         return out
 
     def fit(self, counts: np.ndarray | None, total: int, chance: float = CHANCE) -> None:
-        """Choose seeds. An item without a rare n-gram keeps its rarest ones, so that none is left without seeds."""
+        """Choose seeds: the rare n-grams, and the rarest of any EVERY in a row without one, so that no part is left without seeds."""
         logs = np.zeros(self.size) if counts is None else np.log(np.maximum(counts, 1) / max(total, 1))
         self.places: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, (_, w) in enumerate(self.items):
+        for k, (_, w) in enumerate(self.parts):
             n = min(self.n, len(w))
             keys = self._mix(w, n)
-            expected = np.array([logs[w[i : i + n]].sum() for i in range(len(keys))]) + np.log(max(total, 1))
-            use = expected <= max(np.log(chance), expected.min())
+            share = logs[np.lib.stride_tricks.sliding_window_view(w, n)].sum(axis=1)
+            use, last = share <= np.log(chance), -1
+            for i in range(len(use)):
+                if use[i]:
+                    last = i
+                elif i - last >= EVERY or (i == len(use) - 1 and last < 0):
+                    last += 1 + int(share[last + 1 : i + 1].argmin())
+                    use[last] = True
             for i in np.flatnonzero(use):
                 self.places[n][int(keys[i])].append((k, int(i)))
         self.places = {n: dict(x) for n, x in self.places.items()}
@@ -117,9 +129,9 @@ class Index:
                 for k, off in self.places[n][int(self._mix(a[i : i + n], n)[0])]:
                     hits[k].add(int(i) - off)
                     seeds[k] += 1
-        out = []
+        of_item: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
         for k, starts in hits.items():
-            item, w = self.items[k]
+            w = self.parts[k][1]
             m, best = len(w), (0, 0, 0)
             slack = m // 2 + self.n
             windows: list[list[int]] = []
@@ -130,14 +142,21 @@ class Index:
                 else:
                     windows.append([lo, hi])
             for lo, hi in windows:
+                if np.isin(a[lo:hi], w).sum() <= best[0]:
+                    continue  # no more words can match than are shared
                 exact = next((s for s in starts if lo <= s and s + m <= hi and np.array_equal(a[s : s + m], w)), None)
                 got = (m, exact - lo, exact - lo + m) if exact is not None else align(w, a[lo:hi])
                 if got[0] > best[0]:
                     best = (got[0], lo + got[1], lo + got[2])
                 if best[0] == m:
                     break
-            if best[0] >= threshold * m:
-                out.append((item, best[0] / m, best[1], best[2], seeds[k]))
+            if best[0]:
+                of_item[self.parts[k][0]].append((*best, seeds[k]))
+        out = []
+        for k, found in of_item.items():
+            (item, m), (score, start, end, n) = self.items[k], zip(*found)
+            if sum(score) >= threshold * m:
+                out.append((item, sum(score) / m, min(start), max(end), sum(n)))
         return out
 
 
