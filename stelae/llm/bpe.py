@@ -61,6 +61,7 @@ class Automaton:
             self._gadget(t, a, b, c)
         self.arcs: dict[int, bool] = {}  # x << 32 | y
         states = max(vocab.values(), default=-1) + 1
+        self.longest = max(map(len, vocab), default=1)
         self.size, self.shorter = [0] * states, [-1] * states  # shorter: the longest token that is a proper prefix, or -1
         self.step: dict[int, int] = {}  # node << 8 | byte -> node of the tree of tokens
         self.ends = [-1]  # the token that ends at a node, or -1
@@ -107,7 +108,7 @@ class Automaton:
 
     def encode(self, word: bytes) -> list[int]:
         """The path of ``word``: from each state the longest token first; a prefix whose (only) path leads nowhere is not tried again."""
-        arcs, size, shorter, step, ends, n = self.arcs, self.size, self.shorter, self.step, self.ends, len(word)
+        arcs, size, shorter, step, ends, n, longest = self.arcs, self.size, self.shorter, self.step, self.ends, len(word), self.longest
         out: list[int] = []
         dead = _NONE
         i, last, y = 0, -1, -1
@@ -115,7 +116,7 @@ class Automaton:
         while i < n:
             if forward:
                 node, y = 0, -1
-                for byte in word[i:] if i else word:
+                for byte in word[i : i + longest]:
                     node = step.get(node << 8 | byte)
                     if node is None:
                         break

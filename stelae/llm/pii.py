@@ -92,7 +92,8 @@ def luhn(digits: str) -> bool:
 
 
 def _is_ip(found: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+    parts = [p.lstrip("0") for p in found.split(".")]  # a part may have any number of zeros
+    return all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
 
 
 def _digits(found: str) -> str:
@@ -190,7 +191,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, n_added, base_sha256, spans): :func:`entities` with counts, a digest of the base kinds and all spans joined."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added): :func:`entities` with counts, a digest of the base kinds and all spans joined."""
 
     def rows(ids, texts):
         out = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "n_added", "base_sha256", "spans")}
@@ -204,5 +205,5 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             out["spans"].append(joined(found))
         return {"doc_id": ids} | out
 
-    counts = ", ".join(f"{c} bigint" for c in ("n_email", "n_ip", "n_card", "n_phone", "n_added"))
-    return map_texts(docs, rows, f"doc_id {id_type(docs, id_col).simpleString()}, {counts}, base_sha256 string, spans string", id_col, text_col)
+    counts = ", ".join(f"{c} bigint" for c in ("n_email", "n_ip", "n_card", "n_phone"))
+    return map_texts(docs, rows, f"doc_id {id_type(docs, id_col).simpleString()}, {counts}, base_sha256 string, spans string, n_added bigint", id_col, text_col)

@@ -26,6 +26,8 @@ KINDS = ("assign", "access", "hex", "token")
 BASE = 3
 AROUND = 32
 SAMPLE_DOCS = 2000
+#: Characters of a finding that training reads at most, and of findings that are scored at once.
+LONGEST, PIECE = 1024, 1 << 15
 RECALL = 0.98
 
 
@@ -53,12 +55,14 @@ def base_findings(text: str) -> list[Span]:
 
 
 def other_candidates(text: str, base: list[Span]) -> list[Span]:
-    """Tokens of 20 characters or more with letters and digits that touch no base finding."""
-    out = []
+    """Tokens of 20 characters or more with letters and digits that touch no base finding. Both come in order of start, so one sweep compares them."""
+    out, k, reach = [], 0, 0
     for m in _long_re.finditer(text):
         found = m[0]
         if any(c in string.digits for c in found) and any(c in string.ascii_letters for c in found):
-            if not any(a < m.end() and m.start() < b for a, _, b in base):
+            while k < len(base) and base[k][0] < m.end():
+                reach, k = max(reach, base[k][2]), k + 1
+            if reach <= m.start():
                 out.append((m.start(), 3, m.end()))
     return out
 
@@ -85,10 +89,9 @@ class Network:
     def _forward(self, findings: list[tuple[str, str, str]]):
         """findings: (before, candidate, after). Windows of the candidate are those that begin in it."""
         w, d, n = self.WIDTH, self.DIM, self.FILTERS
-        rows = [_codes("\x02" * w + a[-AROUND:]).tolist() + _codes(x).tolist() + _codes(b[:AROUND] + "\x03" * w).tolist() for a, x, b in findings]
-        sizes = np.array([len(r) for r in rows])
-        at = np.r_[0, np.cumsum(sizes)]
-        flat = np.array([c for r in rows for c in r], np.uint8) & 127
+        rows = [self._row(*f) for f in findings]
+        at = np.r_[0, np.cumsum([len(r) for r in rows])]
+        flat = np.concatenate(rows)
         e = self.p["embed"][flat]
         windows = np.lib.stride_tricks.sliding_window_view(e, w, axis=0).transpose(0, 2, 1).reshape(-1, w * d)
         y = np.maximum(windows @ self.p["conv"] + self.p["bias"], 0)
@@ -100,10 +103,40 @@ class Network:
         before = np.maximum.reduceat(y, np.stack([at[:-1], start], 1).ravel(), axis=0)[::2]
         return flat, windows, y, at[:-1], start, stop, np.concatenate([inside, mean, before], axis=1).astype(np.float32)
 
+    def _row(self, before: str, found: str, after: str) -> np.ndarray:
+        return _codes("\x02" * self.WIDTH + before[-AROUND:] + found + after[:AROUND] + "\x03" * self.WIDTH) & 127
+
+    def _pooled(self, before: str, found: str, after: str) -> np.ndarray:
+        """The features of one long finding, as of :meth:`_forward`, in pieces of PIECE windows: memory does not grow with it but for its text."""
+        w, flat = self.WIDTH, self._row(before, found, after)
+        start = w + len(before[-AROUND:])
+        stop = start + max(1, len(found))
+        inside, mean, ahead = (np.zeros(self.FILTERS) for _ in range(3))  # responses are never negative
+        for at in range(0, len(flat) - w + 1, PIECE):
+            e = self.p["embed"][flat[at : at + PIECE + w - 1]]
+            windows = np.lib.stride_tricks.sliding_window_view(e, w, axis=0).transpose(0, 2, 1).reshape(-1, w * self.DIM)
+            y = np.maximum(windows @ self.p["conv"] + self.p["bias"], 0)
+            own, lead = y[max(0, start - at) : max(0, stop - at)], y[: max(0, start - at)]
+            if len(own):
+                inside, mean = np.maximum(inside, own.max(axis=0)), mean + own.sum(axis=0, dtype=np.float64)
+            if len(lead):
+                ahead = np.maximum(ahead, lead.max(axis=0))
+        return np.concatenate([inside, mean / (stop - start), ahead]).astype(np.float32)
+
     def raw(self, findings) -> np.ndarray:
-        out = np.empty(len(findings))
-        for k in range(0, len(findings), 256):
-            out[k : k + 256] = self._forward(findings[k : k + 256])[-1] @ self.p["top"] + self.p["shift"]
+        """Scores before calibration, of findings in batches of about PIECE characters; longer ones are pooled in pieces."""
+        out, batch, size = np.empty(len(findings)), [], 0
+        for k, f in enumerate(findings):
+            if len(f[1]) > PIECE:
+                out[k] = (self._pooled(*f) @ self.p["top"] + self.p["shift"])[0]
+                continue
+            batch.append(k)
+            size += len(f[1]) + 2 * AROUND
+            if size > PIECE:
+                out[batch] = self._forward([findings[i] for i in batch])[-1] @ self.p["top"] + self.p["shift"]
+                batch, size = [], 0
+        if batch:
+            out[batch] = self._forward([findings[i] for i in batch])[-1] @ self.p["top"] + self.p["shift"]
         return out
 
     def score(self, findings) -> np.ndarray:
@@ -130,7 +163,7 @@ class Network:
         return {"top": x.T @ g + 1e-4 * p["top"], "shift": g.sum(keepdims=True), "conv": windows.T @ gy, "bias": gy.sum(axis=0), "embed": embed}
 
     def fit(self, findings, labels, rounds: int = 6, batch: int = 64, rate: float = 0.01, recall: float = RECALL, seed: int = 11) -> "Network":
-        """Four fifths fit the weights (Adam), the rest calibrate the score and set the threshold."""
+        """Four fifths fit the weights (Adam); of the rest, one half calibrates the score and the other sets the threshold."""
         labels = np.asarray(labels, np.float32)
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(findings))
@@ -146,9 +179,9 @@ class Network:
                 for k, g in self._step([findings[i] for i in rows], labels[rows]).items():
                     m[k], s[k] = 0.9 * m[k] + 0.1 * g, 0.99 * s[k] + 0.01 * g * g
                     self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-        z, y = self.raw([findings[i] for i in rest]), labels[rest]
-        self.calibrate(z, y)
-        found = np.sort(self.score([findings[i] for i in rest])[y == 1])
+        half, rest = rest[::2], rest[1::2]
+        self.calibrate(self.raw([findings[i] for i in half]), labels[half])
+        found = np.sort(self.score([findings[i] for i in rest])[labels[rest] == 1])
         self.threshold = float(found[int((1 - recall) * len(found))]) if len(found) else 0.5
         return self
 
@@ -203,7 +236,8 @@ def around(text: str, span: Span) -> tuple[str, str, str]:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, recall: float = RECALL) -> Network:
     """Fit on generated findings and on those of at most ``sample_docs`` documents (by hash of doc_id), labelled by the base rules.
 
-    The findings are made where the documents are; at most 4 of each label and document, and 4,000 in all, come to the driver.
+    The findings are made where the documents are; at most 4 of each label and document, none over LONGEST characters, and 4,000 in
+    all, come to the driver.
     """
     few = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
 
@@ -214,6 +248,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, recall: float = RECAL
             base = base_findings(t)
             for label, spans in ((1, base[:4]), (0, other_candidates(t, base)[:4])):
                 for s in spans:
+                    if s[2] - s[0] > LONGEST:
+                        continue
                     for key, x in zip(("before", "found", "after"), around(t, s)):
                         out[key].append(x)
                     out["doc_id"].append(i)
@@ -260,7 +296,7 @@ def joined(spans: list[Span]) -> str:
 
 
 def digests(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_added, base_sha256, spans): :func:`findings` with counts, a digest of the base kinds and all spans joined."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added): :func:`findings` with counts, a digest of the base kinds and all spans joined."""
 
     def rows(ids, texts):
         out = {k: [] for k in ("n_assign", "n_access", "n_hex", "n_added", "base_sha256", "spans")}
@@ -272,5 +308,5 @@ def digests(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col:
             out["spans"].append(joined(found))
         return {"doc_id": ids} | out
 
-    counts = ", ".join(f"{c} bigint" for c in ("n_assign", "n_access", "n_hex", "n_added"))
-    return map_texts(docs, rows, f"doc_id {id_type(docs, id_col).simpleString()}, {counts}, base_sha256 string, spans string", id_col, text_col)
+    counts = ", ".join(f"{c} bigint" for c in ("n_assign", "n_access", "n_hex"))
+    return map_texts(docs, rows, f"doc_id {id_type(docs, id_col).simpleString()}, {counts}, base_sha256 string, spans string, n_added bigint", id_col, text_col)
