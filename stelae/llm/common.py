@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one where it is unset (local tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one where it is unset and driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = f"file://{tempfile.mkdtemp(prefix='spark-stelae-')}"

@@ -52,6 +52,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         was = new
     else:
         raise RuntimeError(f"components: no convergence in {most_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+    out._stage_path = now._stage_path  # the caller may unstage it when it has used the result
+    return out

@@ -23,10 +23,12 @@ SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8 << 20
 THRESHOLD = 0.3
 
 
-def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes padded to whole strides, first strides of chunks, their ends, chunks before each document): every byte lies in a chunk."""
+def layout(texts: list[bytes], goes_on: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes padded to whole strides, first strides of chunks, their ends, chunks before each document): every byte lies in a chunk.
+    A piece that ``goes_on`` ends with the stride that its last window reads ahead; elsewhere that stride is zeros."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    strides = np.maximum((sizes + STRIDE - 1) // STRIDE + 1, 2)  # one more, so that the last window is whole
+    ahead = np.ones(len(texts), np.int64) if goes_on is None else 1 - goes_on.astype(np.int64)
+    strides = np.maximum((sizes + STRIDE - 1) // STRIDE + ahead, 2)
     at = np.r_[0, np.cumsum(strides)]
     flat = np.zeros(int(at[-1]) * STRIDE, np.uint8)
     for t, k in zip(texts, at[:-1]):
@@ -80,7 +82,8 @@ class Network:
         if not texts:
             return np.empty(0)
         step, over = SEGMENT, (CHUNK - HOP) * STRIDE
-        parts = [(i, t[at : at + step + over]) for i, t in enumerate(texts) for at in (range(0, max(len(t) - over, 1), step))]
+        cuts = [(i, at, at + step + over < len(t)) for i, t in enumerate(texts) for at in range(0, max(len(t) - over, 1), step)]
+        parts = [(i, texts[i][at : at + step + over + STRIDE * more], more) for i, at, more in cuts]
         n, k = len(texts), FILTERS
         count, total = np.zeros(n), np.zeros((n, k))
         most, least = np.full((n, k), -np.inf, np.float32), np.full((n, k), np.inf, np.float32)
@@ -90,9 +93,9 @@ class Network:
             while end < len(parts) and (end == at or size + len(parts[end][1]) <= 2 * SEGMENT):
                 size += len(parts[end][1])
                 end += 1
-            flat, first, last, before = layout([t for _, t in parts[at:end]])
+            flat, first, last, before = layout([t for _, t, _ in parts[at:end]], np.array([more for _, _, more in parts[at:end]]))
             top = self.pooled(flat, first, last, before)[1]
-            doc, cut = np.array([i for i, _ in parts[at:end]]), before[:-1]
+            doc, cut = np.array([i for i, _, _ in parts[at:end]]), before[:-1]
             np.add.at(count, doc, np.diff(before))
             np.add.at(total, doc, np.add.reduceat(top, cut))
             np.maximum.at(most, doc, np.maximum.reduceat(top, cut))
@@ -182,17 +185,21 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Network:
-    """Fit on the bounded sample. Texts are taken whole, in order of hash, until ``most_bytes`` are reached."""
-    found = sample(docs, labels, rows).select("k", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "label", F.xxhash64("k").alias("h"))
-    size = found.select("k", "h", F.octet_length("text").alias("n"), "label")
-    sizes = sorted(size.collect(), key=lambda r: (r.h, r.k, r.n))
-    total, take = 0, set()
-    for r in sizes:
-        total += r.n
-        if total <= most_bytes:
-            take.add(r.k)
-    got = found.where(F.col("k").isin(list(take)) if len(take) < len(sizes) else F.lit(True)).collect()
-    got.sort(key=lambda r: (r.h, r.k, bytes(r.text)))
+    """Fit on the bounded sample: one text of each id (the least by hash where ids repeat), taken whole in order of hash; one that
+    does not fit into what is left of ``most_bytes`` is passed over."""
+    found = sample(docs, labels, rows).select("k", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "label").withColumn("x", F.xxhash64("text"))
+    one = found.groupBy("k").agg(F.min(F.struct("x", F.octet_length("text").alias("n"))).alias("o"))
+    sizes = one.select("k", F.xxhash64("k").alias("h"), "o.x", "o.n").collect()  # at most `rows` rows of numbers
+    left, take = most_bytes, []
+    for r in sorted(sizes, key=lambda r: (r.h, r.k)):
+        if r.n <= left:
+            left -= r.n
+            take.append(r)
+    if not take:
+        return Network().fit([], np.empty(0, np.float32))
+    chosen = found.where(F.col("k").isin([r.k for r in take]) & F.col("x").isin([r.x for r in take])).dropDuplicates(["k", "x"]).collect()
+    of = {(r.k, r.x): r for r in chosen}
+    got = [of[r.k, r.x] for r in take]
     return Network().fit([bytes(r.text) for r in got], np.array([r.label for r in got], np.float32))
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, map_texts, stage
+from .common import id_type, map_texts, stage, unstage
 from .components import components
 
 MOST_BITS = 3
@@ -183,4 +183,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stage(of.join(least, "root").select("fp", "component_id"), "simhash-components")
+    unstage(roots)
+    unstage(nodes)
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
