@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stelae.functions.text import date_display
@@ -55,7 +57,13 @@ class Corpus:
             raise ValueError(f"no vector field {field!r}")
         return vectors.top_k(self.df, "id", field, query, limit)
 
-    def hybrid(self, terms: list[str], query: list[float], field: str = "emb_combined", limit: int = 10) -> DataFrame:
+    def hybrid(self, terms: list[str], query: list[float], field: str = "emb_combined", limit: int = 10, rerank: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+        """Reciprocal ranks of words and vectors fused. ``rerank`` makes a score of the rows of the best 5 * ``limit`` records (for
+        instance a pandas UDF around a cross-encoder); they then come by it, equal ones by id."""
+        if rerank is not None:
+            few = self.hybrid(terms, query, field, 5 * limit).select("id")
+            rows = self.df.join(F.broadcast(few), "id")  # at most 5 * limit ids
+            return rows.select("id", rerank(rows).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
         wide = max(2 * limit, 20)
         sparse = self.df.select("id", search.term_rank([(search.words("canonical"), 1.0), (search.words("findspot"), 0.4)], terms).alias("s")).where("s > 0")
         a = vectors.reciprocal_ranks(sparse, [F.desc("s"), F.col("id")], "id", "a", wide)

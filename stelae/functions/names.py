@@ -85,8 +85,13 @@ def sound_distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([sound_distance(x, y) if x is not None and y is not None else None for x, y in zip(a, b)])
 
 
+#: The confidence of a name up to each distance, and beyond them.
+CONFIDENCE = ((0.0, 1.0), (0.5, 0.9), (1.0, 0.8), (1.5, 0.7), (2.0, 0.6))
+LEAST_CONFIDENCE = 0.4
+
+
 def fuzzy_confidence(distance: float) -> float:
-    return next((c for d, c in ((0.3, 0.9), (0.5, 0.8), (1.0, 0.7), (1.5, 0.6)) if distance <= d), 0.4)
+    return next((c for d, c in CONFIDENCE if distance <= d), LEAST_CONFIDENCE)
 
 
 def closest(token: str, names: list[str], most: float = 2.0) -> tuple[str, float] | None:

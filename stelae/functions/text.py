@@ -182,3 +182,8 @@ def gloss_problem(word: Column, gloss: Column, lang: Column, quote: Column, pass
         .when(~lang.isin(languages), "unknown_language")
         .when(~F.contains(passage, quote), "quote_not_in_passage")
     )
+
+
+def iso_timestamp(c: Column) -> Column:
+    """A timestamp in ISO 8601, in UTC with seconds; null stays null."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")

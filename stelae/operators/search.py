@@ -126,13 +126,15 @@ def keyword_in_context(df: DataFrame, keyword: str, context: int, id_col: str =
     """Every occurrence, overlapping ones included, whatever the case: (id, position, left, hit, right), positions from 1."""
     n, text, key = len(keyword), F.col(text_col), keyword.lower()
     # a text is cut before each occurrence, so one pass finds them all and their places are sums of lengths
-    parts = F.split(F.lower(text), "(?=" + re.escape(key) + ")")
+    # of the text as it stands, since lower case may be longer
+    found = "(?iu)" + re.escape(key)
+    parts = F.split(text, "(?iu)(?=" + re.escape(key) + ")")
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
     step = lambda a, x: F.struct(
-        (a["at"] + F.length(x)).alias("at"), F.when((a["at"] > 0) | F.lower(text).startswith(key), F.concat(a["found"], F.array(a["at"] + 1))).otherwise(a["found"]).alias("found")
+        (a["at"] + F.length(x)).alias("at"), F.when((a["at"] > 0) | text.rlike("^" + found), F.concat(a["found"], F.array(a["at"] + 1))).otherwise(a["found"]).alias("found")
     )
     at = F.aggregate(parts, none, step, lambda a: a["found"])
-    hits = df.where(F.lower(text).contains(key)).select(id_col, text_col, F.explode(at).alias("position"))
+    hits = df.where(text.rlike(found)).select(id_col, text_col, F.explode(at).alias("position"))
     p = F.col("position")
     return hits.select(
         id_col,

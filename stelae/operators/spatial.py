@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,18 +29,24 @@ def within_radius(df: DataFrame, lat: float, lon: float, metres: float, lat_col:
     return df.where(box).withColumn("distance_m", F.greatest(far - slack, F.lit(0.0))).where(F.col("distance_m") <= metres)
 
 
-def spatial_join(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lon: str = "lon", prefix: str = "r_", max_lat: float = 70.0) -> DataFrame:
-    """Pairs within ``km``, with ``km`` as ``distance_km``: cells at least that wide, the right side in its nine neighbours,
-    an equi-join on cells, then the exact distance. ``right`` columns get ``prefix``. Latitudes beyond ``max_lat`` need a larger one."""
-    dlat = km / 110.0
-    dlon = km / (110.0 * math.cos(math.radians(max_lat)))
-    cell = lambda c, w: F.floor(F.col(c) / w)
-    a = left.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("_y", cell(lat, dlat)).withColumn("_x", cell(lon, dlon))
+def spatial_join(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lon: str = "lon", prefix: str = "r_") -> DataFrame:
+    """Pairs within ``km``, with ``distance_km``, anywhere on the sphere: points in space fall in cubes as wide as the chord of
+    ``km``, the right side goes to its cube and the 26 around it, an equi-join on cubes, then the exact distance. ``right``
+    columns get ``prefix``. Poles and the date line need no care, as cubes know neither."""
+    wide = max(2 * EARTH_KM * math.sin(min(km / (2 * EARTH_KM), math.pi / 2)) * 1.000001, 1e-6)
+
+    def cubes(y: str, x: str) -> list[Column]:
+        p, q = F.radians(F.col(y)), F.radians(F.col(x))
+        return [F.floor(EARTH_KM * v / wide) for v in (F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p))]
+
+    here = lambda y, x: F.struct(*[c.alias(f"c{k}") for k, c in enumerate(cubes(y, x))])
+    around = F.array(*[F.struct(*[F.lit(v).alias(f"d{k}") for k, v in enumerate(d)]) for d in product((-1, 0, 1), repeat=3)])
+    a = left.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("_cube", here(lat, lon))
     b = right.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*[F.col(c).alias(prefix + c) for c in right.columns])
-    b = b.withColumn("_dy", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("_dx", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    b = b.withColumn("_y", cell(prefix + lat, dlat) + F.col("_dy")).withColumn("_x", cell(prefix + lon, dlon) + F.col("_dx")).drop("_dx", "_dy")
+    b = b.withColumn("_at", here(prefix + lat, prefix + lon)).withColumn("_by", F.explode(around))
+    b = b.withColumn("_cube", F.struct(*[(F.col(f"_at.c{k}") + F.col(f"_by.d{k}")).alias(f"c{k}") for k in range(3)])).drop("_at", "_by")
     far = haversine_km(F.col(lat), F.col(lon), F.col(prefix + lat), F.col(prefix + lon))
-    return a.join(b, ["_y", "_x"]).withColumn("distance_km", far).where(F.col("distance_km") <= km).drop("_y", "_x")
+    return a.join(b, "_cube").withColumn("distance_km", far).where(F.col("distance_km") <= km).drop("_cube")
 
 
 def place_and_time_score(distance_km: Column, years: Column) -> Column:

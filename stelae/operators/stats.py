@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,19 +23,39 @@ def letter_frequencies(df: DataFrame, by: str, text_col: str, alphabet: str) ->
 
 
 def chi_squared(counts: DataFrame, row: str, col: str, n: str) -> DataFrame:
-    """One row (chi2, dof, total, cramers_v) of a contingency table in long form; rows and columns that sum to 0 fall out;
-    Yates' correction at one degree of freedom."""
+    """One row (chi2, dof, total, cramers_v, p_value, significant) of a contingency table in long form; rows and columns that sum
+    to 0 fall out; Yates' correction at one degree of freedom; significant below 0.05. Without a degree of freedom chi2 says
+    nothing: p_value 1."""
     live = counts.where(F.col(n) > 0)
-    rows, cols = live.groupBy(row).agg(F.sum(n).alias("r")), live.groupBy(col).agg(F.sum(n).alias("c"))
-    all_ = live.agg(F.sum(n).alias("t"), F.count_distinct(row).alias("nr"), F.count_distinct(col).alias("nc"))
-    cells = rows.crossJoin(F.broadcast(cols)).join(live.select(row, col, F.col(n).alias("o")), [row, col], "left").crossJoin(F.broadcast(all_))
-    expected = F.col("r") * F.col("c") / F.col("t")
-    dof = (F.col("nr") - 1) * (F.col("nc") - 1)
-    gap = F.abs(F.coalesce("o", F.lit(0)) - expected)
+    rows, cols = live.groupBy(row).agg(F.sum(n).alias("_r")), live.groupBy(col).agg(F.sum(n).alias("_c"))
+    all_ = live.agg(F.sum(n).alias("_t"), F.count_distinct(row).alias("_nr"), F.count_distinct(col).alias("_nc"))
+    cells = rows.crossJoin(F.broadcast(cols)).join(live.select(row, col, F.col(n).alias("_o")), [row, col], "left").crossJoin(F.broadcast(all_))
+    expected = F.col("_r") * F.col("_c") / F.col("_t")
+    dof = (F.col("_nr") - 1) * (F.col("_nc") - 1)
+    gap = F.abs(F.coalesce("_o", F.lit(0)) - expected)
     gap = F.when(dof == 1, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    out = cells.select((gap * gap / expected).alias("x"), dof.alias("dof"), "t", F.least("nr", "nc").alias("k"))
-    made = out.agg(F.sum("x").alias("chi2"), F.max("dof").alias("dof"), F.max("t").alias("total"), F.max("k").alias("k"))
-    return made.select("chi2", "dof", "total", F.sqrt(F.col("chi2") / (F.col("total") * (F.col("k") - 1))).alias("cramers_v"))
+    out = cells.select((gap * gap / expected).alias("x"), dof.alias("dof"), "_t", F.least("_nr", "_nc").alias("k"))
+    made = out.agg(F.sum("x").alias("chi2"), F.max("dof").alias("dof"), F.max("_t").alias("total"), F.max("k").alias("k"))
+    out = made.select("chi2", "dof", "total", F.sqrt(F.col("chi2") / (F.col("total") * (F.col("k") - 1))).alias("cramers_v"))
+    return out.withColumn("p_value", chi_square_tail(F.col("chi2"), F.col("dof"))).withColumn("significant", F.col("p_value") < 0.05)
+
+
+def chi_square_tail(x: Column, dof: Column) -> Column:
+    """Of a chi-square variable with a whole number of degrees of freedom, the chance to exceed ``x``: 1 minus the series of the
+    lower incomplete gamma function, with the gamma function as a product down from ``dof`` / 2."""
+    a, z = dof / 2, x / 2
+    step = lambda s, i: F.struct((s["t"] * z / (a + i)).alias("t"), (s["sum"] + s["t"] * z / (a + i)).alias("sum"))
+    zero = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100) + F.ceil(z * 2).cast("int")), zero, step, lambda s: s["sum"])
+    log_gamma = F.aggregate(F.sequence(F.lit(0), F.ceil(a).cast("int") - 1), F.lit(0.0), lambda s, i: s + F.ln(a - i)) + F.when(dof % 2 == 1, math.log(math.pi) / 2).otherwise(0.0)
+    below = F.exp(a * F.ln(z) - z - log_gamma) * series
+    return F.when((dof <= 0) | (x <= 0), 1.0).when(z > 700, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - below))
+
+
+def softmax(scores: Column) -> Column:
+    """An array of scores as shares that sum to 1."""
+    raised = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
+    return F.transform(raised, lambda e: e / F.aggregate(raised, F.lit(0.0), lambda t, v: t + v))
 
 
 def dating_features(canonical: Column) -> dict[str, Column]:

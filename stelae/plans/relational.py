@@ -145,12 +145,12 @@ def vocabulary_top_n(spark, d):
     return A.vocabulary(table(spark, d, "documents"), "text", "[a-z]+", 3, 12, 200)
 
 
-@query("""WITH t AS (SELECT item_id, text FROM benchmark WHERE length(text) >= 6), g AS (
-SELECT DISTINCT item_id, substring(text, CAST(i AS INT), n) AS gram FROM t, (VALUES (4), (5), (6)) v(n), unnest(range(1, 500)) u(i) WHERE i <= length(text) - n + 1),
+@query("""WITH t AS (SELECT doc_id, text FROM documents WHERE length(text) >= 6), x AS (SELECT doc_id, text, n, unnest(range(1, length(text) - n + 2)) AS i FROM t, (VALUES (4), (5), (6)) v(n)), g AS (
+SELECT DISTINCT doc_id, substring(text, CAST(i AS INT), n) AS gram FROM x),
 f AS (SELECT gram, count(*) AS documents FROM g WHERE NOT regexp_matches(gram, '\\s') GROUP BY gram HAVING count(*) BETWEEN 3 AND 20 ORDER BY length(gram) DESC, documents, gram LIMIT 40)
-SELECT f.gram, f.documents, array_to_string(list_sort(list(g.item_id))[1:10], ',') AS ids FROM f JOIN g ON f.gram = g.gram GROUP BY ALL""")
+SELECT f.gram, f.documents, array_to_string(list_sort(list(g.doc_id))[1:10], ',') AS ids FROM f JOIN g ON f.gram = g.gram GROUP BY ALL""")
 def discriminating_ngrams(spark, d):
-    found = A.ngram_gold(table(spark, d, "benchmark"), "item_id", "text", (4, 6), (3, 20), 40, 10)
+    found = A.ngram_gold(table(spark, d, "documents"), "doc_id", "text", (4, 6), (3, 20), 40, 10)
     return found.withColumn("ids", F.array_join("ids", ","))
 
 
@@ -243,10 +243,10 @@ def period_gold_sets(spark, d):
     return met.groupBy("period").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_id")).where("n >= 5")
 
 
-@query("""WITH a AS (SELECT DISTINCT p_partkey AS a, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey <= 300), b AS (SELECT DISTINCT p_partkey AS b, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey > 300),
+@query("""WITH a AS (SELECT DISTINCT p_partkey AS a, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey % 50 = 0), b AS (SELECT DISTINCT p_partkey AS b, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey % 50 <> 0),
 m AS (SELECT a, b, count(*) AS shared, max(length(w)) AS longest FROM a JOIN b USING (w) WHERE length(w) > 3 GROUP BY ALL HAVING count(*) >= 2 OR max(length(w)) >= 6)
 SELECT a, b, shared FROM m QUALIFY row_number() OVER (PARTITION BY a ORDER BY b) = 1""")
 def word_overlap_match(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
-    left, right = p.where("p_partkey <= 300").withColumnRenamed("p_partkey", "a"), p.where("p_partkey > 300").withColumnRenamed("p_partkey", "b")
+    left, right = p.where("p_partkey % 50 = 0").withColumnRenamed("p_partkey", "a"), p.where("p_partkey % 50 <> 0").withColumnRenamed("p_partkey", "b")
     return J.word_overlap(left, right, "a", "b", "w")

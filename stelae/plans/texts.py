@@ -113,7 +113,7 @@ x AS (SELECT power(coalesce(n.n, 0) - r.r * c.c / t.t, 2) / (r.r * c.c / t.t) AS
 SELECT round(sum(x), 6)::DOUBLE AS chi2, (SELECT count(*) - 1 FROM c) AS dof, (SELECT t FROM t)::BIGINT AS total, round(sqrt(sum(x) / (SELECT t FROM t)), 9)::DOUBLE AS cramers_v FROM x""")
 def chi2_two_sites(spark, d):
     two = S.letter_frequencies(table(spark, d, "documents").where("source in ('src1', 'src2')"), "source", "text", _LETTERS)
-    return S.chi_squared(two, "source", "letter", "n").withColumn("chi2", F.round("chi2", 6)).withColumn("cramers_v", F.round("cramers_v", 9))
+    return S.chi_squared(two, "source", "letter", "n").drop("p_value", "significant").withColumn("chi2", F.round("chi2", 6)).withColumn("cramers_v", F.round("cramers_v", 9))
 
 
 def _feature_sql() -> str:

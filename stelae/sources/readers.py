@@ -44,9 +44,10 @@ def safe_int(c: str | Column) -> Column:
     return safe_float(c).try_cast("int")
 
 
-def raw_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """All columns as text, quotes doubled within quotes, fields over several lines."""
-    return spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", True).csv(path)
+def raw_csv(spark: SparkSession, path: str, sep: str = ",", lines_in_fields: bool = False) -> DataFrame:
+    """All columns as text, quotes doubled within quotes. Files are split among tasks; with ``lines_in_fields``, where quoted fields
+    go over several lines, each file is one task's."""
+    return spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", lines_in_fields).csv(path)
 
 
 def pick_text_column(columns: list[str], wanted: str | None = None) -> str:
@@ -172,7 +173,9 @@ def tei(texts: DataFrame, xml: str = "xml") -> DataFrame:
     Malformed documents keep a row with ``problem``."""
     x = F.regexp_replace(F.regexp_replace(F.col(xml), r"""\sxmlns(:\w+)?=("[^"]*"|'[^']*')""", ""), r"(</?)\w+:", "$1")
     x = F.regexp_replace(x, r"\s(xml):(\w+)=", " $2=")
-    ok = F.col(xml).rlike(r"(?s)^\s*<.*>\s*$")
+    # parsed once in the tolerant mode, as XPath ends the job on a malformed document
+    bad = F.from_xml(x, "_bad string, _any string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})["_bad"]
+    ok = F.col(xml).rlike(r"(?s)^\s*<.*>\s*$") & bad.isNull()
     get = lambda path: F.nullif(F.trim(F.xpath_string(F.when(ok, x), F.lit(path))), F.lit(""))
     a, b, when = (safe_int(get(f"//origDate/@{k}")) for k in ("notBefore-custom", "notAfter-custom", "when-custom"))
     geo = F.split(get("//geo"), r"\s+")

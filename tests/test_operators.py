@@ -194,3 +194,78 @@ def test_best_match_among_more_than_1000_names(spark, tmp_path):
 
     spark.createDataFrame([(i, f"name{i:04d}", f"name{i:04d}") for i in range(1200)], "p_partkey bigint, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
     assert fuzzy_best_match_levenshtein(spark, str(tmp_path)).where("score = 1").count() == 1200
+
+
+def test_confidence_ladder():
+    from stelae.functions.names import fuzzy_confidence
+
+    at = (0.0, 0.3, 0.5, 0.8, 1.0, 1.3, 1.5, 1.8, 2.0, 2.1)
+    assert [fuzzy_confidence(d) for d in at] == [1.0, 0.9, 0.9, 0.8, 0.8, 0.7, 0.7, 0.6, 0.6, 0.4]
+
+
+def test_spatial_join_on_the_whole_sphere(spark):
+    import math
+    import random
+
+    from stelae.operators import spatial
+
+    rng = random.Random(1)
+    points = [(0, 80.0, 10.0), (1, 80.0, 10.9), (2, 0.0, 179.999), (3, 0.0, -179.999), (4, 90.0, 0.0), (5, 89.99, 120.0), (6, -90.0, 5.0), (7, -89.95, -170.0), (8, None, 1.0)]
+    points += [(i, math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180)) for i in range(10, 200)]
+
+    def far(a, b):
+        (_, p, q), (_, r, s) = a, b
+        h = math.sin(math.radians(r - p) / 2) ** 2 + math.cos(math.radians(p)) * math.cos(math.radians(r)) * math.sin(math.radians(s - q) / 2) ** 2
+        return 2 * 6371 * math.asin(math.sqrt(min(1, h)))
+
+    df = spark.createDataFrame(points, "id int, lat double, lon double")
+    known = [p for p in points if p[1] is not None]
+    for km in (20.0, 900.0, 25_000.0):
+        got = {(r.id, r.r_id) for r in spatial.spatial_join(df, df, km).select("id", "r_id").collect()}
+        assert got == {(a[0], b[0]) for a in known for b in known if far(a, b) <= km}
+    assert spatial.spatial_join(df, df, 20.0).count() == spatial.spatial_join(df, df, 20.0).distinct().count()
+
+
+def test_chi_square_tail_and_softmax(spark):
+    from stelae.operators import stats
+
+    rows = [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (11.070498, 5, 0.05), (6.634897, 1, 0.01), (124.342113, 100, 0.05), (0.0, 3, 1.0), (5.0, 0, 1.0), (2000.0, 4, 0.0)]
+    df = spark.createDataFrame(rows, "x double, d int, p double")
+    assert all(abs(r.got - r.p) < 1e-6 for r in df.select("p", stats.chi_square_tail(F.col("x"), F.col("d")).alias("got")).collect())
+    table = spark.createDataFrame([("a", "x", 30), ("a", "y", 10), ("b", "x", 10), ("b", "y", 30)], "r string, c string, n int")
+    (one,) = stats.chi_squared(table, "r", "c", "n").collect()
+    assert one.significant and abs(one.p_value - 1.7e-5) < 5e-6
+    (same,) = stats.chi_squared(table.withColumn("n", F.lit(7)), "r", "c", "n").collect()
+    assert not same.significant and same.p_value == 1.0
+    (s,) = spark.createDataFrame([([1.0, 2.0, 1002.0],)], "s array<double>").select(stats.softmax(F.col("s")).alias("s")).collect()
+    assert abs(sum(s.s) - 1) < 1e-12 and s.s[2] > 0.99
+
+
+def test_keyword_places_are_those_of_the_text(spark):
+    from stelae.operators import search
+
+    df = spark.createDataFrame([(1, "\u0130\u0130 abc KEY xyz key"), (2, "keyKey"), (3, "none"), (4, None)], "id int, text string")
+    got = sorted(tuple(r) for r in search.keyword_in_context(df, "key", 3).collect())
+    assert got == [(1, 8, "bc ", "KEY", " xy"), (1, 16, "yz ", "key", ""), (2, 1, "", "key", "Key"), (2, 4, "key", "Key", "")]
+
+
+def test_malformed_tei_keeps_its_row(spark):
+    from stelae.sources.readers import tei
+
+    good = "<TEI xmlns='http://x'><idno type='filename'>g</idno><origPlace>here</origPlace><div type='edition'>mi</div></TEI>"
+    df = spark.createDataFrame([(1, good), (2, "<a><b></a>"), (3, "no xml"), (4, None), (5, "<a>&bad;</a>")], "n int, xml string")
+    got = {r.n: r for r in tei(df).collect()}
+    assert (got[1].id, got[1].place, got[1].text, got[1].problem) == ("g", "here", "mi", None)
+    assert [got[n].problem for n in (2, 3)] == ["not XML"] * 2 and len(got) == 5
+
+
+def test_reranked_hybrid_and_timestamps(spark):
+    from stelae.engine import Corpus
+    from stelae.functions.text import iso_timestamp
+
+    rows = [(f"r{i}", "mi " * (i + 1) + "larthal", "Caere", [1.0, i / 10]) for i in range(12)]
+    df = spark.createDataFrame(rows, "id string, canonical string, findspot string, emb_combined array<double>")
+    got = Corpus(df).hybrid(["larthal"], [1.0, 0.0], limit=3, rerank=lambda found: F.length("canonical")).collect()
+    assert [r.id for r in got] == ["r11", "r10", "r9"]
+    (t,) = spark.sql("SELECT timestamp'2024-03-01 12:00:00+02:00' AS t").select(iso_timestamp(F.col("t")).alias("t")).collect()
+    assert t.t == "2024-03-01T10:00:00Z"
