@@ -38,8 +38,11 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     chosen = marked.join(simhash.component_of(marked), "fp").groupBy("root").agg(first)
     chosen = stage(chosen.select("root", F.col("x.doc_id").alias("_id"), F.col("x.h").alias("_h")), "near-copies-chosen")
     packed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.struct(*docs.columns).alias("row"))  # no column of docs stands beside ours
-    kept = packed.join(chosen, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
-    return kept.groupBy("root").agg(F.min("row").alias("row")).select("row.*")
+    # rows meet on one key, so the aggregation that makes equal rows one needs no shuffle of its own; the rest is compared beside it
+    packed = packed.withColumn("k", F.xxhash64("h", "id"))
+    same_id = (F.isnull("id").cast("int") + F.isnull("_id").cast("int") != 1) & F.coalesce(F.greatest("id", "_id") == F.least("id", "_id"), F.lit(True))
+    kept = packed.join(chosen.withColumn("k", F.xxhash64("_h", "_id")), "k").where(same_id & (F.greatest("h", "_h") == F.least("h", "_h")))
+    return kept.groupBy("k", "_id", "_h").agg(F.min("row").alias("row")).select("row.*")
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
