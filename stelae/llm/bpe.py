@@ -33,8 +33,8 @@ AFTER_16 = """
     3d000-3fc3f
 """
 #: Entries of a worker's table of encoded words; it is emptied when full, so that memory is bounded.
-MOST_WORDS = 500_000
-MOST_ARCS = 1_000_000
+MOST_WORDS = 200_000
+MOST_ARCS = 500_000
 
 
 def byte_of_char() -> dict[str, int]:

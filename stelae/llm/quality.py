@@ -18,7 +18,7 @@ from .common import id_type, map_texts
 
 DIM, FILTERS, STRIDE = 8, 24, 4
 CHUNK, HOP = 64, 48  # in strides
-SEGMENT = HOP * STRIDE * 2048  # bytes read at once
+SEGMENT = HOP * STRIDE * 1024  # bytes read at once
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8 << 20
 THRESHOLD = 0.3
 
