@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import running_sum
+
 
 def hash_order(id_col: str, seed: int = 42) -> Column:
     """A fixed shuffle that any engine can repeat: MD5 of id and seed."""
@@ -28,9 +30,9 @@ def lemma_hits(docs: DataFrame, id_col: str, tokens: Column, lemmas: DataFrame,
 def text_disjoint_split(df: DataFrame, id_col: str, label_col: str, key_col: str, share: float, least: int = 2, seed: int = 42) -> DataFrame:
     """``df`` with ``split``: of each label a share (at least ``least`` rows) in hash order is test, and so is every row that
     shares a text key with one of them, so that no text is on both sides."""
-    w = Window.partitionBy(label_col).orderBy(hash_order(id_col, seed), id_col)
     n = df.groupBy(label_col).agg(F.count("*").alias("_n"))
-    ranked = df.join(n, label_col).withColumn("_r", F.row_number().over(w))
+    rows = df.select(id_col, label_col, key_col, hash_order(id_col, seed).alias("_o"))
+    ranked = running_sum(rows, [label_col], ["_o", id_col], F.lit(1), "_r").join(n, label_col)
     drawn = ranked.where(F.col("_r") <= F.greatest(F.lit(least), F.floor(F.col("_n") * share)))
     keys = drawn.select(key_col).distinct().withColumn("_t", F.lit(True))
     return df.join(keys, key_col, "left").withColumn("split", F.when(F.col("_t"), "test").otherwise("train")).drop("_t")
@@ -41,8 +43,8 @@ def group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 42) -
     n = df.groupBy(group, label).agg(F.count("*").alias("n"))
     major = n.groupBy(group).agg(F.max_by(label, F.struct("n", label)).alias("major"))
     labels = major.select("major").distinct().withColumn("_l", F.dense_rank().over(Window.orderBy("major")) - 1)  # as many rows as labels
-    w = Window.partitionBy("major").orderBy(hash_order(group, seed), group)
-    dealt = major.join(F.broadcast(labels), "major").withColumn("_r", F.row_number().over(w) - 1)
+    ranked = running_sum(major.withColumn("_o", hash_order(group, seed)), ["major"], ["_o", group], F.lit(1), "_n")
+    dealt = ranked.join(labels, "major").withColumn("_r", F.col("_n") - 1)
     return dealt.select(group, "major", F.pmod(F.col("_r") + F.col("_l"), F.lit(k)).cast("int").alias("fold"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import fixed, running_sum
+
 
 def descendants(seeds: DataFrame, edges: DataFrame, parent: str, child: str, most_depth: int | None = None) -> DataFrame:
     """(root, node, depth): all that is reached from each seed (column ``root``) over parent -> child edges, each at its least depth.
@@ -20,7 +22,7 @@ def descendants(seeds: DataFrame, edges: DataFrame, parent: str, child: str, mos
         depth += 1
         reached = newest.join(step, "node").select("root", F.col("_next").alias("node")).distinct()
         newest = reached.join(found, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        newest = newest.checkpoint() if _shared(newest) else newest.persist()
+        newest = fixed(newest)
         if newest.isEmpty():
             return found
         if most_depth is not None and depth > most_depth:
@@ -28,11 +30,6 @@ def descendants(seeds: DataFrame, edges: DataFrame, parent: str, child: str, mos
         found = found.unionByName(newest)
 
 
-def _shared(df: DataFrame) -> bool:
-    """Whether the cluster names a shared folder, where lineage is cut; a local session caches."""
-    return bool(df.sparkSession.conf.get("spark.checkpoint.dir", None))
-
-
 def network(entities: DataFrame, relations: DataFrame, entity: str, source: str, target: str, around: DataFrame) -> DataFrame:
     """Edges that touch, at either end, the entities listed in ``around``, each once."""
     ids = around.select(entity).distinct()
@@ -49,21 +46,11 @@ def named_edges(relations: DataFrame, names: DataFrame, source: str, target: str
 
 
 def numbered(df: DataFrame, order: str, prefix: str = "P", digits: int = 5) -> DataFrame:
-    """``df`` with ids ``P00000``... in order: rows are ranged by ``order``, and a rank within each range adds to the ranges before.
-
-    The counts of ranges (one row for each partition) are all that is gathered.
-    """
-    from pyspark.sql.window import Window
-
-    ranged = df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.checkpoint() if _shared(df) else ranged.persist()  # ranges are read twice and must be the same
-    w = Window.partitionBy("_p").orderBy(order)
-    inside = ranged.withColumn("_r", F.row_number().over(w) - 1)
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-    number = (F.col("_b") + F.col("_r")).cast("string")
+    """``df`` with ids ``P00000``... in order: rows are ranged by ``order``, and a rank within each range adds to the ranges before."""
+    ranked = running_sum(df, [], [order], F.lit(1), "_r")
+    number = (F.col("_r") - 1).cast("string")
     made = F.concat(F.lit(prefix), F.when(F.length(number) < digits, F.lpad(number, digits, "0")).otherwise(number))
-    return inside.join(F.broadcast(before), "_p").withColumn("person_id", made).drop("_p", "_r", "_b")
+    return ranked.withColumn("person_id", made).drop("_r")
 
 
 def parent_links(roles: DataFrame, person: str, gens: str, name: str, patronymic_stem: str) -> DataFrame:

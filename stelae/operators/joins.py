@@ -11,9 +11,10 @@ from pyspark.sql.window import Window
 
 def join_on_either(left: DataFrame, right: DataFrame, left_key: str, right_keys: list[str]) -> DataFrame:
     """Rows of ``left`` and ``right`` where ``left_key`` equals any of ``right_keys``, each pair once: a union of equi-joins
-    in place of a nested loop over a disjunction. Pairs are told apart by all their columns."""
-    parts = [left.join(right, F.col(left_key) == F.col(k)) for k in right_keys]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    in place of a nested loop over a disjunction. A pair is the first alternative's that it meets, so repeated rows stay repeated."""
+    key = F.col(left_key)
+    parts = [left.join(right, reduce(lambda a, k: a & ~key.eqNullSafe(F.col(k)), right_keys[:i], key == F.col(k))) for i, k in enumerate(right_keys)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def shared_identifiers(df: DataFrame, id_col: str, identifiers: list[str]) -> DataFrame:

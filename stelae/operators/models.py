@@ -87,15 +87,15 @@ def silhouette(x: np.ndarray, labels: list[int]) -> float:
 def site_clusters(df: DataFrame, site: str, text: str, alphabet: str, least_texts: int = 5, most: int = 8, most_sites: int = 2000) -> DataFrame:
     """(site, cluster, pc1, pc2): sites of ``least_texts`` or more by letter shares; the number of clusters has the best silhouette.
 
-    Shares are an aggregation over all texts. Sites are few (an error beyond ``most_sites``), and their matrix is one group's.
+    Shares are an aggregation over all texts. Sites are few (an error beyond ``most_sites``, before any is gathered), and their matrix is one group's.
     """
     big = df.groupBy(site).agg(F.count("*").alias("_n")).where(F.col("_n") >= least_texts).select(site)
+    if big.limit(most_sites + 1).count() > most_sites:
+        raise ValueError(f"more than {most_sites} sites")
     shares = letter_frequencies(df.join(big, site, "left_semi"), site, text, alphabet)
     rows = shares.groupBy(site).agg(F.transform(F.array_sort(F.collect_list(F.struct("letter", "share"))), lambda s: s["share"]).alias("v")).withColumn("_one", F.lit(1))
 
     def cluster(frame):
-        if len(frame) > most_sites:
-            raise ValueError(f"{len(frame)} sites; {most_sites} at most")
         frame = frame.sort_values(site).reset_index(drop=True)
         x = np.array(frame["v"].tolist())
         n = len(x)

@@ -56,17 +56,22 @@ def bind(a: Column, b: Column) -> Column:
 
 
 def bundle(df: DataFrame, id_col: str, roles: str, dim: int = 256, most_places: int = 12) -> DataFrame:
-    """(id, content, structure): sums of role * filler and of role * place. Elements are summed by position, so no group is held as vectors."""
-    rows = df.select(id_col, F.posexplode(roles).alias("place", "r"))
-    place = F.least(F.col("place"), F.lit(most_places - 1)).cast("string")
-    made = rows.select(
-        id_col,
-        bind(atom(F.concat(F.lit("role "), "r.role"), dim), atom(F.concat(F.lit("word "), "r.filler"), dim)).alias("c"),
-        bind(atom(F.concat(F.lit("role "), "r.role"), dim), atom(F.concat(F.lit("place "), place), dim)).alias("s"),
-    )
-    cells = made.select(id_col, F.posexplode(F.arrays_zip("c", "s")).alias("i", "x")).groupBy(id_col, "i").agg(F.sum("x.c").alias("c"), F.sum("x.s").alias("s"))
-    row = F.array_sort(F.collect_list(F.struct("i", "c", "s")))
-    return cells.groupBy(id_col).agg(row.alias("v")).select(id_col, F.transform("v", lambda v: v["c"]).alias("content"), F.transform("v", lambda v: v["s"]).alias("structure"))
+    """(id, content, structure): sums of role * filler and of role * place, added up within each row. Places after the first
+    ``most_places`` share an atom, as the number of atoms for places is fixed. Rows without roles have no vectors."""
+    zeros = F.array_repeat(F.lit(0.0), dim)
+
+    def total(made) -> Column:
+        return F.aggregate(F.transform(roles, made), zeros, lambda a, x: F.zip_with(a, x, lambda u, v: u + v))
+
+    def role(r: Column) -> Column:
+        return atom(F.concat(F.lit("role "), r["role"]), dim)
+
+    def place(i: Column) -> Column:
+        return atom(F.concat(F.lit("place "), F.least(i, F.lit(most_places - 1)).cast("string")), dim)
+
+    content = total(lambda r: bind(role(r), atom(F.concat(F.lit("word "), r["filler"]), dim)))
+    structure = total(lambda r, i: bind(role(r), place(i)))
+    return df.where(F.size(roles) > 0).select(id_col, content.alias("content"), structure.alias("structure"))
 
 
 def unbound(content: Column, role: str, dim: int = 256) -> Column:

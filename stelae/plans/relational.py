@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from stelae.operators import aggregates as A
 from stelae.operators import joins as J
 from stelae.operators import search as S
+from stelae.operators.ranks import running_sum
 
 from .base import Family, table
 
@@ -170,8 +171,10 @@ def trailing_24h_cap(spark, d):
 
 @query("""SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE UNBOUNDED PRECEDING) AS position FROM events""")
 def queue_position(spark, d):
-    w = Window.partitionBy("event_type").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", F.count("*").over(w).alias("position"))
+    e = table(spark, d, "events").select("event_id", "event_type", "ts")
+    at = e.groupBy("event_type", "ts").agg(F.count("*").alias("n"))  # events of one moment share a position
+    at = running_sum(at, ["event_type"], ["ts"], F.col("n"), "position").select(F.col("event_type").alias("k"), F.col("ts").alias("t"), "position")
+    return e.join(at, e["event_type"].eqNullSafe(at["k"]) & e["ts"].eqNullSafe(at["t"])).select("event_id", "position")
 
 
 @query("""WITH r AS (SELECT event_type, user_id, sum(value) AS s FROM events GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY s DESC, user_id) AS n,

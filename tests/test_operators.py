@@ -269,3 +269,24 @@ def test_reranked_hybrid_and_timestamps(spark):
     assert [r.id for r in got] == ["r11", "r10", "r9"]
     (t,) = spark.sql("SELECT timestamp'2024-03-01 12:00:00+02:00' AS t").select(iso_timestamp(F.col("t")).alias("t")).collect()
     assert t.t == "2024-03-01T10:00:00Z"
+
+
+def test_running_sums_of_a_key_over_many_tasks(spark):
+    from stelae.operators.ranks import running_sum
+
+    made = [("hot" if i % 3 else None, (i * 37) % 1000, i) for i in range(1000)] + [("rare", 5, 2000)]
+    df = spark.createDataFrame(made, "k string, o int, id int").repartition(7)
+    got = {r["id"]: r["s"] for r in running_sum(df, ["k"], ["o", "id"], F.lit(1), "s").collect()}
+    want, seen = {}, {}
+    for k, o, i in sorted(made, key=lambda x: x[1:]):
+        seen[k] = seen.get(k, 0) + 1
+        want[i] = seen[k]
+    assert got == want
+    assert running_sum(df.where("false"), ["k"], ["o", "id"], F.lit(1), "s").count() == 0
+
+
+def test_join_on_either_keeps_repeated_rows(spark):
+    left = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "k int, v string")
+    right = spark.createDataFrame([(1, 1), (2, None), (None, 2), (3, 1)], "a int, b int")
+    got = [(r["k"], r["a"], r["b"]) for r in joins.join_on_either(left, right, "k", ["a", "b"]).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 1, 1), (1, 1, 1), (1, 3, 1), (1, 3, 1), (2, 2, None), (2, None, 2)], key=repr)
