@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, passages, pii, quality, robust, rollup, secrets, simhash
+from . import bpe, chat, decontaminate, passages, pii, quality, robust, rollup, secrets, simhash, suffixes
 from .common import shared_dir, stage, table
 
 
@@ -123,6 +123,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(docs, secrets.train(docs))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -136,6 +140,7 @@ QUERIES = {
         op8_bpe,
         op9_chat_rotation,
         op10_secrets,
+        op13_suffix_dedup,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op6_token_rollup": _OP6_SQL, "op9_chat_rotation": _OP9_SQL}
