@@ -34,8 +34,8 @@ from .common import pieces, shared_dir, stage, unstage
 
 SPAN, GRAM = 50, 24
 #: Bytes of text in a shard, of text for each range of anchors, and of stretches in a suffix array; shards that make an anchor hot.
-SHARD, RANGE, CHUNK, HOT = 4 << 20, 16 << 20, 2 << 20, 64
-_BLOCK = 1 << 20
+SHARD, RANGE, CHUNK, HOT = 4 << 20, 4 << 20, 1 << 20, 64
+_BLOCK = 1 << 16
 _LOW = np.uint64(0xFFFF_FFFF)
 _WIDEST = 2 * SPAN - GRAM
 
@@ -352,8 +352,9 @@ def _shared(batches):
 
 
 class _Stretches:
-    """What a shard's candidates rule: ``place``, ``size``, ``doc`` of every stretch, ``unique`` (its number among the different ones,
-    which are in order of range and bytes), and of those ``r``, ``rep`` (a stretch that has it), ``least`` and ``many`` (documents)."""
+    """What a shard's candidates rule. ``place``, ``doc`` and ``unique`` (its number among the different ones) of every stretch; of the
+    different ones ``least`` and ``many`` (their documents). What is sent are parts of the different ones, all of one or, where the
+    anchor is hot, each window, in order of range: ``r``, ``of`` (the stretch), ``begin`` (the first window), ``size`` and ``at`` (a place)."""
 
     def __init__(self, ids: np.ndarray, known: np.ndarray, ends: np.ndarray, flat: np.ndarray, blobs: list[bytes], ranges: int):
         first, last, key = ruled(flat, ends)
@@ -361,32 +362,42 @@ class _Stretches:
         doc = np.searchsorted(ends, first, "right")
         at = np.minimum(np.searchsorted(said >> np.uint64(1), key >> np.uint64(1)), len(said) - 1)
         use = (said[at] >> np.uint64(1) == key >> np.uint64(1)) & known[doc]
-        hot = use & (said[at] & np.uint64(1) > 0)
-        cold = use & ~hot
-        count = (last - first + 1)[hot]
-        single = np.repeat(first[hot], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        by_own = np.empty(0, np.uint64)
-        if len(single):
-            by_own = _window_hashes(flat, single)
-        self.place = np.concatenate([first[cold], single])
-        self.size = np.concatenate([(last - first)[cold] + SPAN, np.full(len(single), SPAN, np.int64)])
-        self.doc = ids[np.concatenate([doc[cold], np.repeat(doc[hot], count)])]
-        r = _range(np.concatenate([key[cold] & ~np.uint64(1), by_own]), ranges)
-        text = np.zeros((len(r), _WIDEST + 1), np.uint8)
-        padded = np.concatenate([flat, np.zeros(_WIDEST, np.uint8)])
-        for k in range(_WIDEST):
-            text[:, k] = np.where(k < self.size, padded[self.place + k], 0)
-        text[:, _WIDEST] = self.size
-        strings = text.view(f"S{_WIDEST + 1}").ravel()
-        order = np.lexsort((self.doc, strings, r)) if len(r) else np.empty(0, np.int64)
-        s, g, d = strings[order], r[order], self.doc[order]
-        new = np.concatenate([[True], (s[1:] != s[:-1]) | (g[1:] != g[:-1])]) if len(r) else np.empty(0, bool)
-        self.unique = np.empty(len(r), np.int64)
-        self.unique[order] = np.cumsum(new) - 1
-        self.rep, self.r, self.least = order[new], g[new], d[new]
-        self.many = np.zeros(len(self.rep), bool)
-        self.many[self.unique[order][d != self.least[self.unique[order]]]] = True if len(r) else False
-        self.bytes = text
+        self.place, self.doc, size, key = first[use], ids[doc[use]], (last - first)[use] + SPAN, said[at[use]]
+        self.unique, rep, self.least, self.many = _different(_padded(flat, self.place, size), self.doc)
+        hot = key[rep] & np.uint64(1) > 0
+        count = np.where(hot, size[rep] - SPAN + 1, 1)
+        of = np.repeat(np.arange(len(rep)), count)
+        begin = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        at = self.place[rep][of] + begin
+        dealt = key[rep][of] & ~np.uint64(1)
+        dealt[hot[of]] = _window_hashes(flat, at[hot[of]])
+        r = _range(dealt, ranges)
+        order = np.argsort(r, kind="stable")
+        self.r, self.of, self.begin, self.at = r[order], of[order], begin[order], at[order]
+        self.size = np.where(hot[self.of], SPAN, size[rep][self.of])
+
+
+def _padded(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches as strings of one length, comparable as bytes; the last byte, not zero, is their size."""
+    text = np.empty((len(at), _WIDEST + 1), np.uint8)
+    padded = np.concatenate([flat, np.zeros(_WIDEST, np.uint8)])
+    for k in range(_WIDEST):
+        text[:, k] = padded[at + k] if k < SPAN else np.where(k < size, padded[at + k], 0)
+    text[:, _WIDEST] = size
+    return text.view(f"S{_WIDEST + 1}").ravel()
+
+
+def _different(strings: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each among the different ones, one place of each of these, its least document, whether it has several)."""
+    order = np.lexsort((doc, strings))
+    s, d = strings[order], doc[order]
+    new = np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
+    number = np.cumsum(new) - 1
+    unique = np.empty(len(s), np.int64)
+    unique[order] = number
+    many = np.zeros(int(new.sum()), bool)
+    many[number[d != d[new][number]]] = True
+    return unique, order[new], d[new], many
 
 
 def _window_hashes(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -412,17 +423,16 @@ def _stretches(ranges: int):
     def work(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                shard, *what = _arrays(batch, row)
-                x = _Stretches(*what, batch.column(4)[row].as_py(), ranges)
+                shard, ids, known, ends, flat = _arrays(batch, row)
+                x = _Stretches(ids, known, ends, flat, batch.column(4)[row].as_py(), ranges)
                 if not len(x.r):
                     continue
                 a, b = _cuts(x.r)
                 out = []
                 for i, j in zip(a.tolist(), b.tolist()):
-                    rep = x.rep[i:j]
-                    size = x.size[rep]
-                    text = x.bytes[rep, :_WIDEST]
-                    out.append((x.r[i], shard, i, size.astype(np.uint8).tobytes(), x.least[i:j].tobytes(), x.many[i:j].tobytes(), text[np.arange(_WIDEST) < size[:, None]].tobytes()))
+                    size, of = x.size[i:j], x.of[i:j]
+                    text = flat[np.repeat(x.at[i:j] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                    out.append((int(x.r[i]), shard, i, size.astype(np.uint8).tobytes(), x.least[of].tobytes(), x.many[of].tobytes(), text.tobytes()))
                     if len(out) >= 1024:
                         yield _rows(out, _STRETCHES)
                         out = []
@@ -448,14 +458,18 @@ def _owners(batches):
         size = np.concatenate(size_of).astype(np.int64)
         own, several = np.concatenate(_numbers(least, np.int64)), np.concatenate(_numbers(many, bool))
         flat = np.frombuffer(b"".join(texts), np.uint8)
-        owner = least_documents(flat, size, own)
-        count = size - SPAN + 1
-        begin = np.cumsum(count) - count
-        of = np.repeat(np.arange(len(size)), count)
-        new = np.concatenate([[True], (of[1:] != of[:-1]) | (owner[1:] != owner[:-1])])
-        a = np.flatnonzero(new)
-        runs = np.stack([of[a], a - begin[of[a]], np.diff(np.concatenate([a, [len(of)]])), owner[a]], axis=1)
-        runs = runs[(owner[a] < own[of[a]]) | several[of[a]]]
+        place = np.cumsum(size) - size
+        unique, rep, first, _ = _different(_padded(flat, place, size), own)  # equal ones of several shards are one
+        width = size[rep]
+        owner = least_documents(flat[np.repeat(place[rep] - np.cumsum(width) + width, width) + np.arange(width.sum())], width, first)
+        count = width - SPAN + 1
+        of = np.repeat(np.arange(len(rep)), count)
+        a = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (owner[1:] != owner[:-1])]))
+        begin, length, to = a - (np.cumsum(count) - count)[of[a]], np.diff(np.concatenate([a, [len(of)]])), owner[a]
+        lo, hi = np.searchsorted(of[a], unique, "left"), np.searchsorted(of[a], unique, "right")
+        i = np.repeat(np.arange(len(size)), hi - lo)
+        k = np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo) + np.arange((hi - lo).sum())
+        runs = np.stack([i, begin[k], length[k], to[k]], axis=1)[(to[k] < own[i]) | several[i]]
         at, out = 0, []
         for shard, number, n in zip(shards, numbers, map(len, size_of)):
             i, j = np.searchsorted(runs[:, 0], [at, at + n])
@@ -481,6 +495,7 @@ def _removed(ranges: int, with_text: bool):
                 if said:
                     x = _Stretches(ids, known, ends, flat, keys, ranges)
                     runs = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 4) for b in said])
+                    runs[:, 0], runs[:, 1] = x.of[runs[:, 0]], runs[:, 1] + x.begin[runs[:, 0]]
                     runs = runs[np.argsort(runs[:, 0], kind="stable")]
                     lo, hi = np.searchsorted(runs[:, 0], x.unique, "left"), np.searchsorted(runs[:, 0], x.unique, "right")
                     many = hi - lo
