@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, passages, pii, quality, robust, rollup, secrets, simhash, suffixes
+from . import alignment, bpe, chat, decontaminate, passages, pii, quality, ranked, robust, rollup, secrets, simhash, suffixes
 from .common import shared_dir, stage, table
 
 
@@ -123,6 +123,33 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(docs, secrets.train(docs))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS_SQL = r"unnest(regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+_OP11_SQL = f"""
+WITH places AS (SELECT doc_id, {_TERMS_SQL.format("text")} AS term FROM documents),
+asked AS (SELECT item_id, {_TERMS_SQL.format("text")} AS term FROM benchmark),
+sizes AS (SELECT doc_id, count(*) AS n FROM places GROUP BY doc_id),
+corpus AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes),
+found AS (SELECT doc_id, term, count(*) AS tf FROM places WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM found, corpus GROUP BY term),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_docs) // n_terms))))) AS BIGINT) AS score
+  FROM (SELECT item_id, term, count(*) AS q FROM asked GROUP BY item_id, term)
+  JOIN found USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), corpus
+  GROUP BY item_id, doc_id
+),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(table(spark, sf_dir, "documents"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
@@ -140,7 +167,9 @@ QUERIES = {
         op8_bpe,
         op9_chat_rotation,
         op10_secrets,
+        op11_ranked_search,
+        op12_token_alignment,
         op13_suffix_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op6_token_rollup": _OP6_SQL, "op9_chat_rotation": _OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_token_rollup": _OP6_SQL, "op9_chat_rotation": _OP9_SQL, "op11_ranked_search": _OP11_SQL}
