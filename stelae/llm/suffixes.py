@@ -6,9 +6,10 @@ anchors at equal places, wherever they stand, and only windows with an anchor th
 
 1. Whole texts are packed into shards of a few megabytes, written once, bucketed by shard, so that what later steps say of
    a shard comes to it without a shuffle of texts.
-2. Each shard sends its anchors' hashes, in sorted runs, to ranges of hashes; what occurs twice is a candidate.
+2. Each shard sends its anchors' hashes, in sorted runs, to ranges of hashes; what occurs twice is a candidate. Beside a hash
+   stand eight bits of what the anchor rules: one with ``HOT`` different values is hot, as it rules many different stretches.
 3. The stretches ruled by candidates (up to ``2 * SPAN - GRAM`` bytes, each different one of a shard once, with its least
-   document) are dealt by anchor. Anchors of many shards are hot: their windows are dealt one by one, by their own hash.
+   document) are dealt by anchor; those of hot anchors window by window, by the window's own hash.
 4. A task cuts what it gets into shards of bounded size and builds the suffix array of each (Larsson-Sadakane refinement:
    sort by 8 bytes, then by pairs of ranks at doubled distance, only where ranks are still shared), the common prefixes
    (Kasai, over the text's order, all places of one step at a time) and the classes of windows that share ``SPAN`` bytes;
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import pieces, shared_dir, stage, unstage
 
 SPAN, GRAM = 50, 24
-#: Bytes of text in a shard, of text for each range of anchors, and of stretches in a suffix array; shards that make an anchor hot.
-SHARD, RANGE, CHUNK, HOT = 4 << 20, 4 << 20, 1 << 20, 64
+#: Bytes of text in a shard, of text for each range of anchors, and of stretches in a suffix array; different marks (of 256) that make an anchor hot.
+SHARD, RANGE, CHUNK, HOT = 4 << 20, 4 << 20, 1 << 20, 128
+#: Of an anchor's number the lowest bits: a flag, and a mark of eight bits above it.
+_BITS = np.uint64(9)
 _BLOCK = 1 << 16
 _LOW = np.uint64(0xFFFF_FFFF)
 _WIDEST = 2 * SPAN - GRAM
@@ -63,8 +66,8 @@ def _hashes(u: np.ndarray, size: int, n: int) -> np.ndarray:
     return h
 
 
-def ruled(flat: np.ndarray, ends: np.ndarray, block: int = _BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last, anchor's hash) of the runs of windows that one anchor rules; texts end at ``ends`` and no window crosses an end."""
+def ruled(flat: np.ndarray, ends: np.ndarray, block: int = _BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, anchor's hash, mark of the stretch) of the runs of windows that one anchor rules; texts end at ``ends`` and no window crosses an end."""
     wide = SPAN - GRAM + 1
     edge = np.zeros(len(flat) + 1, np.int32)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
@@ -89,9 +92,10 @@ def ruled(flat: np.ndarray, ends: np.ndarray, block: int = _BLOCK) -> tuple[np.n
         a = (m[at] & _LOW).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (at[1:] != at[:-1] + 1)]))
         last = np.concatenate([new[1:] - 1, [len(at) - 1]])
-        out.append((at[new] + s, at[last] + s, h[a[new]]))
+        mark = _mix(h[at[new]] + np.uint64(3) * h[at[last] + wide - 1] + (at[last] - at[new]).astype(np.uint64)) & np.uint64(255)
+        out.append((at[new] + s, at[last] + s, h[a[new]], mark))
     if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -210,8 +214,8 @@ def least_documents(flat: np.ndarray, sizes: np.ndarray, least: np.ndarray, chun
 _SHARD = "shard bigint, size bigint, ids array<bigint>, ends array<bigint>, text binary"
 
 
-def _packed(batches):
-    """Whole texts in shards; a shard's number is that of the task and its own."""
+def _packed(batches, most: int):
+    """Whole texts in shards of about ``most`` bytes; a shard's number is that of the task and its own."""
     part, made = TaskContext.get().partitionId(), 0
     ids, texts, size = [], [], 0
 
@@ -227,7 +231,7 @@ def _packed(batches):
                 ids.append(i)
                 texts.append(t)
                 size += len(t)
-                if size >= SHARD or len(ids) >= 1 << 16:
+                if size >= most or len(ids) >= 1 << 16:
                     yield shard()
                     ids, texts, size, made = [], [], 0, made + 1
     if ids:
@@ -284,25 +288,25 @@ _KEYS = "r bigint, shard bigint, keys binary"
 
 
 def _anchors(ranges: int):
-    """Each shard's anchors, once each, by range; the lowest bit says that two of its documents hold one."""
+    """Each shard's anchors with their marks, once each, by range; the lowest bit says that two of its documents hold one."""
 
     def work(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 shard, ids, known, ends, flat = _arrays(batch, row)
-                first, _, key = ruled(flat, ends)
+                first, _, key, mark = ruled(flat, ends)
                 doc = np.searchsorted(ends, first, "right")
                 use = known[doc]
-                key, doc = key[use] >> np.uint64(1), ids[doc[use]]
-                order = np.lexsort((doc, key))
+                key, doc = key[use] >> _BITS << _BITS | mark[use] << np.uint64(1), ids[doc[use]]
+                order = np.argsort(key, kind="stable")
                 key, doc = key[order], doc[order]
                 if not len(key):
                     continue
+                anchor = np.concatenate([[True], key[1:] >> _BITS != key[:-1] >> _BITS])
+                begin = np.flatnonzero(anchor)
+                many = np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)
                 new = np.concatenate([[True], key[1:] != key[:-1]])
-                group = np.cumsum(new) - 1
-                many = np.zeros(group[-1] + 1, np.uint64)
-                many[group[doc != doc[new][group]]] = 1
-                sent = (key[new] << np.uint64(1)) | many
+                sent = key[new] | many[np.cumsum(anchor)[new] - 1].astype(np.uint64)
                 yield _dealt(sent, _range(sent, ranges), shard)
 
     return work
@@ -325,30 +329,34 @@ def _dealt(sent: np.ndarray, r: np.ndarray, shard: int) -> pa.RecordBatch:
     )
 
 
-def _shared(batches):
+def _shared(hot: int):
     """Of each shard's anchors those that two documents hold; the lowest bit now says that one is hot."""
-    for _, (shards, blobs) in _by_range(batches):
-        runs = _numbers(blobs, np.uint64)
-        sent = np.concatenate(runs)
-        order = np.argsort(sent, kind="stable")
-        key = sent[order] >> np.uint64(1)
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        a = np.flatnonzero(new)
-        count = np.diff(np.concatenate([a, [len(key)]]))
-        many = np.bitwise_or.reduceat(sent[order] & np.uint64(1), a) > 0
-        keep, hot = many | (count > 1), count >= HOT
-        group = np.empty(len(sent), np.int64)
-        group[order] = np.cumsum(new) - 1
-        said = (sent & ~np.uint64(1)) | hot[group].astype(np.uint64)
-        keep = keep[group]
-        at, out = 0, []
-        for shard, run in zip(shards, runs):
-            found = said[at : at + len(run)][keep[at : at + len(run)]]
-            at += len(run)
-            if len(found):
-                out.append((shard, found.tobytes()))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["shard", "keys"])
+
+    def work(batches):
+        for _, (shards, blobs) in _by_range(batches):
+            runs = _numbers(blobs, np.uint64)
+            sent = np.concatenate(runs)
+            order = np.argsort(sent, kind="stable")
+            ordered = sent[order]
+            begin = np.flatnonzero(np.concatenate([[True], ordered[1:] >> _BITS != ordered[:-1] >> _BITS]))
+            count = np.diff(np.concatenate([begin, [len(sent)]]))
+            other = np.concatenate([[True], ordered[1:] >> np.uint64(1) != ordered[:-1] >> np.uint64(1)])
+            marks = np.add.reduceat(other.astype(np.int64), begin)
+            keep = (count > 1) | (ordered[begin] & np.uint64(1) > 0)
+            group = np.empty(len(sent), np.int64)
+            group[order] = np.repeat(np.arange(len(begin)), count)
+            at, out = 0, []
+            for shard, run in zip(shards, runs):
+                mine = group[at : at + len(run)]
+                said = run >> _BITS << _BITS | (marks[mine] >= hot).astype(np.uint64)
+                said = said[keep[mine] & np.concatenate([[True], run[1:] >> _BITS != run[:-1] >> _BITS])]
+                at += len(run)
+                if len(said):
+                    out.append((shard, said.tobytes()))
+            if out:
+                yield _rows(out, "shard bigint, keys binary")
+
+    return work
 
 
 class _Stretches:
@@ -357,11 +365,11 @@ class _Stretches:
     anchor is hot, each window, in order of range: ``r``, ``of`` (the stretch), ``begin`` (the first window), ``size`` and ``at`` (a place)."""
 
     def __init__(self, ids: np.ndarray, known: np.ndarray, ends: np.ndarray, flat: np.ndarray, blobs: list[bytes], ranges: int):
-        first, last, key = ruled(flat, ends)
+        first, last, key, _ = ruled(flat, ends)
         said = np.sort(np.concatenate(_numbers(blobs, np.uint64)))
         doc = np.searchsorted(ends, first, "right")
-        at = np.minimum(np.searchsorted(said >> np.uint64(1), key >> np.uint64(1)), len(said) - 1)
-        use = (said[at] >> np.uint64(1) == key >> np.uint64(1)) & known[doc]
+        at = np.minimum(np.searchsorted(said >> _BITS, key >> _BITS), len(said) - 1)
+        use = (said[at] >> _BITS == key >> _BITS) & known[doc]
         self.place, self.doc, size, key = first[use], ids[doc[use]], (last - first)[use] + SPAN, said[at[use]]
         self.unique, rep, self.least, self.many = _different(_padded(flat, self.place, size), self.doc)
         hot = key[rep] & np.uint64(1) > 0
@@ -451,7 +459,7 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 _OWNERS = "shard bigint, said binary"
 
 
-def _owners(batches):
+def _owners(batches, chunk: int):
     """To each shard, of the stretches it sent: (number, first window, windows, least document) of the runs that may remove something."""
     for _, (shards, numbers, sizes, least, many, texts) in _by_range(batches):
         size_of = _numbers(sizes, np.uint8)
@@ -461,7 +469,7 @@ def _owners(batches):
         place = np.cumsum(size) - size
         unique, rep, first, _ = _different(_padded(flat, place, size), own)  # equal ones of several shards are one
         width = size[rep]
-        owner = least_documents(flat[np.repeat(place[rep] - np.cumsum(width) + width, width) + np.arange(width.sum())], width, first)
+        owner = least_documents(flat[np.repeat(place[rep] - np.cumsum(width) + width, width) + np.arange(width.sum())], width, first, chunk)
         count = width - SPAN + 1
         of = np.repeat(np.arange(len(rep)), count)
         a = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (owner[1:] != owner[:-1])]))
@@ -523,18 +531,20 @@ def _removed(ranges: int, with_text: bool):
     return work
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, shard: int = SHARD, chunk: int = CHUNK, hot: int = HOT
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256): every document without the bytes of strings of ``SPAN`` bytes that a
     document with a smaller id holds too; ``kept`` are the bytes that remain (null without ``with_text``).
 
     Null texts are empty. Ids are integers; a row with a null id is kept whole and removes nothing from others; rows that share an
     id do not remove each other's bytes and are returned each. Texts under ``SPAN`` bytes are kept whole, long ones are read whole.
-    An empty table gives no rows; other columns of ``docs`` do not matter.
+    Results do not depend on ``shard``, ``chunk`` and ``hot``. An empty table gives no rows; other columns of ``docs`` do not matter.
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    table = _Bucketed(texts.mapInArrow(_packed, _SHARD), tasks)
+    table = _Bucketed(texts.mapInArrow(lambda batches: _packed(batches, shard), _SHARD), tasks)
     total = table.df.agg(F.sum("size")).first()[0] or 0
     ranges = max(tasks, math.ceil(total / RANGE))
     shards = table.df.select("shard", "ids", "ends", "text")
@@ -545,11 +555,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def of_shard(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("shard").agg(F.collect_list(name).alias(name))  # at most a row for each range, a part of the shard each
 
-    sent = stage(dealt(shards.mapInArrow(_anchors(ranges), _KEYS)).mapInArrow(_shared, "shard bigint, keys binary"), "suffix-anchors")
+    sent = stage(dealt(shards.mapInArrow(_anchors(ranges), _KEYS)).mapInArrow(_shared(hot), "shard bigint, keys binary"), "suffix-anchors")
     keys = stage(of_shard(sent, "keys"), "suffix-candidates")
     unstage(sent)
     wanted = shards.join(keys, "shard").select("shard", "ids", "ends", "text", "keys")
-    said = stage(dealt(wanted.mapInArrow(_stretches(ranges), _STRETCHES)).mapInArrow(_owners, _OWNERS), "suffix-owners")
+    said = stage(dealt(wanted.mapInArrow(_stretches(ranges), _STRETCHES)).mapInArrow(lambda batches: _owners(batches, chunk), _OWNERS), "suffix-owners")
     owners = of_shard(said, "said")
     both = shards.join(keys, "shard", "left").join(owners, "shard", "left").select("shard", "ids", "ends", "text", "keys", "said")
     done = stage(both.mapInArrow(_removed(ranges, with_text), _KEPT), "suffix-kept")
