@@ -35,7 +35,7 @@ from .common import pieces, shared_dir, stage, unstage
 
 SPAN, GRAM = 50, 24
 #: Bytes of text in a shard, of text for each range of anchors, and of stretches in a suffix array; different marks (of 256) that make an anchor hot.
-SHARD, RANGE, CHUNK, HOT = 4 << 20, 4 << 20, 1 << 20, 128
+SHARD, RANGE, CHUNK, HOT = 4 << 20, 2 << 20, 1 << 20, 128
 #: Of an anchor's number the lowest bits: a flag, and a mark of eight bits above it.
 _BITS = np.uint64(9)
 _BLOCK = 1 << 16
@@ -93,7 +93,7 @@ def ruled(flat: np.ndarray, ends: np.ndarray, block: int = _BLOCK) -> tuple[np.n
         new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (at[1:] != at[:-1] + 1)]))
         last = np.concatenate([new[1:] - 1, [len(at) - 1]])
         mark = _mix(h[at[new]] + np.uint64(3) * h[at[last] + wide - 1] + (at[last] - at[new]).astype(np.uint64)) & np.uint64(255)
-        out.append((at[new] + s, at[last] + s, h[a[new]], mark))
+        out.append((at[new] + s, at[last] + s, _mix(h[a[new]] + np.uint64(1)), mark))  # mixed anew, as the least of many are small
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -104,7 +104,7 @@ def suffix_array(flat: np.ndarray) -> np.ndarray:
     distance, only of places that still share theirs. A suffix that ends comes before those that go on."""
     n = len(flat)
     key = _eights(flat, big=True)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     new = np.concatenate([[True], key[sa[1:]] != key[sa[:-1]]]) if n else np.empty(0, bool)
     rank = np.zeros(n + 1, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -113,10 +113,11 @@ def suffix_array(flat: np.ndarray) -> np.ndarray:
     while len(at):
         of = sa[at]
         ahead = np.where(of + h < n, rank[np.minimum(of + h, n)], n - of - h - 1)  # of two that end, the shorter comes first
-        order = np.lexsort((ahead, rank[of]))
-        of, ahead, group = of[order], ahead[order], rank[of[order]]
+        pair = rank[of] * (4 * n) + ahead + 2 * n
+        order = np.argsort(pair)
+        of, pair = of[order], pair[order]
         sa[at] = of
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (ahead[1:] != ahead[:-1])])
+        new = np.concatenate([[True], pair[1:] != pair[:-1]])
         first = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
         rank[of] = first
         at = at[~new | ~np.concatenate([new[1:], [True]])]
