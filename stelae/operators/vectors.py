@@ -36,18 +36,20 @@ def top_k(vectors: DataFrame, id_col: str, vec_col: str, query: list[float], k:
     return vectors.select(id_col, cosine(F.col(vec_col), q).alias("score")).where("score is not null").orderBy(F.desc("score"), id_col).limit(k)
 
 
-def neighbours(queries: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, k: int, same: list[str] | None = None) -> DataFrame:
+def neighbours(queries: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, k: int, same: list[str] | None = None, differ: list[str] | None = None) -> DataFrame:
     """(query, id, score, rank): for every query row its ``k`` nearest others, by cosine, exactly.
 
     ``queries`` is a stated set, counted here and sent in blocks of about QUERY_BLOCK rows by hash of the id, each in one pass over ``vectors``.
-    With ``same``, partition columns must agree. Ranks are kept by an aggregation that holds k of each query and task.
+    With ``same``, partition columns must agree; with ``differ``, they must not. Ranks are kept by an aggregation that holds k of each query and task.
     """
-    same = same or []
-    q = queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("_q"), norm(F.col(vec_col)).alias("_qn"), *[F.col(c).alias(f"_{c}") for c in same])
+    same, differ = same or [], differ or []
+    q = queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("_q"), norm(F.col(vec_col)).alias("_qn"), *[F.col(c).alias(f"_{c}") for c in same + differ])
     cond = F.lit(True)
     for c in same:
         cond = cond & (F.col(c) == F.col(f"_{c}"))
-    rows = vectors.select(id_col, vec_col, norm(F.col(vec_col)).alias("_n"), *same)
+    for c in differ:
+        cond = cond & (F.col(c) != F.col(f"_{c}"))
+    rows = vectors.select(id_col, vec_col, norm(F.col(vec_col)).alias("_n"), *same, *differ)
     w = Window.partitionBy("query").orderBy(F.desc("score"), id_col)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     found = None
@@ -115,12 +117,8 @@ def _scaled(line: Column, by: Column) -> Column:
 
 
 def hard_negatives(queries: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, label_col: str, k: int) -> DataFrame:
-    """(query, id, score, rank): nearest rows of another label than the query's: near misses."""
-    labels = queries.select(F.col(id_col).alias("query"), F.col(label_col).alias("_own"))
-    wide = neighbours(queries, vectors, id_col, vec_col, 10 * k + 10)
-    other = wide.join(labels, "query").join(vectors.select(id_col, label_col), id_col).where(F.col(label_col) != F.col("_own"))
-    w = Window.partitionBy("query").orderBy("rank")
-    return other.select("query", id_col, "score", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+    """(query, id, score, rank): the nearest rows of another label than the query's, near misses, exactly; rows without a label are none."""
+    return neighbours(queries, vectors, id_col, vec_col, k, differ=[label_col])
 
 
 def lsh_buckets(df: DataFrame, id_col: str, vec_col: str, tables: int, bits: int, dim: int, seed: int = 1) -> DataFrame:

@@ -8,6 +8,7 @@ from stelae.functions import markup as M
 from stelae.operators import graph as G
 from stelae.operators import joins as J
 from stelae.operators import spatial as P
+from stelae.streaming import stateful
 from stelae.streaming import windows as W
 
 from .base import Family, table
@@ -126,12 +127,25 @@ def idempotent_first(spark, d):
     return W.first_per_key(table(spark, d, "events"), ["user_id", "event_type"], "event_id")
 
 
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, row_number() OVER w AS rn,
+count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 24 HOUR FOLLOWING) + 1 AS next FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
+a AS (SELECT user_id, event_type, rn, next FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.event_type, e.rn, e.next FROM a JOIN e ON e.user_id = a.user_id AND e.event_type = a.event_type AND e.rn = a.next),
+f AS (SELECT e.*, a.rn IS NOT NULL AS fresh FROM e LEFT JOIN a USING (user_id, event_type, rn)),
+s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id, event_type ORDER BY rn) AS life FROM f)
+SELECT event_id, user_id, event_type, max(CASE WHEN fresh THEN event_id END) OVER (PARTITION BY user_id, event_type, life) AS answer, NOT fresh AS replayed FROM s""")
+def idempotent_answers(spark, d):
+    """Requests are (user, type), answered for 24 hours by the first event's id; then a lifetime begins anew."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    out = stateful.first_answers(e, ["user_id", "event_type"], "event_id", "ts", "event_id")
+    return out.drop("ts").withColumn("answer", F.col("answer").cast("bigint"))
+
+
 @query("""WITH f AS (SELECT user_id, arg_min(event_type, {'a': ts, 'b': event_id}) FILTER (event_type IN ('click', 'purchase')) AS first_move, count(*) AS n FROM events GROUP BY user_id)
 SELECT user_id, CASE first_move WHEN 'click' THEN 'approved' WHEN 'purchase' THEN 'rejected' ELSE 'pending' END AS state,
 CASE WHEN first_move IS NULL THEN 0 ELSE 1 END AS accepted, CAST(n - CASE WHEN first_move IS NULL THEN 0 ELSE 1 END AS INT) AS refused FROM f""")
 def moderation_state(spark, d):
     moves = [("pending", "click", "approved"), ("pending", "purchase", "rejected")]
-    return W.last_state(table(spark, d, "events"), "user_id", moves, "pending", "event_type", "ts", "event_id")
+    return stateful.last_state(table(spark, d, "events"), "user_id", moves, "pending", "event_type", "ts", "event_id")
 
 
 @query(f"""WITH {_PLACED} SELECT s_suppkey, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || lon::DECIMAL(10,2)::VARCHAR || ',' || lat::DECIMAL(10,2)::VARCHAR || ']}},"properties":{{"nation":' || s_nationkey || '}}}}' AS feature FROM s""")

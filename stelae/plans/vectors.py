@@ -52,7 +52,7 @@ def margin_gate(spark, d):
     return V.margin_gate(hits, "query", 0.01).select("query", "vec_id", F.col("rank").cast("bigint").alias("rank"), F.round("margin", 6).alias("margin"))
 
 
-@query(f"""WITH {_NEAR}, k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS n FROM r WHERE label <> ql AND rank <= 40)
+@query(f"""WITH {_NEAR}, k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS n FROM r WHERE label <> ql)
 SELECT query, vec_id, round(score, 6)::DOUBLE AS score, n AS rank FROM k WHERE n <= 3""")
 def hard_negatives(spark, d):
     e = table(spark, d, "embeddings")

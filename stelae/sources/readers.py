@@ -44,9 +44,17 @@ def safe_int(c: str | Column) -> Column:
     return safe_float(c).try_cast("int")
 
 
-def raw_csv(spark: SparkSession, path: str, sep: str = ",", lines_in_fields: bool = False) -> DataFrame:
-    """All columns as text, quotes doubled within quotes. Files are split among tasks; with ``lines_in_fields``, where quoted fields
-    go over several lines, each file is one task's."""
+def fields_over_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field of these files goes over lines: then some line has an odd number of quotes. Ends at the first."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def raw_csv(spark: SparkSession, path: str, sep: str = ",", lines_in_fields: bool | None = None) -> DataFrame:
+    """All columns as text, quotes doubled within quotes. Files are split among tasks unless quoted fields go over several lines
+    (``lines_in_fields``; looked for where it is None): then each file is one task's."""
+    if lines_in_fields is None:
+        lines_in_fields = fields_over_lines(spark, path)
     return spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", lines_in_fields).csv(path)
 
 
@@ -62,10 +70,10 @@ def pick_text_column(columns: list[str], wanted: str | None = None) -> str:
     raise ValueError(f"no text column among {columns}; name one")
 
 
-def corpus_csv(spark: SparkSession, path: str, language: str = "etruscan") -> DataFrame:
+def corpus_csv(spark: SparkSession, path: str, language: str = "etruscan", lines_in_fields: bool | None = None) -> DataFrame:
     """Corpus records: the text from ``text`` or ``raw_text``; rows without text are skipped; casts that fail give null; a
     record without an id is named by a digest of its text."""
-    raw = raw_csv(spark, path)
+    raw = raw_csv(spark, path, lines_in_fields=lines_in_fields)
     col = lambda n: F.col(n) if n in raw.columns else F.lit(None).cast("string")
     text = F.coalesce(*[F.nullif(F.trim(col(c)), F.lit("")) for c in ("text", "raw_text")])
     rows = raw.withColumn("_text", text).where("_text is not null")
@@ -98,11 +106,11 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def corpora(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+def corpora(spark: SparkSession, paths: list[str], schema: str, lines_in_fields: bool | None = None) -> DataFrame:
     """Several corpora, CSV or JSON lines by suffix, brought to one shape (id, text, source, language); of an id the earliest path's row stays."""
 
     def one(path: str) -> DataFrame:
-        df = raw_csv(spark, path) if path.endswith(".csv") else spark.read.schema(schema).json(path)
+        df = raw_csv(spark, path, lines_in_fields=lines_in_fields) if path.endswith(".csv") else spark.read.schema(schema).json(path)
         col = lambda n: F.col(n).cast("string") if n in df.columns else F.lit(None).cast("string")
         text = F.coalesce(*[F.nullif(F.trim(col(c)), F.lit("")) for c in ("canonical_clean", "canonical", *TEXT_COLUMNS)])
         return df.select(col("id").alias("id"), text.alias("text"), col("source").alias("source"), col("language").alias("language")).where("id is not null and text is not null")
@@ -110,9 +118,9 @@ def corpora(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     return earlier_source_wins([one(p) for p in paths], "id")
 
 
-def annotations(spark: SparkSession, path: str) -> DataFrame:
+def annotations(spark: SparkSession, path: str, lines_in_fields: bool | None = None) -> DataFrame:
     """Annotation tables, whatever their headers' case and alias; tags split at commas and bars."""
-    raw = raw_csv(spark, path)
+    raw = raw_csv(spark, path, lines_in_fields=lines_in_fields)
     have = {c.strip().lower(): c for c in raw.columns}
     pick = lambda names: next((F.col(f"`{have[n]}`") for n in names.split() if n in have), F.lit(None).cast("string"))
     out = raw.select(*[pick(v).alias(k) for k, v in ANNOTATION.items()])

@@ -290,3 +290,11 @@ def test_join_on_either_keeps_repeated_rows(spark):
     right = spark.createDataFrame([(1, 1), (2, None), (None, 2), (3, 1)], "a int, b int")
     got = [(r["k"], r["a"], r["b"]) for r in joins.join_on_either(left, right, "k", ["a", "b"]).collect()]
     assert sorted(got, key=repr) == sorted([(1, 1, 1), (1, 1, 1), (1, 3, 1), (1, 3, 1), (2, 2, None), (2, None, 2)], key=repr)
+
+
+def test_hard_negatives_behind_many_of_one_label(spark):
+    """59 nearer rows of the query's own label do not hide the five of another."""
+    rows_ = [(i, [1.0, i / 1000], "own") for i in range(60)] + [(100 + i, [1.0, 1.0 + i], "other") for i in range(5)] + [(200, [1.0, 0.0], None)]
+    df = spark.createDataFrame(rows_, "id int, v array<double>, label string")
+    got = vectors.hard_negatives(df.where("id = 0"), df, "id", "v", "label", 3)
+    assert [(r.id, r["rank"]) for r in got.orderBy("rank").collect()] == [(100, 1), (101, 2), (102, 3)]

@@ -1,11 +1,14 @@
 import datetime as dt
+import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stelae.engine import Corpus
 from stelae.operators import models
 from stelae.sources import readers, writers
-from stelae.streaming import windows
+from stelae.streaming import stateful, windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,7 +31,104 @@ def test_stream_equals_batch_twin(spark, rows, tmp_path):
 def test_terminal_states_stay(spark, rows):
     e = spark.createDataFrame([(1, 1, 1, "ok"), (1, 2, 2, "no"), (2, 3, 1, "bad")], "k int, id int, t int, e string")
     moves = [("pending", "ok", "approved"), ("pending", "no", "rejected")]
-    assert rows(windows.last_state(e, "k", moves, "pending", "e", "t", "id")) == [(1, "approved", 1, 1), (2, "pending", 0, 1)]
+    assert rows(stateful.last_state(e, "k", moves, "pending", "e", "t", "id")) == [(1, "approved", 1, 1), (2, "pending", 0, 1)]
+
+
+MOVES = [("pending", "ok", "approved"), ("pending", "no", "rejected"), ("approved", "undo", "pending"), ("rejected", "undo", "pending")]
+
+
+def slow_states(events):
+    """Brute force: key -> (state, accepted, refused)."""
+    out, moves = {}, {(a, e): b for a, e, b in MOVES}
+    for k, _, _, e in sorted(events, key=lambda x: (repr(x[0]), x[1], x[2])):
+        state, ok, no = out.get(k, ("pending", 0, 0))
+        to = moves.get((state, e))
+        out[k] = (to or state, ok + (to is not None), no + (to is None))
+    return out
+
+
+def some_events(n, hot):
+    rng = random.Random(n)
+    return [("hot" if rng.random() < hot else rng.choice(["a", "b", None]), rng.randrange(n), i, rng.choice(["ok", "no", "undo", "other", None])) for i in range(n)]
+
+
+def test_states_compose_over_ranges(spark):
+    events = some_events(3000, 0.6)
+    df = spark.createDataFrame(events, "k string, t int, id int, e string").repartition(7)
+    plan = stateful.last_state(df, "k", MOVES, "pending", "e", "t", "id")
+    assert {r.k: (r.state, r.accepted, r.refused) for r in plan.collect()} == slow_states(events)
+    assert "collect_list" not in plan._jdf.queryExecution().toString()
+    assert stateful.last_state(df.where("false"), "k", MOVES, "pending", "e", "t", "id").count() == 0
+
+
+def test_composed_maps_in_any_grouping():
+    rng = np.random.default_rng(0)
+    group = np.sort(rng.integers(0, 9, 200))
+    maps = rng.integers(0, 3, (200, 3)), rng.integers(0, 2, (200, 3)), rng.integers(0, 2, (200, 3))
+    got, (to, ok, no) = stateful.composed(group, maps)
+    for g, a, b, c in zip(got, to, ok, no):
+        for s in range(3):
+            now, x, y = s, 0, 0
+            for i in np.flatnonzero(group == g):
+                now, x, y = maps[0][i, now], x + maps[1][i, now], y + maps[2][i, now]
+            assert (now, x, y) == (a[s], b[s], c[s])
+
+
+@pytest.fixture
+def state_store(spark):
+    spark.conf.set(*stateful.STATE_STORE)
+    yield
+    spark.conf.unset(stateful.STATE_STORE[0])
+
+
+def test_state_stream_goes_on_from_its_checkpoint(spark, state_store, tmp_path):
+    """Killed between two runs, the stream ends where the batch does."""
+    events = some_events(300, 0.5)
+    schema = "k string, t int, id int, e string"
+    df = spark.createDataFrame(events, schema)
+    latest = {}
+
+    def keep(batch, _):
+        latest.update({r.k: (r.state, r.accepted, r.refused) for r in batch.collect()})
+
+    for low, high in ((0, 100), (100, 200), (200, 300)):
+        df.where(f"t >= {low} and t < {high}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = windows.read_events(spark, str(tmp_path / "in"), df.schema, 1)
+        windows.run_available(stateful.state_stream(stream, "k", MOVES, "pending", "e", "t", "id"), keep, str(tmp_path / "ck"), "update")
+    assert latest == slow_states(events) == {r.k: (r.state, r.accepted, r.refused) for r in stateful.last_state(df, "k", MOVES, "pending", "e", "t", "id").collect()}
+
+
+def slow_answers(rows_, lifetime, most):
+    """Brute force: id -> (answer, replayed), one store."""
+    kept, out = {}, {}
+    for i, request, t, said in sorted(rows_, key=lambda r: (r[2], r[0])):
+        if request in kept and t <= kept[request][0]:
+            out[i] = (kept[request][1], True)
+            continue
+        kept[request] = (t + lifetime, said)
+        if len(kept) > most:
+            for gone in sorted(kept, key=lambda k: (kept[k][0], k))[: len(kept) // 4]:
+                del kept[gone]
+        out[i] = (said, False)
+    return out
+
+
+@pytest.mark.parametrize("most", [8, 10_000])
+def test_answers_stream_and_batch(spark, state_store, tmp_path, most):
+    rng = random.Random(most)
+    made = [(i, f"r{rng.randrange(30)}", rng.randrange(400) * 3600, f"said {i}") for i in range(400)]
+    want = slow_answers(made, 86_400, most)
+    df = spark.createDataFrame([(i, "s", r, dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=t), a) for i, r, t, a in made], "id int, store string, request string, ts timestamp, response string")
+    view = lambda out: {r.id: (r.answer, r.replayed) for r in out.collect()}
+    assert view(stateful.answers(df, "store", "request", "response", "ts", "id", most=most)) == want
+    if most > 400:
+        assert view(stateful.first_answers(df, ["store", "request"], "response", "ts", "id")) == want
+    got = {}
+    for part in (df.where("ts < '2024-01-08'"), df.where("ts >= '2024-01-08'")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = windows.read_events(spark, str(tmp_path / "in"), df.schema, 1)
+        windows.run_available(stateful.answer_stream(stream, "store", "request", "response", "ts", "id", most=most), lambda b, _: got.update(view(b)), str(tmp_path / "ck"))
+    assert got == want
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -41,6 +141,22 @@ def test_csv_round_trip(spark, tmp_path):
     assert got["larθ"].id.startswith("import_")
 
 
+def test_csv_fields_over_lines(spark, tmp_path):
+    p = tmp_path / "c.csv"
+    p.write_text('id,text,findspot\n1,"line one\nline ""two"",",Cere\n2,plain,Roma\n')
+    assert readers.fields_over_lines(spark, str(p))
+    got = {r.id: (r.raw_text, r.findspot) for r in readers.corpus_csv(spark, str(p)).collect()}
+    assert got == {"1": ('line one\nline "two",', "Cere"), "2": ("plain", "Roma")}
+    shape = readers.corpora(spark, [str(p)], "id string, text string, source string, language string")
+    assert {r.id: r.text for r in shape.collect()} == {"1": 'line one\nline "two",', "2": "plain"}
+    n = tmp_path / "n.csv"
+    n.write_text('id,type,quote,comments\n1,PLACE,Clusium,"first\n\nthird, ""quoted"""\n2,PLACE,Roma,\n')
+    assert {r.id: r.comment for r in readers.annotations(spark, str(n)).collect()} == {"1": 'first\n\nthird, "quoted"', "2": None}
+    flat = tmp_path / "f.csv"
+    flat.write_text('id,text\n1,"a ""b"" c"\n')
+    assert not readers.fields_over_lines(spark, str(flat))
+
+
 def test_annotations_by_alias(spark, tmp_path):
     p = tmp_path / "a.csv"
     p.write_text("ID,Type,Quote,Tags,URL,Status\n1,PLACE,Clusium,a|b,http://x/places/413096,VERIFIED\n2,PLACE,Roma,,http://x/places/1,REJECTED\n3,PERSON,Vel,,,\n")
