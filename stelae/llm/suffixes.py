@@ -35,7 +35,7 @@ from .common import pieces, shared_dir, stage, unstage
 
 SPAN, GRAM = 50, 24
 #: Bytes of text in a shard, of text for each range of anchors, and of stretches in a suffix array; different marks (of 256) that make an anchor hot.
-SHARD, RANGE, CHUNK, HOT = 4 << 20, 2 << 20, 1 << 20, 128
+SHARD, RANGE, CHUNK, HOT = 4 << 20, 1 << 20, 3 << 20, 128
 #: Of an anchor's number the lowest bits: a flag, and a mark of eight bits above it.
 _BITS = np.uint64(9)
 _BLOCK = 1 << 16
@@ -44,7 +44,6 @@ _WIDEST = 2 * SPAN - GRAM
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
@@ -58,12 +57,16 @@ def _eights(flat: np.ndarray, big: bool = False) -> np.ndarray:
     return u[: len(flat)]
 
 
-def _hashes(u: np.ndarray, size: int, n: int) -> np.ndarray:
-    """A hash of the ``size`` bytes from each of the first ``n`` places on, from their eights."""
-    h = np.zeros(n, np.uint64)
-    for k in [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]:
-        h = _mix(h + u[k : k + n] + np.uint64(k + 1))
-    return h
+_ODD = [np.uint64(2 * k + 0x9E3779B97F4A7C15) for k in range(8)]
+
+
+def _hashes(u: np.ndarray, size: int, at: np.ndarray | int) -> np.ndarray:
+    """A hash of the ``size`` bytes from each of the places ``at`` (or the first so many), from their eights. It deals and chooses; bytes decide."""
+    h = None
+    for m, k in zip(_ODD, [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]):
+        part = (u[k : k + at] if isinstance(at, int) else u[at + k]) * m
+        h = part if h is None else _mix(h) + part
+    return _mix(h)
 
 
 def ruled(flat: np.ndarray, ends: np.ndarray, block: int = _BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +108,8 @@ def suffix_array(flat: np.ndarray) -> np.ndarray:
     n = len(flat)
     key = _eights(flat, big=True)
     sa = np.argsort(key)
-    new = np.concatenate([[True], key[sa[1:]] != key[sa[:-1]]]) if n else np.empty(0, bool)
+    ordered = key[sa]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if n else np.empty(0, bool)
     rank = np.zeros(n + 1, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     h = 8
@@ -131,7 +135,7 @@ def common_prefixes(flat: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     n = len(flat)
     before, shared = np.full(n, -1, np.int64), np.zeros(n, np.int64)
     before[sa[1:]] = sa[:-1]
-    padded = np.concatenate([flat, np.zeros(most + 8, np.uint8)])
+    eights = _eights(np.concatenate([flat, np.zeros(most + 8, np.uint8)]))
     step = 32
     todo = [np.arange(0, n, step)]
     while step > 1:
@@ -141,13 +145,14 @@ def common_prefixes(flat: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
         if k:
             shared[at] = np.maximum(shared[at - (32 >> k)] - (32 >> k), 0)
         at = at[before[at] >= 0]
+        limit = np.minimum(n - np.maximum(at, before[at]), most)
         while len(at):
-            l, i, j = shared[at], at, before[at]
-            on = (l < most) & (np.maximum(i, j) + l < n)
-            at, l, i, j = at[on], l[on], i[on], j[on]
-            same = padded[i + l] == padded[j + l]
-            at = at[same]
-            shared[at] += 1
+            length = shared[at]
+            differ = eights[at + length] ^ eights[before[at] + length]
+            same = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3)  # whole bytes below the first bit that differs
+            shared[at] = length = np.minimum(length + same, limit)
+            on = (differ == 0) & (length < limit)
+            at, limit = at[on], limit[on]
     out = np.zeros(n, np.int64)
     out[1:] = shared[sa[1:]]
     return out
@@ -418,10 +423,7 @@ def _window_hashes(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
         a, b = np.searchsorted(sorted_, [s, s + _BLOCK])
         if b > a:
             u = _eights(flat[s : s + _BLOCK + SPAN])
-            h = np.zeros(b - a, np.uint64)
-            for k in [*range(0, SPAN - 7, 8), *([SPAN - 8] if SPAN % 8 else [])]:
-                h = _mix(h + u[sorted_[a:b] - s + k] + np.uint64(k + 1))
-            out[order[a:b]] = h
+            out[order[a:b]] = _hashes(u, SPAN, sorted_[a:b] - s)
     return out
 
 
