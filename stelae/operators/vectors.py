@@ -92,11 +92,23 @@ def centred(df: DataFrame, group: str, id_col: str, vec_col: str) -> DataFrame:
 
 
 def principal_directions(df: DataFrame, vec_col: str, k: int) -> list[list[float]]:
-    """The leading ``k`` directions: second moments are partial sums over all rows; the d x d matrix alone comes to the driver."""
+    """The leading ``k`` directions of the second moments. Each task adds up one d x d matrix over its rows, so d * d numbers a task are
+    all that is moved; their sum alone comes to the driver. Null vectors are left out; all others must have one length."""
     import numpy as np
-
-    cells = df.select(F.posexplode(F.transform(vec_col, lambda x: x.cast("double"))).alias("i", "x"), F.col(vec_col).alias("v"))
-    rows = cells.select("i", F.posexplode("v").alias("j", "y"), "x").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect()
+    import pyarrow as pa
+
+    def partial(batches):
+        total = None
+        for batch in batches:
+            rows = batch.column(0).drop_null()
+            if len(rows):
+                x = np.stack([v.values.to_numpy(zero_copy_only=False) for v in rows]).astype(np.float64)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(i.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), pa.array(total.ravel())], ["i", "j", "s"])
+
+    rows = df.select(vec_col).mapInArrow(partial, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
     d = 1 + max((r.i for r in rows), default=-1)
     m = np.zeros((d, d))
     for r in rows:
@@ -121,21 +133,6 @@ def hard_negatives(queries: DataFrame, vectors: DataFrame, id_col: str, vec_col:
     return neighbours(queries, vectors, id_col, vec_col, k, differ=[label_col])
 
 
-def lsh_buckets(df: DataFrame, id_col: str, vec_col: str, tables: int, bits: int, dim: int, seed: int = 1) -> DataFrame:
-    """(id, table, bucket): signs against fixed random directions, for approximate neighbours by equi-join on (table, bucket)."""
-    import numpy as np
-
-    rng = np.random.default_rng(seed)
-    out = []
-    for t in range(tables):
-        signs = []
-        for b in range(bits):
-            line = F.array(*[F.lit(float(x)) for x in rng.normal(size=dim)])
-            signs.append(F.when(dot(F.col(vec_col), line) > 0, F.lit(1 << b)).otherwise(0))
-        out.append(F.struct(F.lit(t).alias("table"), sum(signs, F.lit(0)).alias("bucket")))
-    return df.select(id_col, F.explode(F.array(*out)).alias("x")).select(id_col, "x.table", "x.bucket")
-
-
 def padded_ngrams(text: Column, sizes: tuple[int, int]) -> Column:
     """Character n-grams of each white-space word padded by blanks, as an array with repeats."""
     words = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))

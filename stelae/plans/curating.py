@@ -66,6 +66,28 @@ def gloss_patterns(spark, d):
     return R.glosses(table(spark, d, "documents"), "text", {"before_the": r"([A-Za-z]+) the\b", "after_und": r"\bund ([A-Za-zäöüß]+)"}, ["doc_id"])
 
 
+@query("""SELECT doc_id, pattern, word FROM (SELECT doc_id, 'before_the' AS pattern, unnest(regexp_extract_all(text, '([A-Za-z]+) the\\b', 1)) AS word FROM documents UNION ALL
+SELECT doc_id, 'after_und', unnest(regexp_extract_all(text, '\\bund ([A-Za-zäöüß]+)', 1)) FROM documents)""")
+def gloss_patterns_in_sql(spark, d):
+    """The same, called from SQL as a table function over a table argument."""
+    from stelae.functions import tables
+
+    tables.register(spark)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    one = lambda pattern, name: spark.sql("SELECT CAST(id AS BIGINT) AS doc_id, pattern, word FROM gloss_matches(TABLE({docs}), 'doc_id', 'text', :pattern, :name)", {"pattern": pattern, "name": name}, docs=docs)
+    return one(r"([A-Za-z]+) the\b", "before_the").unionByName(one(r"\bund ([A-Za-zäöüß]+)", "after_und"))
+
+
+@query("""SELECT source, count(*) AS n, arg_min(text, {'a': -length(text), 'b': doc_id}) AS longest FROM documents GROUP BY source""")
+def longest_text_by_source(spark, d):
+    """A table function that is dealt its rows by PARTITION BY and speaks at the end of each part."""
+    from stelae.functions import tables
+
+    tables.register(spark)
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return spark.sql("SELECT part AS source, n, longest FROM longest_of('source', 'text', TABLE({docs}) PARTITION BY source ORDER BY doc_id)", docs=docs)
+
+
 @query("""SELECT item_id, CASE WHEN trim(gloss) = '' THEN 'missing_field' WHEN lang NOT IN ('lat', 'grc') THEN 'unknown_language' WHEN NOT contains(text, quote) THEN 'quote_not_in_passage' END AS problem FROM (
 SELECT item_id, text, CASE WHEN item_id % 5 = 0 THEN ' ' ELSE 'g' END AS gloss, CASE WHEN item_id % 5 = 1 THEN 'xx' ELSE 'lat' END AS lang, CASE WHEN item_id % 5 = 2 THEN 'no such words' ELSE left(text, 12) END AS quote FROM benchmark)""")
 def gloss_validation(spark, d):

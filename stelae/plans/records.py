@@ -55,6 +55,14 @@ def map_tiles(spark, d):
     return _placed(spark, d, "customer", "c_custkey").groupBy(x.alias("x"), y.alias("y")).agg(F.count("*").alias("n"))
 
 
+@query()
+def map_vector_tiles(spark, d):
+    """The tiles of zoom level 8 with customers' points; a decoder in the tests gives the points back."""
+    from stelae.sources.tiles import vector_tiles
+
+    return vector_tiles(_placed(spark, d, "customer", "c_custkey"), 8, "customers", "c_custkey", ["c_name", "c_nationkey"])
+
+
 @query("""WITH RECURSIVE e AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey >= 1),
 t AS (SELECT n AS root, n AS node FROM (VALUES (3), (7)) v(n) UNION SELECT t.root, e.child FROM t JOIN e ON e.parent = t.node AND e.child <> t.node)
 SELECT CAST(root AS BIGINT) AS root, CAST(node AS BIGINT) AS node FROM t""")

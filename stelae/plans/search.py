@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stelae.operators import cover as D
 from stelae.operators import search as S
 
 from .base import Family, table
@@ -88,6 +89,27 @@ def fts_weighted_rank(spark, d):
     return docs.select("doc_id", F.round(rank, 6).alias("rank")).where("rank > 0").orderBy(F.desc("rank"), "doc_id").limit(50)
 
 
+@query("""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w,
+  list_filter(regexp_split_to_array(lower(source), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS s FROM documents),
+u AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos, 1.0::DOUBLE AS weight FROM t
+  UNION ALL SELECT doc_id, unnest(s), generate_subscripts(s, 1) + len(w), 0.2 FROM t),
+p AS (SELECT * FROM u WHERE token IN ('the', 'src1', 'der', 'und')),
+l AS (SELECT *, max(pos) FILTER (token = 'the') OVER o AS a, max(pos) FILTER (token = 'src1') OVER o AS b, max(pos) FILTER (token = 'der') OVER o AS c, max(pos) FILTER (token = 'und') OVER o AS d
+  FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT doc_id, pos AS upto, greatest(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN least(a, b) END, CASE WHEN c IS NOT NULL AND d IS NOT NULL THEN least(c, d) END) AS begins FROM l),
+g AS (SELECT *, lag(begins) OVER (PARTITION BY doc_id ORDER BY upto) AS was FROM f),
+v AS (SELECT * FROM g WHERE begins IS NOT NULL AND (was IS NULL OR begins > was)),
+r AS (SELECT v.doc_id, begins, upto, count(*) AS n, sum(1 / weight) AS inverse FROM v JOIN p ON p.doc_id = v.doc_id AND p.pos BETWEEN begins AND upto GROUP BY ALL)
+SELECT doc_id, round(sum(n / inverse / (1 + upto - begins - (n - 1))), 6)::DOUBLE AS rank, count(*) AS n_covers FROM r GROUP BY doc_id
+""")
+def fts_cover_density(spark, d):
+    """(the and src1) or (der and und), texts of class A before sources of class C."""
+    fields = [(S.words("text"), "A"), (S.words("source"), "C")]
+    found = D.cover_rank(table(spark, d, "documents"), "doc_id", fields, D.clauses_of("the src1 or der und"))
+    return found.withColumn("rank", F.round("rank", 6))
+
+
 @query("""
 WITH h AS (SELECT doc_id, text, unnest(list_filter(range(1, length(text) - 2), lambda i: substring(lower(text), CAST(i AS INT), 4) = 'anan')) AS p
   FROM documents WHERE lower(text) LIKE '%anan%')

@@ -56,6 +56,16 @@ def gazetteer_links(spark, d):
     return s.select("c_custkey", "a").join(best, "a", "left")
 
 
+@query()
+def near_equal_names(spark, d):
+    """Of the host of each page read without encryption the most alike of hosts read with it; a test holds it against all pairs."""
+    from stelae.operators.similar import near_equal
+
+    p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"))
+    other = p.where("scheme = 'https'").withColumnRenamed("page_id", "other_page")
+    return near_equal(p.where("scheme = 'http'"), other, "page_id", "host", "other_page", "host").withColumn("ratio", F.round("ratio", 6))
+
+
 @query("""WITH n AS (SELECT p_partkey, p_name, p_size FROM part), b AS (SELECT DISTINCT p_brand FROM part), x AS (SELECT p_partkey, p_brand, 1 - levenshtein(p_name, p_brand) / greatest(length(p_name), length(p_brand)) AS score FROM n CROSS JOIN b)
 SELECT p_partkey, p_brand, round(score, 6)::DOUBLE AS score FROM x QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, p_brand) = 1""")
 def fuzzy_best_match_levenshtein(spark, d):

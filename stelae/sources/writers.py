@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from stelae.operators.joins import merge
-
 #: Columns of the CSV export.
 CSV_COLUMNS = ("id", "canonical", "phonetic", "old_italic", "findspot", "date_display", "medium", "object_type")
 
@@ -31,10 +29,15 @@ def partitioned(df: DataFrame, path: str, by: list[str], mode: str = "errorifexi
     df.repartition(*[F.col(c) for c in by], salt).write.mode(mode).partitionBy(*by).parquet(path)
 
 
-def upsert(new: DataFrame, old_path: str, new_path: str, key: str, preserve: list[str] | None = None) -> None:
-    """The merged table in a new folder; the old one stays for readers that hold it."""
-    old = new.sparkSession.read.parquet(old_path)
-    merge(old, new, key, preserve).write.parquet(new_path)
+def counted(df: DataFrame, good: Column, by: Column, values: list[str], path: str, mode: str = "errorifexists") -> dict[str, int]:
+    """Write the rows that are ``good`` and count them in the same pass: {value of ``by``: rows written, "other": ..., "skipped": ...}. The counts are
+    observed on the frame that is written, so nothing is read twice; ``values`` are a stated list."""
+    seen, ok = Observation(), F.coalesce(good, F.lit(False))
+    listed = F.coalesce(by.isin(values), F.lit(False))
+    each = [F.count_if(ok & (by == v)).alias(f"v{i}") for i, v in enumerate(values)]
+    df.observe(seen, *each, F.count_if(ok & ~listed).alias("other"), F.count_if(~ok).alias("skipped")).where(ok).write.mode(mode).parquet(path)
+    found = seen.get
+    return {**{v: found[f"v{i}"] for i, v in enumerate(values)}, "other": found["other"], "skipped": found["skipped"]}
 
 
 def audit(changes: DataFrame, path: str, actor: str) -> None:

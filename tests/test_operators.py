@@ -1,12 +1,13 @@
 import itertools
 import math
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from stelae.functions import markup, text
-from stelae.operators import aggregates, curation, evaluation, graph, joins, search, spatial, stats, vectors
+from stelae.operators import aggregates, cells, cover, curation, evaluation, graph, joins, search, similar, spatial, stats, vectors
 
 
 def test_keyword_in_context_finds_overlaps(spark, rows):
@@ -298,3 +299,84 @@ def test_hard_negatives_behind_many_of_one_label(spark):
     df = spark.createDataFrame(rows_, "id int, v array<double>, label string")
     got = vectors.hard_negatives(df.where("id = 0"), df, "id", "v", "label", 3)
     assert [(r.id, r["rank"]) for r in got.orderBy("rank").collect()] == [(100, 1), (101, 2), (102, 3)]
+
+
+def slow_covers(words, clauses):
+    """Brute force: all least intervals of positions that hold all terms of a clause."""
+    terms = {t for c in clauses for t in c}
+    at = [i for i, (w, _) in enumerate(words) if w in terms]
+    good = [(a, b) for a in at for b in at if a <= b and any(set(c) <= {w for w, _ in words[a : b + 1]} for c in clauses)]
+    return [(a, b) for a, b in good if not any((x, y) != (a, b) and a <= x and y <= b for x, y in good)]
+
+
+def test_cover_rank_equals_brute_force(spark):
+    rng = random.Random(8)
+    docs = [(i, [rng.choice("abcdx") for _ in range(rng.randrange(25))], [rng.choice("abx") for _ in range(rng.randrange(4))]) for i in range(80)] + [(80, None, ["a", "b"])]
+    df = spark.createDataFrame(docs, "id int, t array<string>, s array<string>")
+    for query in ("a b", "a b or c d", 'a or "b c" -x', "a"):
+        clauses = cover.clauses_of(query)
+        got = {r.id: (r.rank, r.n_covers) for r in cover.cover_rank(df, "id", [(F.col("t"), "A"), (F.col("s"), "D")], clauses).collect()}
+        for i, t, s in docs:
+            words = [(w, 1.0) for w in t or []] + [(w, 0.1) for w in s]
+            found, terms = slow_covers(words, clauses), {x for c in clauses for x in c}
+            rank = 0.0
+            for a, b in found:
+                held = [1 / v for w, v in words[a : b + 1] if w in terms]
+                rank += len(held) / sum(held) / (1 + b - a - (len(held) - 1))
+            assert (i in got) == bool(found)
+            if found:
+                assert got[i] == (pytest.approx(rank), len(found))
+
+
+def test_web_queries_as_clauses():
+    assert cover.clauses_of('The "of the" -not or x') == [["the", "of"], ["x"]]
+    assert cover.clauses_of("or or -a") == []
+
+
+def test_cells_reach_recall_and_all_probes_are_exact(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    e = e.unionByName(spark.createDataFrame([(-1, [0.0] * 64), (-2, None), (-3, [1.0])], e.schema))
+    asked = e.where("vec_id % 50 = 0")
+    exact = vectors.neighbours(asked, e.where("vec_id >= 0"), "vec_id", "embedding", 10)
+    centroids, probes = cells.fit(e, "vec_id", "embedding", 24)
+    assert centroids.shape[0] == 24 and 0 < probes < 24
+    index = cells.in_cells(e, "embedding", centroids)
+    assert cells.recall(cells.cell_neighbours(asked, index, centroids, "vec_id", "embedding", 10, probes), exact, "vec_id").first().recall >= 0.9
+    every = cells.cell_neighbours(asked, index, centroids, "vec_id", "embedding", 10, 24)
+    view = lambda df: {(r["query"], r["rank"]): r.vec_id for r in df.collect()}
+    assert view(every) == view(exact)
+
+
+@pytest.mark.parametrize("least", [0.82, 0.85, 0.95])
+def test_near_equal_equals_all_pairs(spark, least):
+    rng = random.Random(int(least * 100))
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(1, 24))) for _ in range(40)]
+
+    def edited(s):
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(s) + 1)
+            s = s[:i] + rng.choice(["", "a", "zq"]) + s[i + rng.randrange(2) :]
+        return s
+
+    left, right = [(i, edited(rng.choice(base))) for i in range(150)] + [(150, None), (151, " ")], [(i, edited(rng.choice(base))) for i in range(150)]
+    a, b = spark.createDataFrame(left, "i int, s string"), spark.createDataFrame(right, "j int, t string")
+    got = {r.i: (r.j, r.ratio) for r in similar.near_equal(a, b, "i", "s", "j", "t", least).collect()}
+    for i, s in left:
+        scored = [(-SequenceMatcher(None, s, t).ratio(), t, j) for j, t in right if t.strip()] if s and s.strip() else []
+        best = min((x for x in scored if -x[0] >= least), default=None)
+        assert got.get(i) == (None if best is None else (best[2], -best[0]))
+
+
+def test_near_equal_refuses_ratios_that_the_filter_would_lose():
+    with pytest.raises(ValueError):
+        similar._filters(0.8)
+
+
+def test_principal_directions(spark):
+    import numpy as np
+
+    x = np.random.default_rng(0).normal(size=(300, 5)) * [5, 1, 3, 0.1, 0.5]
+    df = spark.createDataFrame([(v.tolist(),) for v in x] + [(None,)], "v array<double>").repartition(5)
+    want = np.linalg.eigh(x.T @ x)[1].T[::-1][:2]
+    for got, line in zip(vectors.principal_directions(df, "v", 2), want):
+        assert abs(float(np.dot(got, line))) == pytest.approx(1.0)

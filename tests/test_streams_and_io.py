@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -6,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from stelae.engine import Corpus
+from stelae.functions import tables as functions
+from stelae.functions import text
 from stelae.operators import models
-from stelae.sources import readers, writers
+from stelae.sources import readers, tables, tiles, writers
 from stelae.streaming import stateful, windows
 
 SF = "/root/testdata/sf0.001"
@@ -208,3 +211,124 @@ def test_ward_parts_two_groups():
     x = np.array([[1, 0.0], [0.9, 0.1], [0, 1.0], [0.1, 0.9]])
     y = models.ward(x, 2)
     assert y[0] == y[1] != y[2] == y[3]
+
+
+def test_keyed_table_commits_whole(spark, rows, tmp_path, monkeypatch):
+    """Only touched buckets are rewritten; a crash before the manifest and a lost race leave the table as it was."""
+    at = str(tmp_path / "t")
+    t = tables.KeyedTable(spark, at, "k", buckets=8)
+    make = lambda values: spark.createDataFrame(values, "k int, v string, w string")
+    assert t.version() == 0 and t.upsert(make([(i, f"v{i}", "w") for i in range(40)])) == 1
+    before = t.read()
+    first = t._manifest(1)
+    assert t.upsert(make([(3, "new", None), (99, "added", "x")]), preserve=["w"]) == 2
+    second = t._manifest(2)
+    assert sum(first[b] != second[b] for b in first) <= 2
+    want = sorted([(i, f"v{i}", "w") for i in range(40) if i != 3] + [(3, "new", "w"), (99, "added", "x")], key=repr)
+    assert rows(t.read()) == want
+    assert len(before.collect()) == 40 and rows(t.read(1)) == rows(before)
+    with monkeypatch.context() as m:
+        m.setattr(t, "_commit", lambda *a: (_ for _ in ()).throw(OSError("crash")))
+        with pytest.raises(OSError):
+            t.upsert(make([(4, "lost", "y")]))
+    assert rows(t.read()) == want and t.version() == 2
+    seen = t.version()
+    assert t.upsert(make([(5, "winner", "z")]), base=seen) == 3
+    with pytest.raises(tables.Conflict):
+        t.upsert(make([(6, "loser", "z")]), base=seen)
+    assert {r.v for r in t.read().where("k in (5, 6)").collect()} == {"winner", "v6"}
+    assert t.vacuum(keep=1) and len(t.read().collect()) == 41
+
+
+def decoded(body):
+    """A plain decoder of tiles: layer name -> [(id, points, attributes)]."""
+
+    def fields(b):
+        i = 0
+
+        def varint():
+            nonlocal i
+            n = shift = 0
+            while True:
+                n |= (b[i] & 0x7F) << shift
+                i += 1
+                if not b[i - 1] & 0x80:
+                    return n
+                shift += 7
+
+        while i < len(b):
+            tag = varint()
+            if tag & 7 == 2:
+                size = varint()
+                yield tag >> 3, b[i : i + size]
+                i += size
+            else:
+                yield tag >> 3, varint()
+
+    def numbers(b):
+        out, n, shift = [], 0, 0
+        for x in b:
+            n, shift = n | (x & 0x7F) << shift, shift + 7
+            if not x & 0x80:
+                out.append(n)
+                n = shift = 0
+        return out
+
+    signed = lambda n: n >> 1 if n % 2 == 0 else -(n >> 1) - 1
+    layers = {}
+    for _, body_ in fields(body):
+        found = list(fields(body_))
+        name = next(v for k, v in found if k == 1).decode()
+        keys = [v.decode() for k, v in found if k == 3]
+        values = [{1: lambda v: v.decode(), 6: signed, 7: bool}[f](v) for k, b in found if k == 4 for f, v in fields(b)]
+        assert (5, 4096) in found and (15, 2) in found
+        out = []
+        for k, b in found:
+            if k == 2:
+                f = dict(fields(b))
+                tags, shape = numbers(f.get(2, b"")), numbers(f[4])
+                places, x, y = [], 0, 0
+                assert f[3] == 1 and shape[0] == 1 | (len(shape) - 1) // 2 << 3
+                for dx, dy in zip(shape[1::2], shape[2::2]):
+                    x, y = x + signed(dx), y + signed(dy)
+                    places.append((x, y))
+                out.append((f.get(1), places, {keys[a]: values[c] for a, c in zip(tags[::2], tags[1::2])}))
+        assert name not in layers
+        layers[name] = out
+    return layers
+
+
+def test_tiles_decode_to_their_points(spark):
+    rng = random.Random(1)
+    points = [(i, 40 + rng.random(), 9 + rng.random(), f"näme {i % 7}" if i % 5 else None, i % 3) for i in range(300)] + [(300, None, 9.0, "x", 1)]
+    df = spark.createDataFrame(points, "id int, lat double, lon double, name string, kind int").repartition(4)
+    got, n = {}, 2**6
+    for r in tiles.vector_tiles(df, 6, "places", "id", ["name", "kind"], most=50).collect():
+        for name, features in decoded(bytes(r.tile)).items():
+            assert name == ("places" if r.part == 0 else f"places-{r.part}") and len(features) == r.n
+            for i, [(px, py)], attributes in features:
+                got[i] = ((r.x + px / 4096) / n, (r.y + py / 4096) / n, attributes)
+    assert set(got) == set(range(300))
+    for i, lat, lon, name, kind in points[:300]:
+        x, y = (lon + 180) / 360, (1 - math.log(math.tan(math.radians(lat)) + 1 / math.cos(math.radians(lat))) / math.pi) / 2
+        assert 0 <= x - got[i][0] < 1 / 4096 / n + 1e-12 and 0 <= y - got[i][1] < 1 / 4096 / n + 1e-12
+        assert got[i][2] == {k: v for k, v in (("name", name), ("kind", kind)) if v is not None}
+    assert decoded(tiles.layer("a", [(7, [(5, 5), (2, 9), (4096, 0)], {"n": -3, "ok": True})])) == {"a": [(7, [(5, 5), (2, 9), (4096, 0)], {"n": -3, "ok": True})]}
+
+
+def test_rows_are_counted_while_written(spark, tmp_path):
+    lines = [("ett", "a", [1.0]), ("lat", "b", [1.0]), ("xx", "c", [1.0]), ("ett", None, [1.0]), (None, "d", [1.0]), ("ett", "e", [2.0])]
+    df = spark.createDataFrame(lines, "lang string, word string, vector array<double>")
+    found = writers.counted(df, F.col("lang").isNotNull() & F.col("word").isNotNull(), F.col("lang"), ["ett", "lat", "grc"], str(tmp_path / "out"))
+    assert found == {"ett": 2, "lat": 1, "grc": 0, "other": 1, "skipped": 2}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_table_functions_equal_expressions(spark, rows):
+    functions.register(spark)
+    ids = spark.createDataFrame([("3-6",), ("a et b",), ("1, 2,x",), ("Cr 2.20",), ("6-3",), (None,), ("",)], "r string")
+    got = spark.sql("SELECT listed AS r, id FROM expand_ids(TABLE({ids}), 'r')", ids=ids)
+    assert rows(got) == rows(text.expand_ids(ids, "r"), "r", "id")
+    docs = spark.createDataFrame([(1, "x", "aa"), (2, "x", "bbb"), (3, "y", None), (4, "x", "ccc")], "id int, part string, t string")
+    said = spark.sql("SELECT * FROM longest_of('part', 't', TABLE({docs}) PARTITION BY part ORDER BY id)", docs=docs)
+    assert rows(said) == [("x", 3, "bbb"), ("y", 1, None)]
