@@ -111,14 +111,6 @@ def site_clusters(df: DataFrame, site: str, text: str, alphabet: str, least_text
     return rows.groupBy("_one").applyInPandas(lambda f: cluster(f), f"{site} {kind}, cluster int, pc1 double, pc2 double")
 
 
-def character_model(df: DataFrame, text: str, order: int = 3) -> DataFrame:
-    """(context, next, n): how often each character follows each run of ``order``: a restoration baseline for gaps."""
-    t = F.col(text)
-    at = F.explode(F.sequence(F.lit(1), F.length(t) - order)).alias("i")
-    rows = df.where(F.length(t) > order).select(t.alias("t"), at)
-    return rows.groupBy(F.substring("t", F.col("i"), F.lit(order)).alias("context"), F.substring("t", F.col("i") + order, F.lit(1)).alias("next")).agg(F.count("*").alias("n"))
-
-
 def mock_embedding(words: DataFrame, word: str, dim: int = 32) -> DataFrame:
     """Vectors from SHA-256 bytes, of length 1: the same word has the same vector anywhere."""
     from .vectors import unit

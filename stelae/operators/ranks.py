@@ -10,8 +10,13 @@ from pyspark.sql.window import Window
 
 
 def fixed(df: DataFrame) -> DataFrame:
-    """``df`` as it is now, however often it is read: in the shared folder where the cluster names one; a local session caches."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+    """``df`` as it is now, however often it is read: in the shared folder that ``spark.checkpoint.dir`` names; a local session without one caches."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
+    return df.persist()
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:

@@ -122,7 +122,7 @@ SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size FRO
 def dup_groups_content_hash(spark, d):
     from stelae.functions.text import text_key
 
-    return A.content_groups(table(spark, d, "documents"), "doc_id", text_key("text")).select("doc_id", "group_id", "group_size")
+    return A.content_groups(table(spark, d, "documents"), "doc_id", text_key("text"))
 
 
 @query("""SELECT lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS k, source, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1""")
@@ -165,8 +165,7 @@ def place_gold_sets(spark, d):
 @query("""SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS trailing FROM events""")
 def trailing_24h_cap(spark, d):
     e = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
-    e.createOrReplaceTempView("_trailing")
-    return spark.sql("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS trailing FROM _trailing")
+    return spark.sql("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS trailing FROM {e}", e=e)
 
 
 @query("""SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE UNBOUNDED PRECEDING) AS position FROM events""")

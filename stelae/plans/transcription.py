@@ -69,12 +69,11 @@ def near_equal_names(spark, d):
 @query("""WITH n AS (SELECT p_partkey, p_name, p_size FROM part), b AS (SELECT DISTINCT p_brand FROM part), x AS (SELECT p_partkey, p_brand, 1 - levenshtein(p_name, p_brand) / greatest(length(p_name), length(p_brand)) AS score FROM n CROSS JOIN b)
 SELECT p_partkey, p_brand, round(score, 6)::DOUBLE AS score FROM x QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, p_brand) = 1""")
 def fuzzy_best_match_levenshtein(spark, d):
+    from stelae.operators.edits import nearest_by_edits
+
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
-    brands = F.broadcast(p.select("p_brand").distinct())
-    score = 1 - F.levenshtein("p_name", "p_brand") / F.greatest(F.length("p_name"), F.length("p_brand"))
-    met = p.select("p_partkey", "p_name").crossJoin(brands).select("p_partkey", "p_brand", score.alias("score"))
-    best = met.groupBy("p_partkey").agg(F.min(F.struct((-F.col("score")).alias("less"), "p_brand")).alias("m"))
-    return best.select("p_partkey", "m.p_brand", F.round(-F.col("m.less"), 6).alias("score"))
+    best = nearest_by_edits(p, p, "p_name", "p_brand").withColumnsRenamed({"a": "p_name", "b": "best"})
+    return p.join(best, "p_name").select("p_partkey", F.col("best").alias("p_brand"), F.round("score", 6).alias("score"))
 
 
 @query("""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, count(*) OVER (PARTITION BY regexp_extract(url, '^[a-z]+://([^/]+)', 1)) AS pages FROM pages""")
@@ -99,11 +98,35 @@ def naive_bayes_labels(spark, d):
     return fitted.transform(models.with_grams(rows, "text")).select("doc_id", "quality", F.col("prediction").cast("int").alias("predicted"))
 
 
-@query("""SELECT lang, substring(t, CAST(i AS INT), 2) AS context, substring(t, CAST(i + 2 AS INT), 1) AS next, count(*) AS n FROM (SELECT b.text AS t, 'all' AS lang, unnest(range(1, length(b.text) - 1)) AS i FROM benchmark b WHERE length(b.text) > 2) GROUP BY ALL""")
+@query("""SELECT lang, substring(t, CAST(i AS INT), 2) AS context, substring(t, CAST(i + 2 AS INT), 1) AS next, count(*) AS n FROM (SELECT text AS t, lang, unnest(range(1, length(text) - 1)) AS i FROM documents WHERE length(text) > 2) GROUP BY ALL""")
 def character_contexts(spark, d):
-    from stelae.operators.models import character_model
+    from stelae.operators.restoration import contexts
+
+    return contexts(table(spark, d, "documents"), "text", 2, ["lang"])
+
+
+_GAP = """g AS (SELECT doc_id, substring(text, 1, CAST(length(text) // 2 AS INT)) AS b, substring(text, CAST(length(text) // 2 + 2 AS INT)) AS a FROM documents WHERE length(text) >= 6),
+t AS (SELECT text FROM documents),
+c AS (SELECT o, substring(text, CAST(i AS INT), CAST(o AS INT)) AS context, substring(text, CAST(i + o AS INT), 1) AS next FROM (SELECT text, o, unnest(range(1, length(text) - o + 1)) AS i FROM t, (VALUES (0), (1), (2)) v(o) WHERE length(text) > o)),
+n AS (SELECT o, context, next, count(*) AS n FROM c GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY o, context) AS p FROM n),
+l AS (SELECT unnest(string_split('etaoinsr', '')) AS letter)"""
+
+
+@query(f"""WITH {_GAP}, f AS (SELECT doc_id, letter, right(b, 2) AS k2, right(b, 1) AS k1, right(b, 1) || letter AS j2, letter AS j1, left(a, 1) AS y1, letter || left(a, 1) AS i2, left(a, 1) AS i1, substring(a, 2, 1) AS y2 FROM g, l),
+q AS (SELECT f.*, ln(coalesce(a2.p, 0.4 * a1.p, 0.16 * a0.p, 1e-9)) + ln(coalesce(b2.p, 0.4 * b1.p, 0.16 * b0.p, 1e-9)) + CASE WHEN y2 = '' THEN 0 ELSE ln(coalesce(c2.p, 0.4 * c1.p, 0.16 * c0.p, 1e-9)) END AS score FROM f
+LEFT JOIN s a2 ON a2.o = 2 AND a2.context = k2 AND a2.next = letter LEFT JOIN s a1 ON a1.o = 1 AND a1.context = k1 AND a1.next = letter LEFT JOIN s a0 ON a0.o = 0 AND a0.next = letter
+LEFT JOIN s b2 ON b2.o = 2 AND b2.context = j2 AND b2.next = y1 LEFT JOIN s b1 ON b1.o = 1 AND b1.context = j1 AND b1.next = y1 LEFT JOIN s b0 ON b0.o = 0 AND b0.next = y1
+LEFT JOIN s c2 ON c2.o = 2 AND c2.context = i2 AND c2.next = y2 LEFT JOIN s c1 ON c1.o = 1 AND c1.context = i1 AND c1.next = y2 LEFT JOIN s c0 ON c0.o = 0 AND c0.next = y2)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, letter) AS rank, letter AS fills, round(score, 6)::DOUBLE AS score FROM q QUALIFY rank <= 3""")
+def restored_gaps(spark, d):
+    """The middle character of each document taken out: the three likeliest of some letters, by what stands before and after."""
+    from stelae.operators import restoration
 
-    return character_model(table(spark, d, "benchmark"), "text", 2).withColumn("lang", F.lit("all"))
+    docs = table(spark, d, "documents").where(F.length("text") >= 6)
+    half = F.floor(F.length("text") / 2).cast("int")
+    gaps = docs.select("doc_id", F.concat(F.substring("text", F.lit(1), half), F.lit("\x00"), F.substring(F.col("text"), half + 2, F.length("text"))).alias("text"))
+    model = restoration.model(table(spark, d, "documents"), "text", 2)
+    return restoration.restore(gaps, "doc_id", "text", model, 2, list("etaoinsr"), best=3, width=8).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("""SELECT quality, round((SELECT count(*) FROM labels) / ((SELECT count(DISTINCT quality) FROM labels) * count(*)), 6)::DOUBLE AS weight FROM labels GROUP BY quality""")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stelae.functions import markup, text
-from stelae.operators import aggregates, cells, cover, curation, evaluation, graph, joins, search, similar, spatial, stats, vectors
+from stelae.operators import aggregates, cells, cover, curation, edits, evaluation, graph, joins, restoration, search, similar, spatial, stats, vectors
 
 
 def test_keyword_in_context_finds_overlaps(spark, rows):
@@ -380,3 +380,79 @@ def test_principal_directions(spark):
     want = np.linalg.eigh(x.T @ x)[1].T[::-1][:2]
     for got, line in zip(vectors.principal_directions(df, "v", 2), want):
         assert abs(float(np.dot(got, line))) == pytest.approx(1.0)
+
+
+def slow_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def some_strings(rng, n):
+    base = ["".join(rng.choice("abcd") for _ in range(rng.randrange(10))) for _ in range(12)] + ["xyz", "Brand#1"]
+    return [(lambda s, i: s[:i] + rng.choice(["", "a", "qz", "bbbb"]) + s[i + rng.randrange(3) :])(s, rng.randrange(len(s) + 1)) for s in rng.choices(base, k=n)]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_strings_within_edits(spark, k):
+    rng = random.Random(k)
+    left, right = sorted(set(some_strings(rng, 70))), sorted(set(some_strings(rng, 70)))
+    make = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    got = {(r.a, r.b): r.edits for r in edits.within_edits(make(left, "a"), make(right, "b"), k).collect()}
+    assert got == {(a, b): d for a in left for b in right if (d := slow_edits(a, b)) <= k}
+
+
+def test_nearest_by_edits(spark):
+    rng = random.Random(9)
+    left, right = [*some_strings(rng, 120), None, "", "ωψ"], [*some_strings(rng, 60), None]
+    df = lambda values: spark.createDataFrame([(v,) for v in values], "s string")
+    plan = edits.nearest_by_edits(df(left), df(right), "s", "s")
+    want = {}
+    for a in {x for x in left if x is not None}:
+        score, b = min((-(1 - slow_edits(a, b) / max(len(a), len(b))) if a or b else -1.0, b) for b in right if b is not None)
+        want[a] = (b, pytest.approx(-score))
+    assert {r.a: (r.b, r.score) for r in plan.collect()} == want
+    assert "CartesianProduct" not in plan._jdf.queryExecution().toString() and "BroadcastNestedLoopJoin" not in plan._jdf.queryExecution().toString()
+    assert edits.nearest_by_edits(df(left), df([None]), "s", "s").count() == 0
+
+
+def test_restoration_equals_all_fillings(spark):
+    """One to three gaps, beside each other and apart, against every filling scored by hand."""
+    rng = random.Random(2)
+    corpus = ["".join(rng.choices("aab c", k=rng.randrange(30))) for _ in range(40)] + [None]
+    known = restoration.model(spark.createDataFrame([(t,) for t in corpus], "t string"), "t", 2)
+    count = [{}, {}, {}]
+    for t in filter(None, corpus):
+        for o in range(3):
+            for i in range(len(t) - o):
+                at = count[o].setdefault(t[i : i + o], {})
+                at[t[i + o]] = at.get(t[i + o], 0) + 1
+
+    def chance(before, c):
+        for o in range(min(2, len(before)), -1, -1):
+            at = count[o].get(before[len(before) - o :], {})
+            if c in at:
+                return at[c] / sum(at.values()) * 0.4 ** (2 - o)
+        return 1e-9
+
+    g = restoration.GAP
+    texts = [(1, f"ab{g}ca"), (2, f"{g}b"), (3, f"a{g}{g}c"), (4, f"a{g}bbbb{g}{g}"), (5, "abc"), (6, None), (7, f"{g}{g}{g}"), (8, f"zz{g}zz")]
+    got = {}
+    for r in restoration.restore(spark.createDataFrame(texts, "id int, t string"), "id", "t", known, 2, list("abc"), best=4, width=27).collect():
+        got[r.id, r["rank"]] = (r.fills, pytest.approx(r.score))
+    want = {}
+    for i, t in texts:
+        if t is None or g not in t:
+            continue
+        at, made = [k for k, c in enumerate(t) if c == g], []
+        reach = sorted({k for p in at for k in range(p, p + 3) if k < len(t)})
+        for fill in itertools.product("abc", repeat=len(at)):
+            full = list(t)
+            for k, c in zip(at, fill):
+                full[k] = c
+            made.append((-round(sum(math.log(chance("".join(full[max(0, k - 2) : k]), full[k])) for k in reach), 9), "".join(fill)))
+        want |= {(i, n + 1): (f, -s) for n, (s, f) in enumerate(sorted(made)[:4])}
+    assert got == want
