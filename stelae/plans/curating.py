@@ -97,7 +97,14 @@ def gloss_validation(spark, d):
     return b.select("item_id", why.alias("problem"))
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id, text, string_split(lower(text), 'stupid') AS parts FROM documents),
+h AS (SELECT doc_id, text, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda x: length(x)))::BIGINT + 6 * (i - 1))) AS h FROM t WHERE len(parts) > 1),
+w AS (SELECT doc_id, text, greatest(h - 40, 0) AS s, least(h + 46, length(text)) AS e FROM h),
+n AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM w),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e) AS k FROM n),
+m AS (SELECT doc_id, k, substring(any_value(text), CAST(min(s) + 1 AS BIGINT), CAST(max(e) - min(s) AS BIGINT)) AS piece FROM i GROUP BY doc_id, k),
+f AS (SELECT doc_id, string_agg(piece, ' [...] ' ORDER BY k) AS window FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(f.window, CASE WHEN length(text) <= 80 THEN text ELSE left(text, 40) || ' [...] ' || right(text, 40) END) AS window FROM documents LEFT JOIN f USING (doc_id)""")
 def keyword_windows(spark, d):
     return table(spark, d, "documents").select("doc_id", R.keyword_windows(F.col("text"), "stupid", 40).alias("window"))
 

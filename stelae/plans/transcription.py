@@ -39,10 +39,21 @@ def name_formula(spark, d):
     return out.withColumn("gentilicium", N.part_of_kind(F.col("parts"), "gentilicium"))
 
 
-@query()
+_KIND = "CASE " + " ".join(f"WHEN contains('{letters}', {{0}}) THEN '{kind}'" for kind, letters in N.SOUNDS.items()) + " END"
+_X, _Y = "substring(a, CAST(i + 1 AS INT), 1)", "substring(b, CAST(k AS INT), 1)"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT DISTINCT lower(p_name) AS a, lower(p_brand) AS b FROM part),
+d AS (SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda j: j::DOUBLE) AS r FROM p
+UNION ALL SELECT a, b, i + 1, list_transform(range(0, length(b) + 1), lambda j: j + list_min(list_transform(range(0, j + 1), lambda k: CASE WHEN k = 0 THEN i + 1.0::DOUBLE ELSE least(r[k + 1] + 1, r[k] + CASE WHEN {_X} = {_Y} THEN 0
+WHEN {_KIND.format(_X)} = {_KIND.format(_Y)} THEN 0.3 WHEN ({_KIND.format(_X)} = 'stops' AND {_KIND.format(_Y)} = 'aspirates') OR ({_KIND.format(_X)} = 'aspirates' AND {_KIND.format(_Y)} = 'stops') THEN 0.5 ELSE 1 END) END - k))::DOUBLE)
+FROM d WHERE i < length(a))
+SELECT p_partkey, round(r[length(b) + 1], 6)::DOUBLE AS distance FROM part JOIN d ON a = lower(p_name) AND b = lower(p_brand) AND i = length(a)""")
 def phonological_distance(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
-    return p.select("p_partkey", N.sound_distance_udf(F.lower("p_name"), F.lower("p_brand")).alias("distance"))
+    """Equal pairs are measured once."""
+    p = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("a"), F.lower("p_brand").alias("b"))
+    measured = p.select("a", "b").distinct().withColumn("distance", F.round(N.sound_distance_udf("a", "b"), 6))
+    return p.join(measured, ["a", "b"]).select("p_partkey", "distance")
 
 
 @query()
