@@ -11,6 +11,7 @@ item's number of words; items of more than ``PART`` words are aligned in parts,
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -125,9 +126,10 @@ class Index:
                 continue
             mixed = self._mix(a, n)[known]
             at = np.minimum(np.searchsorted(keys, mixed), len(keys) - 1)
-            for i in known[keys[at] == mixed]:
-                for k, off in self.places[n][int(self._mix(a[i : i + n], n)[0])]:
-                    hits[k].add(int(i) - off)
+            found = keys[at] == mixed
+            for i, key in zip(known[found].tolist(), mixed[found].tolist()):
+                for k, off in self.places[n][key]:
+                    hits[k].add(i - off)
                     seeds[k] += 1
         of_item: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
         for k, starts in hits.items():
@@ -135,16 +137,21 @@ class Index:
             m, best = len(w), (0, 0, 0)
             slack = m // 2 + self.n
             windows: list[list[int]] = []
-            for s in sorted(starts):  # windows around the diagonals, joined where they overlap
+            ordered = sorted(starts)
+            own, times = np.unique(w, return_counts=True)
+            for s in ordered:  # windows around the diagonals, joined where they overlap
                 lo, hi = max(0, s - slack), min(len(a), s + m + slack)
                 if windows and lo <= windows[-1][1] and windows[-1][1] - windows[-1][0] < 8 * m:
                     windows[-1][1] = hi
                 else:
                     windows.append([lo, hi])
             for lo, hi in windows:
-                if np.isin(a[lo:hi], w).sum() <= best[0]:
-                    continue  # no more words can match than are shared
-                exact = next((s for s in starts if lo <= s and s + m <= hi and np.array_equal(a[s : s + m], w)), None)
+                place = np.minimum(np.searchsorted(own, a[lo:hi]), len(own) - 1)
+                there = np.bincount(place[own[place] == a[lo:hi]], minlength=len(own))
+                if np.minimum(there, times).sum() <= best[0]:
+                    continue  # no more words can match than are shared, each as often as both have it
+                within = ordered[bisect_left(ordered, lo) : bisect_right(ordered, hi - m)]
+                exact = next((s for s in within if np.array_equal(a[s : s + m], w)), None)
                 got = (m, exact - lo, exact - lo + m) if exact is not None else align(w, a[lo:hi])
                 if got[0] > best[0]:
                     best = (got[0], lo + got[1], lo + got[2])

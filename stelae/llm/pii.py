@@ -32,7 +32,7 @@ _URL_END = frozenset(" \t\n\r\x0b\x0c\"'<>`{}|\\^")
 #: Identifier cues, in lower case.
 CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "passport", "ssn")
 
-_ip_re = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_ip_re = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # what fails at the first of a run of digits fails at all of them
 _card_re = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _phone_re = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _account_re = re.compile(r"[^0-9A-Za-z\n]{0,4}(?:(?:no|nr|number)\b[^0-9A-Za-z\n]{0,4})?([A-Za-z]{0,2}[0-9][0-9A-Za-z]*(?:[ -][0-9A-Za-z]*[0-9][0-9A-Za-z]*)*)")
@@ -136,15 +136,14 @@ def spans(text: str) -> list[tuple[int, int, int]]:
                     if _is_phone(m[0]):
                         out.append((3, at, phone))
         elif what == "s":
-            if at >= url and not (at and text[at - 1] in _ALNUM):
+            if at >= url and not (at and text[at - 1] in _ALNUM) and end + 1 < len(text) and text[end + 1] in _ALNUM:
                 stop = end + 1
                 while stop < len(text) and text[stop] not in _URL_END:
                     stop += 1
-                while stop > end + 1 and text[stop - 1] in ".,;:!?)]'":
+                while text[stop - 1] in ".,;:!?)]'":
                     stop -= 1
-                if stop > end + 1 and text[end + 1] in _ALNUM:
-                    out.append((4, at, stop))
-                    url = stop
+                out.append((4, at, stop))
+                url = stop
         elif at >= account and not (at and text[at - 1] in _ALNUM):
             if m := _account_re.match(text, end + 1, min(len(text), end + 80)):
                 if 6 <= len(_digits(m[1])) <= 34:

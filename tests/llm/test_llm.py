@@ -677,7 +677,7 @@ def test_batches_are_cut_without_loss():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "conversations"):
+    for t in ("documents", "labels", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     columns = sorted(df.columns)

@@ -3,13 +3,14 @@
 import hashlib
 import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stelae.llm import alignment, decontaminate, queries, ranked, suffixes
+from stelae.llm import alignment, decontaminate, pii, queries, ranked, suffixes
 
 from test_llm import HARD, SF, docs_of, hard
 
@@ -247,3 +248,27 @@ def test_ranked_search_hard_cases(spark):
     assert ranked.best_documents(df.where("false"), asked).count() == 0 == ranked.best_documents(df, asked.where("false")).count()
     named = asked.withColumn("item_id", F.col("item_id").cast("string"))
     assert ranked.best_documents(df, named).count() == len(got)
+
+
+# --- texts that once took time in proportion to their square
+
+
+def quick(f, seconds=5.0):
+    began = time.process_time()
+    out = f()
+    assert time.process_time() - began < seconds
+    return out
+
+
+def test_long_texts_of_digits_and_schemes():
+    assert quick(lambda: pii.spans("1" * 1_000_000)) == []
+    assert quick(lambda: pii.spans("http://(" * 100_000)) == []
+    assert quick(lambda: pii.spans("12345678901.2 " * 50_000)) == []
+    assert len(quick(lambda: pii.spans("1." * 300_000))) == 75_000
+
+
+def test_long_texts_of_an_items_words():
+    item = b"se que osllra nezll del does mente raarga nasquera rrie cionnga conn de ciones dollga narie cionnas ez ue ja"
+    index = decontaminate.Index([(1, item)])
+    assert quick(lambda: index.search(b"se que osllra " * 1_000_000, 0.5), 10.0) == []
+    assert quick(lambda: index.search(b"se que osllra " * 300_000 + item, 0.5))[0][:4] == (1, 1.0, 900_000, 900_020)
