@@ -565,12 +565,14 @@ def test_near_passages_equal_brute_force(x, y, shared, edit, once):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(0, 20), max_size=20), st.lists(st.integers(0, 20), max_size=20), st.lists(st.integers(0, 20), max_size=12), st.integers(0, 11))
-def test_passages_at_anchors_equal_brute_force(x, y, shared, edit):
+@given(st.lists(st.integers(0, 20), max_size=20), st.lists(st.integers(0, 20), max_size=20), st.lists(st.integers(0, 20), max_size=12), st.integers(0, 11), st.booleans())
+def test_passages_at_anchors_equal_brute_force(x, y, shared, edit, once):
     x, y = x + shared + y[:3], y + shared[:edit] + [21] + shared[edit + 1 :] + x[:3]
+    if once:  # as above: where shingles repeat, a passage that holds none of its runs whole can be missed
+        x, y = list(dict.fromkeys(x)), list(dict.fromkeys(y))
     anchors = [(i, j) for i in range(len(x)) for j in range(len(y)) if x[i] == y[j]]
     got, failed = passages.passages_at(np.array(x, np.int32), np.array(y, np.int32), anchors, 6, 0.7)
-    assert bool(got) == slow_near(x, y, 6, 0.7)
+    assert bool(got) == slow_near(x, y, 6, 0.7) or (not once and not got)
     for a1, b1, a2, b2 in got:
         assert min(b1 - a1, b2 - a2) >= 5 and x[a1] == y[a2] and x[b1] == y[b2]
         assert slow_near(x[a1 : b1 + 1], y[a2 : b2 + 1], min(b1 - a1, b2 - a2) + 1, 0.7)
@@ -585,6 +587,8 @@ def test_heads_and_tails_link_to_the_first_however_dealt(spark):
     for k, d, p, _ in rows:
         first[k] = min(first.get(k, (d, p)), (d, p))
     want = {(*first[k], d, p) for k, d, p, _ in rows if d != first[k][0]}
+    second = {k: min((d, p) for j, d, p, _ in rows if j == k and d != first[k][0]) for k in first if any(j == k and d != first[k][0] for j, d, _, _ in rows)}
+    want |= {(d, p, *second[k]) for k, d, p, _ in rows if d == first[k][0] and p != first[k][1] and k in second}
     df = spark.createDataFrame(rows, "key bigint, doc bigint, p bigint, q bigint")
 
     def sent(batches):

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stelae.llm import alignment, decontaminate, pii, queries, ranked, suffixes
+from stelae.llm import alignment, decontaminate, passages, pii, queries, ranked, suffixes
 
 from test_llm import HARD, SF, docs_of, hard
 
@@ -272,3 +272,16 @@ def test_long_texts_of_an_items_words():
     index = decontaminate.Index([(1, item)])
     assert quick(lambda: index.search(b"se que osllra " * 1_000_000, 0.5), 10.0) == []
     assert quick(lambda: index.search(b"se que osllra " * 300_000 + item, 0.5))[0][:4] == (1, 1.0, 900_000, 900_020)
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_both_places_of_a_repeated_passage(spark, parts):
+    """30 documents hold a passage twice and 30 others once: all 90 places are found, whichever text comes first."""
+    rng = random.Random(31)
+    some = lambda n: " ".join(f"w{rng.randrange(100_000)}" for _ in range(n))
+    texts = []
+    for _ in range(30):
+        shared = some(60)
+        texts += [f"{some(40)} {shared} {some(45)} {shared} {some(20)}", f"{some(30)} {shared} {some(25)}"]
+    found = passages.repeated_passages(docs_of(spark, texts).repartition(parts)).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word) for r in found) == sorted(x for k in range(0, 60, 2) for x in ((k, 40, 100), (k, 145, 205), (k + 1, 30, 90)))
