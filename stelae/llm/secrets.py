@@ -1,11 +1,13 @@
 """Secrets by a character convolutional network over every candidate and its surroundings.
 
-Candidates are the findings of three base rules (assign, access, hex) and, beyond them, every token that is long and
-mixed enough to be a credential. A network in numpy reads each candidate whole with the characters around it: learned
-filters of width 5, pooled apart over the candidate and over its surroundings, then a logistic layer. It is trained on
-labelled findings: generated credentials and look-alikes, and a bounded sample of the corpus labelled by the base
-rules. Scores are calibrated (Platt) on findings left out of the fit, and the threshold is the highest that keeps the
-required recall on them. Base findings always stay; the network decides on the others.
+Candidates are the findings of three base rules (assign, access, hex) and, beyond them, every token of twelve characters
+or more that has letters and digits, host names and file names among them, and every value after a cue (key, auth,
+pass and the like before a colon or an equals sign), whatever it is made of: most are no secrets, and the network says
+which are. A network in numpy reads each candidate whole with the characters around it: learned filters of width 5, pooled
+apart over the candidate and over its surroundings, then a logistic layer. It is trained on labelled findings: generated
+credentials and look-alikes of many kinds, and a bounded sample of the corpus's base findings; what the base rules miss in
+the corpus has no label, as it may be a secret. Scores are calibrated (Platt) on findings left out of the fit, and the
+threshold is the highest that keeps the required recall on them. Base findings always stay; the network decides on the others.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ AROUND = 32
 SAMPLE_DOCS = 2000
 #: Characters of a finding that training reads at most, and of findings that are scored at once.
 LONGEST, PIECE = 1024, 1 << 15
-RECALL = 0.98
+#: The recall that the threshold keeps on findings left out of the fit, of all and of each generated kind.
+RECALL, KIND_RECALL = 0.98, 0.96
 
 
 def _either(word: str) -> str:
@@ -39,7 +42,10 @@ _WORDS = "|".join(map(_either, ("password", "passwd", "secret", "token"))) + f"|
 _assign_re = re.compile(rf"""(?:{_WORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _access_re = re.compile(r"AKIA[A-Z0-9]+")
 _hex_re = re.compile(r"[0-9a-f]{32,}")
-_long_re = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_long_re = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
+#: Words before a colon or an equals sign that make what follows a candidate.
+CUES = ("auth", "bearer", "credential", "credentials", "creds", "key", "pass", "passcode", "passphrase", "password", "pwd", "secret", "token")
+_value_re = re.compile(rf"""(?<![A-Za-z])(?:{"|".join(map(_either, sorted(CUES, key=len, reverse=True)))})["']?\x20*[:=]\x20*["']?([^\s"'`<>|,;]{{6,}})""")
 _cue_re = re.compile(r"[:=]")
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -55,15 +61,17 @@ def base_findings(text: str) -> list[Span]:
 
 
 def other_candidates(text: str, base: list[Span]) -> list[Span]:
-    """Tokens of 20 characters or more with letters and digits that touch no base finding. Both come in order of start, so one sweep compares them."""
+    """Mixed tokens and values after cues that touch no base finding and no candidate before them. All come in order of start, so one sweep compares them."""
+    found = [m.span() for m in _long_re.finditer(text) if any(c in string.digits for c in m[0]) and any(c in string.ascii_letters for c in m[0])]
+    if _cue_re.search(text):
+        found = sorted({*found, *(m.span(1) for m in _value_re.finditer(text))}, key=lambda s: (s[0], -s[1]))
     out, k, reach = [], 0, 0
-    for m in _long_re.finditer(text):
-        found = m[0]
-        if any(c in string.digits for c in found) and any(c in string.ascii_letters for c in found):
-            while k < len(base) and base[k][0] < m.end():
-                reach, k = max(reach, base[k][2]), k + 1
-            if reach <= m.start():
-                out.append((m.start(), 3, m.end()))
+    for a, b in found:
+        while k < len(base) and base[k][0] < b:
+            reach, k = max(reach, base[k][2]), k + 1
+        if reach <= a:
+            out.append((a, 3, b))
+            reach = b
     return out
 
 
@@ -185,6 +193,16 @@ class Network:
         self.threshold = float(found[int((1 - recall) * len(found))]) if len(found) else 0.5
         return self
 
+    def constrain(self, kinds: list[tuple[str, tuple[str, str, str], int]], recall: float = KIND_RECALL) -> "Network":
+        """Set the threshold to the highest that keeps the recall of every kind of ``kinds``, findings left out of the fit: base findings,
+        which stay in any case and are the easy ones, have no say."""
+        by: dict[str, list[float]] = {}
+        for (kind, _, label), p in zip(kinds, self.score([f for _, f, _ in kinds])):
+            if label:
+                by.setdefault(kind, []).append(float(p))
+        self.threshold = min(sorted(v)[int((1 - recall) * len(v))] for v in by.values())
+        return self
+
     def calibrate(self, z: np.ndarray, y: np.ndarray) -> None:
         """Platt: slope and offset of a logistic fit of the labels on the raw scores, by Newton steps with a small penalty."""
         a, b = 1.0, 0.0
@@ -197,35 +215,73 @@ class Network:
         self.slope, self.offset = float(max(a, 1e-3)), float(b)
 
 
-def generated(count: int = 1200, seed: int = 17) -> tuple[list[tuple[str, str, str]], list[int]]:
-    """Labelled findings made by rule: credentials in the settings where they occur, and tokens of like length that are none."""
+_LETTERS = "etaoinshrdlucmfy" * 3 + "pgwbvkxjqz"
+
+
+def _some(rng: random.Random, alphabet: str, a: int, b: int) -> str:
+    return "".join(rng.choices(alphabet, k=rng.randint(a, b)))
+
+
+def _word(rng: random.Random) -> str:
+    return _some(rng, _LETTERS, 2, 9)
+
+
+_ALNUM, _HEX, _MARKS = string.ascii_letters + string.digits, "0123456789abcdef", "!@#$%^&*"
+#: Kinds of credentials that are generated, none of which a base rule finds where it stands, and whether one only counts behind a cue.
+SECRET_KINDS = {
+    "random": (lambda r: _some(r, _ALNUM, 20, 48), False),
+    "base64": (lambda r: _some(r, _ALNUM + "+/", 32, 60) + "=" * r.randint(0, 2), False),
+    "vendor": (lambda r: r.choice(["ghp_", "sk_live_", "xoxb-", "glpat-", "AIza"]) + _some(r, _ALNUM, 20, 40), False),
+    "short hex": (lambda r: _some(r, _HEX, 16, 31), True),
+    "short": (lambda r: _some(r, _ALNUM, 12, 19), True),
+    "password": (lambda r: _some(r, string.ascii_letters, 3, 6) + _some(r, _MARKS, 1, 2) + _some(r, string.digits, 1, 3) + _some(r, _ALNUM + _MARKS, 2, 6), True),
+}
+_OPEN_CUES = ["", "see ", "use ", "export K=", "Authorization: Bearer ", "with "]
+_CUES = ["key: ", "key = \"", "auth: ", "auth=", "pwd: ", "pwd=", "pass: ", "passcode: ", "passphrase = ", "credential: ", "creds: ", "bearer: "]
+#: Tokens of like length that are none, and what stands behind a cue in prose.
+OTHER_KINDS = {
+    "name": lambda r: "_".join(_word(r) for _ in range(4)) + "_" + str(r.randint(1, 99)),
+    "slug": lambda r: "-".join(_word(r) for _ in range(5)) + "-" + str(r.randint(1990, 2030)),
+    "path": lambda r: "/".join(_word(r) for _ in range(5)) + "/" + str(r.randint(1, 999)),
+    "camel": lambda r: "".join(_word(r).capitalize() for _ in range(4)) + str(r.randint(1, 9)),
+    "uuid": lambda r: "-".join(_some(r, _HEX, n, n) for n in (8, 4, 4, 4, 12)),
+    "time": lambda r: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}-{r.randint(10, 59)}-{r.randint(10, 59)}Z",
+    "line": lambda r: _some(r, "=-_", 18, 40) + _some(r, string.digits + "ab", 2, 3),
+    "host": lambda r: f"{_word(r)}{r.randint(1, 99)}.{_word(r)}.{r.choice(['com', 'org', 'net', 'de'])}",
+    "page": lambda r: f"//{r.choice(['', 'www.'])}{_word(r)}{r.randint(1, 99)}.{_word(r)}.{r.choice(['com', 'org', 'fr'])}/{_word(r)}/{r.randint(1, 999)}",
+    "file": lambda r: f"{_word(r)}_{_word(r)}{r.randint(1, 9999)}.{r.choice(['jpg', 'pdf', 'txt', 'tar.gz'])}",
+    "version": lambda r: f"{_word(r)}-{r.randint(0, 20)}.{r.randint(0, 20)}.{r.randint(0, 20)}-rc{r.randint(1, 9)}",
+    "count": lambda r: f"{r.randint(1, 9999)}{_word(r)}-{r.randint(1, 9999)}{_word(r)}",
+}
+
+
+def generated_kinds(count: int = 3200, seed: int = 17) -> list[tuple[str, tuple[str, str, str], int]]:
+    """(kind, finding, label) made by rule: credentials in the settings where they occur, and tokens that are none in theirs, in turn."""
     rng = random.Random(seed)
-    some = lambda alphabet, a, b: "".join(rng.choices(alphabet, k=rng.randint(a, b)))
-    word = lambda: some("etaoinshrdlucmfy", 2, 9)
-    alnum, b64, hexa = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "0123456789abcdef"
-    prose = lambda k: " ".join(word() for _ in range(k))
-    out, labels = [], []
+    token = lambda: rng.choice([m for m, _ in SECRET_KINDS.values()] + list(OTHER_KINDS.values()))(rng)
+    said = lambda: rng.choice([_word] * 12 + [lambda r: _word(r).capitalize(), lambda r: str(r.randint(0, 9999)), lambda r: token()])(rng)
+    prose = lambda k: rng.choice([" "] * 8 + [", ", "; ", "\n"]).join(said() for _ in range(k))
+    out = []
     for i in range(count):
-        before, after = prose(rng.randint(2, 5)) + " ", " " + prose(rng.randint(2, 5))
+        before, after = prose(rng.randint(2, 5)) + " ", rng.choice([" ", ". ", ".\n", "\n"]) + prose(rng.randint(2, 5))
         if i % 2:
-            value = rng.choice([lambda: some(alnum, 20, 48), lambda: some(b64, 32, 60) + "=" * rng.randint(0, 2), lambda: some(hexa, 32, 64), lambda: rng.choice(["ghp_", "sk_live_", "xoxb-", "glpat-", "AIza"]) + some(alnum, 20, 40)])()
-            before += rng.choice(["", "key: ", "Bearer ", "token=", "secret = \"", "auth ", "credential: ", "export K="])
+            kind = rng.choice(list(SECRET_KINDS))
+            make, cued = SECRET_KINDS[kind]
+            before, value = before + rng.choice(_CUES if cued else _CUES + _OPEN_CUES), make(rng)
+        elif rng.random() < 0.25:
+            kind, value, before = "word behind a cue", _some(rng, _LETTERS, 6, 11), before + rng.choice(_CUES)
         else:
-            value = rng.choice(
-                [
-                    lambda: "_".join(word() for _ in range(4)) + "_" + str(rng.randint(1, 99)),
-                    lambda: "-".join(word() for _ in range(5)) + "-" + str(rng.randint(1990, 2030)),
-                    lambda: "/".join(word() for _ in range(5)) + "/" + str(rng.randint(1, 999)),
-                    lambda: "".join(word().capitalize() for _ in range(4)) + str(rng.randint(1, 9)),
-                    lambda: "-".join(some(hexa, n, n) for n in (8, 4, 4, 4, 12)),
-                    lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}-{rng.randint(10, 59)}-{rng.randint(10, 59)}Z",
-                    lambda: some("=-_", 18, 40) + some(string.digits + "ab", 2, 3),
-                ]
-            )()
-            before += rng.choice(["", "see ", "file ", "id ", "/", "version "])
-        out.append((before, value, after))
-        labels.append(i % 2)
-    return out, labels
+            kind = rng.choice(list(OTHER_KINDS))
+            lead = _some(rng, "abcdeo.", 1, 8) + "@" if kind == "host" and rng.random() < 0.6 else rng.choice(["", "see ", "file ", "id ", "/", "version ", "https://", "https://www.", "http://", "("])
+            value, before = OTHER_KINDS[kind](rng), before + lead
+        out.append((kind, (before[-AROUND:], value, after[:AROUND]), i % 2))
+    return out
+
+
+def generated(count: int = 3200, seed: int = 17) -> tuple[list[tuple[str, str, str]], list[int]]:
+    """The findings and labels of :func:`generated_kinds`."""
+    _, found, labels = zip(*generated_kinds(count, seed))
+    return list(found), list(labels)
 
 
 def around(text: str, span: Span) -> tuple[str, str, str]:
@@ -234,33 +290,30 @@ def around(text: str, span: Span) -> tuple[str, str, str]:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, recall: float = RECALL) -> Network:
-    """Fit on generated findings and on those of at most ``sample_docs`` documents (by hash of doc_id), labelled by the base rules.
+    """Fit on generated findings and on the base findings of at most ``sample_docs`` documents (by hash of doc_id), which are secrets by rule.
 
-    The findings are made where the documents are; at most 4 of each label and document, none over LONGEST characters, and 4,000 in
+    The findings are made where the documents are; at most 4 of a document, none over LONGEST characters, and 4,000 in
     all, come to the driver.
     """
     few = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
 
     def rows(ids, texts):
-        out = {"doc_id": [], "before": [], "found": [], "after": [], "label": []}
+        out = {"doc_id": [], "before": [], "found": [], "after": []}
         for i, t in zip(ids, texts):
             t = t.decode()
-            base = base_findings(t)
-            for label, spans in ((1, base[:4]), (0, other_candidates(t, base)[:4])):
-                for s in spans:
-                    if s[2] - s[0] > LONGEST:
-                        continue
+            for s in base_findings(t)[:4]:
+                if s[2] - s[0] <= LONGEST:
                     for key, x in zip(("before", "found", "after"), around(t, s)):
                         out[key].append(x)
                     out["doc_id"].append(i)
-                    out["label"].append(label)
         return out
 
     kept = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most sample_docs ids
-    schema = f"doc_id {id_type(docs).simpleString()}, before string, found string, after string, label int"
+    schema = f"doc_id {id_type(docs).simpleString()}, before string, found string, after string"
     got = map_texts(kept, rows, schema).orderBy(F.xxhash64("doc_id", "before", "found"), "before", "found").limit(4000).collect()
     findings, labels = generated()
-    return Network().fit(findings + [(r.before, r.found, r.after) for r in got], labels + [r.label for r in got], recall=recall)
+    network = Network().fit(findings + [(r.before, r.found, r.after) for r in got], labels + [1] * len(got), recall=recall)
+    return network.constrain(generated_kinds(seed=23))
 
 
 def secrets_in(text: str, network: Network) -> list[tuple[Span, float]]:
@@ -296,17 +349,24 @@ def joined(spans: list[Span]) -> str:
 
 
 def digests(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added): :func:`findings` with counts, a digest of the base kinds and all spans joined."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added, n_rejected, scores): :func:`findings` with counts, a digest of the base
+    kinds and all spans joined; the candidates that the network rejected, and the score of each span, in the same order."""
 
     def rows(ids, texts):
-        out = {k: [] for k in ("n_assign", "n_access", "n_hex", "n_added", "base_sha256", "spans")}
+        out = {k: [] for k in ("n_assign", "n_access", "n_hex", "n_added", "n_rejected", "base_sha256", "spans", "scores")}
         for t in texts:
-            found = [s for s, _ in secrets_in(t.decode(), network)]
+            t = t.decode()
+            scored = secrets_in(t, network)
+            found = [s for s, _ in scored]
             for k, name in enumerate(("n_assign", "n_access", "n_hex", "n_added")):
                 out[name].append(sum(s[1] == k for s in found))
-            out["base_sha256"].append(hashlib.sha256(joined([s for s in found if s[1] < BASE]).encode()).hexdigest())
+            base = [s for s in found if s[1] < BASE]
+            out["n_rejected"].append(len(other_candidates(t, base)) - out["n_added"][-1])
+            out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
             out["spans"].append(joined(found))
+            out["scores"].append(",".join(f"{p:.3f}" for _, p in scored))
         return {"doc_id": ids} | out
 
     counts = ", ".join(f"{c} bigint" for c in ("n_assign", "n_access", "n_hex"))
-    return map_texts(docs, rows, f"doc_id {id_type(docs, id_col).simpleString()}, {counts}, base_sha256 string, spans string, n_added bigint", id_col, text_col)
+    schema = f"doc_id {id_type(docs, id_col).simpleString()}, {counts}, base_sha256 string, spans string, n_added bigint, n_rejected bigint, scores string"
+    return map_texts(docs, rows, schema, id_col, text_col)

@@ -822,11 +822,15 @@ def test_many_and_long_candidates(secret_network):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.sampled_from(["token=", "Ab1" * 8, "Ab1" * 6, " ", "AKIA" + "Q7" * 8, "0af3" * 9, "-", "x"]), max_size=12))
+@given(st.lists(st.sampled_from(["token=", "key: ", "Pwd=", "Ab1" * 8, "Ab1" * 6, " ", "AKIA" + "Q7" * 8, "0af3" * 9, "-", "x"]), max_size=12))
 def test_other_candidates_equal_all_pairs(parts):
     text = "".join(parts)
     base = secrets.base_findings(text)
-    want = [(m.start(), 3, m.end()) for m in secrets._long_re.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for a, _, b in base)]
+    mixed = {m.span() for m in secrets._long_re.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])}
+    want = []
+    for a, b in sorted(mixed | {m.span(1) for m in secrets._value_re.finditer(text)}, key=lambda s: (s[0], -s[1])):
+        if not any(x < b and a < y for x, _, y in base + want):
+            want.append((a, 3, b))
     assert secrets.other_candidates(text, base) == want
 
 
