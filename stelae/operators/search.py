@@ -122,6 +122,14 @@ def term_rank(weighted: list[tuple[Column, float]], terms: list[str]) -> Column:
     return out
 
 
+def lexical_score(tokens: Column, terms: list[str]) -> Column:
+    """How alike a text's words and a query's are, whatever their number and order: twice the shared words over those of both."""
+    wanted = F.array(*[F.lit(t) for t in dict.fromkeys(t.lower() for t in terms)])
+    own = F.array_distinct(tokens)
+    both = F.size(own) + F.size(wanted)
+    return F.when(both > 0, 2.0 * F.size(F.array_intersect(own, wanted)) / both).otherwise(0.0)
+
+
 def keyword_in_context(df: DataFrame, keyword: str, context: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Every occurrence, overlapping ones included, whatever the case: (id, position, left, hit, right), positions from 1."""
     n, text, key = len(keyword), F.col(text_col), keyword.lower()

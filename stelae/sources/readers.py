@@ -176,7 +176,7 @@ def vocabulary(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def tei(texts: DataFrame, xml: str = "xml") -> DataFrame:
-    """Records from TEI documents (id, place, year, uncertainty, lat, lon, material, text, translation), by XPath on the XML
+    """Records from TEI documents (id, place, year, uncertainty, lat, lon, material, object_type, bibliography, text, translation), by XPath on the XML
     without namespaces. The year is ``when-custom``, or the middle of the bounds rounded down; ids that lack are digests.
     Malformed documents keep a row with ``problem``."""
     x = F.regexp_replace(F.regexp_replace(F.col(xml), r"""\sxmlns(:\w+)?=("[^"]*"|'[^']*')""", ""), r"(</?)\w+:", "$1")
@@ -196,6 +196,8 @@ def tei(texts: DataFrame, xml: str = "xml") -> DataFrame:
         safe_float(F.try_element_at(geo, F.lit(1))).alias("lat"),
         safe_float(F.try_element_at(geo, F.lit(2))).alias("lon"),
         get("//material").alias("material"),
+        get("//supportDesc//objectType").alias("object_type"),
+        get("//div[@type='bibliography']//bibl").alias("bibliography"),
         get("//div[@type='edition']").alias("text"),
         get("//div[@type='translation']").alias("translation"),
         F.when(~ok, "not XML").alias("problem"),

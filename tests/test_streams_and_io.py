@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stelae.engine import Corpus
+from stelae.engine import Corpus, People
 from stelae.functions import tables as functions
 from stelae.functions import text
 from stelae.operators import models
@@ -169,9 +169,10 @@ def test_annotations_by_alias(spark, tmp_path):
 
 
 def test_tei_fields(spark):
-    doc = '<TEI xmlns="u"><origDate notBefore-custom="-0500" notAfter-custom="-0401"/><origPlace><placeName>Cortona</placeName></origPlace><geo>43.2 11.9</geo><div type="edition"><ab>mi</ab></div></TEI>'
+    doc = '<TEI xmlns="u"><origDate notBefore-custom="-0500" notAfter-custom="-0401"/><origPlace><placeName>Cortona</placeName></origPlace><geo>43.2 11.9</geo><supportDesc><objectType>stela</objectType></supportDesc><div type="edition"><ab>mi</ab></div><div type="bibliography"><bibl>CIE 1</bibl></div></TEI>'
     r = readers.tei(spark.createDataFrame([(doc,), ("no",)], "xml string")).collect()
     assert (r[0].place, r[0].year, r[0].uncertainty, r[0].lat, r[0].text) == ("Cortona", -451, 49, 43.2, "mi")
+    assert (r[0].object_type, r[0].bibliography) == ("stela", "CIE 1")
     assert r[1].problem == "not XML"
 
 
@@ -332,3 +333,28 @@ def test_table_functions_equal_expressions(spark, rows):
     docs = spark.createDataFrame([(1, "x", "aa"), (2, "x", "bbb"), (3, "y", None), (4, "x", "ccc")], "id int, part string, t string")
     said = spark.sql("SELECT * FROM longest_of('part', 't', TABLE({docs}) PARTITION BY part ORDER BY id)", docs=docs)
     assert rows(said) == [("x", 3, "bbb"), ("y", 1, None)]
+
+
+def test_engine_pages_and_people(spark, rows):
+    df = spark.createDataFrame(
+        [("a", "mi larθal velus", "Cortona", 43.2, 11.9, "etruscan", "funerary", "verified", "413096", "the mi"), ("b", "velus mi", "Roma", None, None, "latin", "unknown", None, "", None), ("c", "arnθ", "Cortona", 43.3, 11.8, "etruscan", "unknown", "verified", None, "mi velus")],
+        "id string, canonical string, findspot string, findspot_lat double, findspot_lon double, language string, classification string, provenance_status string, pleiades_id string, notes string",
+    ).withColumn("emb_combined", F.array(F.lit(1.0), F.length("id").cast("double")))
+    c = Corpus(df)
+    assert rows(c.ids()) == [("a",), ("b",), ("c",)]
+    assert [r.id for r in c.ranked("mi velus").collect()] == ["b", "a", "c"] and c.ranked("-x").count() == 0
+    assert rows(c.provenance()) == [("unknown", 1), ("verified", 2)]
+    assert c.letters("language", "mi").where("language = 'latin' and letter = 'm'").first().n == 1
+    assert sum(len(decoded(bytes(r.tile))["inscriptions"]) for r in c.tiles(3).collect()) == 2
+    assert '"body":"https://pleiades.stoa.org/places/413096"' in c.annotations("urn:r:").first().doc
+    assert tuple(c.place_links().first()) == (3, 1, 0.3333)
+    assert [r.id for r in c.hybrid(["mi", "velus", "roma"], [1.0, 1.0], rerank="words", limit=2).collect()] == ["b", "a"]
+    entities = spark.createDataFrame([("1", "larθ", "spurina", "male", "a"), ("2", "velia", "lecne", "female", "a"), ("3", "vel", "lecne", "male", "b"), ("4", "x", None, None, "b")], "entity string, name string, gens string, gender string, record string")
+    p = People(c, entities, spark.createDataFrame([("1", "2", "married"), ("3", "2", "father'of")], "source string, target string, kind string"))
+    assert [r.entity for r in p.search(name="VEL").collect()] == ["3", "2"] and p.search(gens="lecne", gender="male").count() == 1
+    assert rows(p.clan("lecne"), "id") == [("a",), ("b",)]
+    assert rows(p.clans()) == [("lecne", 2, ["Cortona", "Roma"]), ("spurina", 1, ["Cortona"])]
+    assert rows(p.related("spurina")) == [("lecne", 1)]
+    assert rows(p.network("a"), "source_name", "target_name", "kind") == [("larθ", "velia", "married"), ("vel", "velia", "father'of")]
+    assert rows(p.together()) == [("larθ", "velia", 1), ("vel", "x", 1)]
+    assert [p.export(f).count() for f in ("graphml", "cypher", "json")] == [6, 6, 6]
