@@ -27,13 +27,27 @@ def lemma_hits(docs: DataFrame, id_col: str, tokens: Column, lemmas: DataFrame,
     return words.join(lemmas.select(lemma_col).distinct(), lemma_col).groupBy(lemma_col).agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"))
 
 
+def first_in_hash_order(df: DataFrame, key: str, id_col: str, wanted: Column, seed: int = 42) -> DataFrame:
+    """The first rows of each key in hash order, as many as ``wanted`` says, an expression of the key's number of rows ``_n``; ties by id.
+
+    No row is ranked but those near the cut: hashes are counted in 65,536 buckets of each key, rows of the buckets before the cut are
+    in, and of the one that holds it (a 65,536th of a key's rows) the first are. Null keys are left out.
+    """
+    rows = df.where(F.col(key).isNotNull()).withColumn("_o", hash_order(id_col, seed)).withColumn("_b", F.conv(F.substring("_o", 1, 4), 16, 10).cast("int"))
+    so_far = Window.partitionBy(key).orderBy("_b")  # at most a row for each bucket
+    counted = rows.groupBy(key, "_b").agg(F.count("*").alias("_c"))
+    placed = counted.select(key, "_b", "_c", F.sum("_c").over(so_far).alias("_upto"), F.sum("_c").over(Window.partitionBy(key)).alias("_n"))
+    cut = placed.withColumn("_k", wanted).where("_upto >= _k").groupBy(key).agg(F.min_by(F.struct(F.col("_b").alias("at"), (F.col("_k") - F.col("_upto") + F.col("_c")).alias("more")), "_b").alias("_cut"))
+    met = rows.join(cut, key, "left")  # a key of fewer rows than wanted has no cut
+    whole = met.where(F.col("_cut").isNull() | (F.col("_b") < F.col("_cut.at"))).select(*df.columns)
+    near = met.where(F.col("_b") == F.col("_cut.at")).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_o", id_col)))
+    return whole.unionByName(near.where(F.col("_r") <= F.col("_cut.more")).select(*df.columns))
+
+
 def text_disjoint_split(df: DataFrame, id_col: str, label_col: str, key_col: str, share: float, least: int = 2, seed: int = 42) -> DataFrame:
     """``df`` with ``split``: of each label a share (at least ``least`` rows) in hash order is test, and so is every row that
     shares a text key with one of them, so that no text is on both sides."""
-    n = df.groupBy(label_col).agg(F.count("*").alias("_n"))
-    rows = df.select(id_col, label_col, key_col, hash_order(id_col, seed).alias("_o"))
-    ranked = running_sum(rows, [label_col], ["_o", id_col], F.lit(1), "_r").join(n, label_col)
-    drawn = ranked.where(F.col("_r") <= F.greatest(F.lit(least), F.floor(F.col("_n") * share)))
+    drawn = first_in_hash_order(df.select(id_col, label_col, key_col), label_col, id_col, F.greatest(F.lit(least), F.floor(F.col("_n") * share)), seed)
     keys = drawn.select(key_col).distinct().withColumn("_t", F.lit(True))
     return df.join(keys, key_col, "left").withColumn("split", F.when(F.col("_t"), "test").otherwise("train")).drop("_t")
 

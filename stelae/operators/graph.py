@@ -30,6 +30,32 @@ def descendants(seeds: DataFrame, edges: DataFrame, parent: str, child: str, mos
         found = found.unionByName(newest)
 
 
+def classes(links: DataFrame, u: str, v: str) -> DataFrame:
+    """(node, class) of all nodes with a link: the least node that can be reached, itself included.
+
+    Stars are contracted in turn: each node's larger neighbours, then its smaller ones, are linked to the least node it sees, until nothing
+    changes; rounds grow with the logarithm of the longest chain. A round is three aggregations and joins of links, never more links
+    than there were; a count and a checksum reach the driver. Links to oneself and null ends are left out, but the former name a node.
+    """
+    named = links.where(F.col(u).isNotNull() & F.col(v).isNotNull()).select(F.col(u).alias("u"), F.col(v).alias("v"))
+    alone = named.where("u = v").select(F.col("u").alias("node")).distinct()
+    now = fixed(named.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    seen = None
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = fixed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        larger = fixed(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = fixed(larger.groupBy("u").agg(F.min("v").alias("m")))
+        smaller = larger.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        now = fixed(smaller.where("u <> v").distinct())
+        size = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if size == seen:
+            break
+        seen = size
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("class")).distinct())
+    return found.unionByName(alone.join(found, "node", "left_anti").select("node", F.col("node").alias("class")))
+
+
 def network(entities: DataFrame, relations: DataFrame, entity: str, source: str, target: str, around: DataFrame) -> DataFrame:
     """Edges that touch, at either end, the entities listed in ``around``, each once."""
     ids = around.select(entity).distinct()

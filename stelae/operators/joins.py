@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import fixed
+
 
 def join_on_either(left: DataFrame, right: DataFrame, left_key: str, right_keys: list[str]) -> DataFrame:
     """Rows of ``left`` and ``right`` where ``left_key`` equals any of ``right_keys``, each pair once: a union of equi-joins
@@ -25,6 +27,20 @@ def shared_identifiers(df: DataFrame, id_col: str, identifiers: list[str]) -> Da
     return held.join(mates, "value").where(F.col(id_col) != F.col("mate")).select(id_col, "mate").distinct()
 
 
+def identifier_classes(df: DataFrame, id_col: str, identifiers: list[str]) -> DataFrame:
+    """(id, class, n_mates): rows that hold a value in common, directly or through others, are one class, named by its least id; ``n_mates`` are
+    the other rows that hold one of the row's values, each counted once for each value. A value costs a link for each row that
+    holds it, not a pair for each two: its rows are linked to the least of them."""
+    from .graph import classes
+
+    held = fixed(df.select(id_col, F.explode(F.array(*[F.col(c).cast("string") for c in identifiers])).alias("value")).where(F.trim("value") != "").distinct())
+    least = held.groupBy("value").agg(F.min(id_col).alias("_least"), (F.count("*") - 1).alias("_mates"))
+    linked = held.join(least, "value")
+    mates = linked.groupBy(id_col).agg(F.sum("_mates").alias("n_mates"))
+    found = classes(linked, id_col, "_least").withColumnsRenamed({"node": id_col})
+    return found.join(mates, id_col).select(id_col, "class", "n_mates")
+
+
 def unordered_pairs(df: DataFrame, key: list[str], id_col: str) -> DataFrame:
     """(keys, a, b) with a < b of rows that share a non-null key."""
     left = df.select(*key, F.col(id_col).alias("a"))

@@ -84,6 +84,17 @@ def shared_identifier_cluster(spark, d):
     return J.shared_identifiers(c, "c_custkey", ["a", "b"])
 
 
+@query("""WITH RECURSIVE h AS (SELECT DISTINCT c_custkey AS id, v FROM (SELECT c_custkey, CAST(CAST(floor(abs(c_acctbal) / 50) AS BIGINT) AS VARCHAR) AS v FROM customer
+UNION ALL SELECT c_custkey, 'k' || c_custkey % 4000 FROM customer)), m AS (SELECT v, min(id) AS least, count(*) - 1 AS mates FROM h GROUP BY v), l AS (SELECT id, least FROM h JOIN m USING (v)),
+e AS (SELECT id AS a, least AS b FROM l UNION SELECT least, id FROM l), r AS (SELECT id AS root, id AS node FROM (SELECT DISTINCT least AS id FROM l) UNION SELECT r.root, e.b FROM r JOIN e ON e.a = r.node AND e.b > r.root),
+c AS (SELECT node AS id, min(root) AS class FROM r GROUP BY node)
+SELECT h.id AS c_custkey, any_value(c.class) AS class, CAST(sum(mates) AS BIGINT) AS n_mates FROM h JOIN m USING (v) JOIN c ON c.id = h.id GROUP BY h.id""")
+def shared_identifier_classes(spark, d):
+    """Classes and membership where shared_identifier_cluster has all pairs."""
+    c = table(spark, d, "customer").select("c_custkey", F.floor(F.abs("c_acctbal") / 50).alias("a"), F.concat(F.lit("k"), F.col("c_custkey") % 4000).alias("b"))
+    return J.identifier_classes(c, "c_custkey", ["a", "b"])
+
+
 @query("""SELECT c_nationkey AS tomb, CAST(floor(abs(c_acctbal) / 100) AS BIGINT) AS marker, a, b FROM (
 SELECT x.c_nationkey, x.c_acctbal, x.c_custkey AS a, y.c_custkey AS b FROM customer x JOIN customer y ON x.c_nationkey = y.c_nationkey
 AND floor(abs(x.c_acctbal) / 100) = floor(abs(y.c_acctbal) / 100) AND x.c_custkey < y.c_custkey)""")

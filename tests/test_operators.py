@@ -456,3 +456,40 @@ def test_restoration_equals_all_fillings(spark):
             made.append((-round(sum(math.log(chance("".join(full[max(0, k - 2) : k]), full[k])) for k in reach), 9), "".join(fill)))
         want |= {(i, n + 1): (f, -s) for n, (s, f) in enumerate(sorted(made)[:4])}
     assert got == want
+
+
+def test_first_in_hash_order_equals_ranks(spark):
+    import hashlib
+
+    rows_ = [(i, "hot" if i % 4 else f"k{i % 12}", i) for i in range(2000)] + [(5000 + i, "two", i) for i in range(2)] + [(6000, None, 1)]
+    df = spark.createDataFrame(rows_, "id int, k string, v int").repartition(5)
+    got = {(r.k, r.id) for r in curation.first_in_hash_order(df, "k", "id", F.greatest(F.lit(3), F.floor(F.col("_n") * 0.1))).collect()}
+    want = set()
+    for k in {k for _, k, _ in rows_ if k}:
+        ids = sorted((hashlib.md5(f"{i}|42".encode()).hexdigest(), i) for i, x, _ in rows_ if x == k)
+        want |= {(k, i) for _, i in ids[: max(3, len(ids) // 10)]}
+    assert got == want
+
+
+@pytest.mark.parametrize("n, links", [(60, 30), (200, 190), (64, 63)])
+def test_classes_equal_union_find(spark, n, links):
+    rng = random.Random(n)
+    made = [(i, i + 1) for i in range(links)] if links == 63 else [(rng.randrange(n), rng.randrange(n)) for _ in range(links)]
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in made:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    df = spark.createDataFrame([*made, (None, 3)], "a int, b int").repartition(3)
+    assert {r.node: r["class"] for r in graph.classes(df, "a", "b").collect()} == {x: root(x) for link in made for x in link}
+    assert graph.classes(df.where("false"), "a", "b").count() == 0
+
+
+def test_identifier_classes(spark, rows):
+    df = spark.createDataFrame([(1, "x", "p"), (2, "x", ""), (3, "q", "p"), (4, None, "z"), (5, " ", None)], "id int, a string, b string")
+    assert rows(joins.identifier_classes(df, "id", ["a", "b"])) == [(1, 1, 2), (2, 1, 1), (3, 1, 1), (4, 4, 0)]
