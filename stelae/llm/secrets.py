@@ -215,7 +215,7 @@ class Network:
         self.slope, self.offset = float(max(a, 1e-3)), float(b)
 
 
-_LETTERS = "etaoinshrdlucmfy" * 3 + "pgwbvkxjqz"
+_LETTERS = "etaoinshrdlucmfy" * 3 + "pgwbvkxjqz" + "éóñüßç"
 
 
 def _some(rng: random.Random, alphabet: str, a: int, b: int) -> str:
@@ -226,6 +226,10 @@ def _word(rng: random.Random) -> str:
     return _some(rng, _LETTERS, 2, 9)
 
 
+def _label(rng: random.Random) -> str:
+    return _some(rng, "etaoinshrdlucmfymailexp", 2, 9)
+
+
 _ALNUM, _HEX, _MARKS = string.ascii_letters + string.digits, "0123456789abcdef", "!@#$%^&*"
 #: Kinds of credentials that are generated, none of which a base rule finds where it stands, and whether one only counts behind a cue.
 SECRET_KINDS = {
@@ -247,7 +251,8 @@ OTHER_KINDS = {
     "uuid": lambda r: "-".join(_some(r, _HEX, n, n) for n in (8, 4, 4, 4, 12)),
     "time": lambda r: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}-{r.randint(10, 59)}-{r.randint(10, 59)}Z",
     "line": lambda r: _some(r, "=-_", 18, 40) + _some(r, string.digits + "ab", 2, 3),
-    "host": lambda r: f"{_word(r)}{r.randint(1, 99)}.{_word(r)}.{r.choice(['com', 'org', 'net', 'de'])}",
+    "host": lambda r: f"{_label(r)}{r.randint(1, 99)}.{_label(r)}.{r.choice(['com', 'org', 'net', 'de'])}",
+    "host of a mail address": lambda r: f"{r.choice(['', 'mail', 'mx', 'post', _label(r)])}{r.randint(1, 99)}.{r.choice(['example', _label(r)])}.{r.choice(['com', 'org', 'net', 'de'])}",
     "page": lambda r: f"//{r.choice(['', 'www.'])}{_word(r)}{r.randint(1, 99)}.{_word(r)}.{r.choice(['com', 'org', 'fr'])}/{_word(r)}/{r.randint(1, 999)}",
     "file": lambda r: f"{_word(r)}_{_word(r)}{r.randint(1, 9999)}.{r.choice(['jpg', 'pdf', 'txt', 'tar.gz'])}",
     "version": lambda r: f"{_word(r)}-{r.randint(0, 20)}.{r.randint(0, 20)}.{r.randint(0, 20)}-rc{r.randint(1, 9)}",
@@ -271,8 +276,9 @@ def generated_kinds(count: int = 3200, seed: int = 17) -> list[tuple[str, tuple[
         elif rng.random() < 0.25:
             kind, value, before = "word behind a cue", _some(rng, _LETTERS, 6, 11), before + rng.choice(_CUES)
         else:
-            kind = rng.choice(list(OTHER_KINDS))
-            lead = _some(rng, "abcdeo.", 1, 8) + "@" if kind == "host" and rng.random() < 0.6 else rng.choice(["", "see ", "file ", "id ", "/", "version ", "https://", "https://www.", "http://", "("])
+            kind = "host of a mail address" if rng.random() < 0.2 else rng.choice(list(OTHER_KINDS))
+            name = _some(rng, _LETTERS + ".", 1, 8) + rng.choice(["", ".", str(rng.randint(1, 99)), f".{rng.randint(1, 99)}"])
+            lead = name + "@" if "mail" in kind else rng.choice(["", "see ", "file ", "id ", "/", "version ", "https://", "https://www.", "http://", "("])
             value, before = OTHER_KINDS[kind](rng), before + lead
         out.append((kind, (before[-AROUND:], value, after[:AROUND]), i % 2))
     return out
