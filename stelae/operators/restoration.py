@@ -14,11 +14,16 @@ BACK, LEAST = 0.4, 1e-9
 GAP = "\x00"
 
 
+def _characters(text: Column) -> Column:
+    """The characters of a text as an array, so that a place is found at once, however long the text."""
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
 def contexts(df: DataFrame, text: str, order: int, by: list[str] | None = None) -> DataFrame:
     """(by..., context, next, n): how often each character follows each run of ``order``."""
-    t = F.col(text)
-    rows = df.where(F.length(t) > order).select(*(by or []), t.alias("_t"), F.explode(F.sequence(F.lit(1), F.length(t) - order)).alias("_i"))
-    return rows.groupBy(*(by or []), F.substring("_t", F.col("_i"), F.lit(order)).alias("context"), F.substring("_t", F.col("_i") + order, F.lit(1)).alias("next")).agg(F.count("*").alias("n"))
+    cut = df.where(F.length(F.col(text)) > order).select(*(by or []), _characters(F.col(text)).alias("_c"))
+    run = F.transform(F.sequence(F.lit(1), F.size("_c") - order), lambda i: F.struct(F.array_join(F.slice("_c", i, F.lit(order)), "").alias("context"), F.get("_c", i + order - 1).alias("next")))
+    return cut.select(*(by or []), F.explode(run).alias("_x")).groupBy(*(by or []), F.col("_x.context").alias("context"), F.col("_x.next").alias("next")).agg(F.count("*").alias("n"))
 
 
 def model(df: DataFrame, text: str, order: int) -> DataFrame:
@@ -63,10 +68,12 @@ def restore(df: DataFrame, id_col: str, text: str, known: DataFrame, order: int,
     texts without gaps and null texts have no rows.
     """
     t = F.col(text)
-    places = F.filter(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(t, i, F.lit(1)) == GAP)
-    reached = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(places, lambda i: F.sequence(i, i + order))), lambda i: i <= F.length(t))))
-    rows = df.where(t.contains(GAP)).select(F.col(id_col).alias("id"), t.alias("text"), places.alias("gaps"), reached.alias("steps"))
-    rows = fixed(rows)
+    cut = df.where(t.contains(GAP)).select(F.col(id_col).alias("id"), _characters(t).alias("c"))
+    places = F.filter(F.transform("c", lambda x, i: F.when(x == GAP, i + 1)), lambda i: i.isNotNull())
+    cut = cut.withColumn("gaps", places)
+    within = lambda low, high: F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform("gaps", lambda i: F.sequence(i + low, i + high))), lambda i: (i >= 1) & (i <= F.size("c")))))
+    near = F.map_from_entries(F.transform(within(-order, order), lambda i: F.struct(i, F.get("c", i - 1))))  # all that a filling sees of its text
+    rows = fixed(cut.select("id", near.alias("near"), "gaps", within(0, order).alias("steps")))
     steps = rows.agg(F.max(F.size("steps"))).first()[0] or 0
     held = rows.select("*", F.lit("").alias("fills"), F.lit(0.0).alias("score"))
     open_ = F.array(*[F.lit(x) for x in letters])
@@ -74,17 +81,17 @@ def restore(df: DataFrame, id_col: str, text: str, known: DataFrame, order: int,
         at = F.try_element_at("steps", F.lit(k + 1))
         now = held.withColumn("_at", at)
         done, more = now.where("_at is null").drop("_at"), now.where("_at is not null")
-        here = F.substring("text", F.col("_at"), F.lit(1))
+        here = F.try_element_at("near", F.col("_at"))
         more = more.withColumn("_c", F.explode(F.when(here == GAP, open_).otherwise(F.array(here))))
         # what stands before, gaps filled: they take the fillings' characters in order
         span = F.transform(
             F.sequence(F.greatest(F.col("_at") - order, F.lit(1)), F.col("_at") - 1),
-            lambda i: F.when(F.substring("text", i, F.lit(1)) == GAP, F.substring("fills", F.array_position("gaps", i).cast("int"), F.lit(1))).otherwise(F.substring("text", i, F.lit(1))),
+            lambda i: F.when(F.try_element_at("near", i) == GAP, F.substring("fills", F.array_position("gaps", i).cast("int"), F.lit(1))).otherwise(F.try_element_at("near", i)),
         )
         before = F.when(F.col("_at") > 1, F.array_join(span, "")).otherwise("")
         met = _with_chance(more, known, order, before, "_c")
         filled = F.when(here == GAP, F.concat("fills", "_c")).otherwise(F.col("fills"))
-        met = met.select("id", "text", "gaps", "steps", filled.alias("fills"), (F.col("score") + F.ln("_p")).alias("score"))
+        met = met.select("id", "near", "gaps", "steps", filled.alias("fills"), (F.col("score") + F.ln("_p")).alias("score"))
         order_by = Window.partitionBy("id").orderBy(F.desc(F.round("score", 9)), "fills")  # at most width * letters rows
         met = met.withColumn("_n", F.row_number().over(order_by)).where(F.col("_n") <= width).drop("_n")
         held = fixed(met.unionByName(done))
