@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from .ranks import fixed
 
 #: What a character that a context lacks keeps of its chance in the next shorter one, and the chance of one never seen.
 BACK, LEAST = 0.4, 1e-9
+#: Different runs that a task holds before it says what it has counted.
+MOST_RUNS = 1_000_000
 #: A missing character in a text.
 GAP = "\x00"
 
@@ -20,10 +27,31 @@ def _characters(text: Column) -> Column:
 
 
 def contexts(df: DataFrame, text: str, order: int, by: list[str] | None = None) -> DataFrame:
-    """(by..., context, next, n): how often each character follows each run of ``order``."""
-    cut = df.where(F.length(F.col(text)) > order).select(*(by or []), _characters(F.col(text)).alias("_c"))
-    run = F.transform(F.sequence(F.lit(1), F.size("_c") - order), lambda i: F.struct(F.array_join(F.slice("_c", i, F.lit(order)), "").alias("context"), F.get("_c", i + order - 1).alias("next")))
-    return cut.select(*(by or []), F.explode(run).alias("_x")).groupBy(*(by or []), F.col("_x.context").alias("context"), F.col("_x.next").alias("next")).agg(F.count("*").alias("n"))
+    """(by..., context, next, n): how often each character follows each run of ``order``. A task counts what it reads, in batches of rows,
+    and says each run once or, where it holds MOST_RUNS, now and then: a row of each character would be 20 times slower."""
+    by = by or []
+    spec = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in by), *T._parse_datatype_string("context string, next string, n bigint").fields])
+    arrow = to_arrow_schema(spec)
+
+    def work(batches):
+        held: dict[tuple, Counter] = defaultdict(Counter)
+
+        def said():
+            for key, found in held.items():
+                runs, n = list(found), list(found.values())
+                columns = [*([v] * len(n) for v in key), [r for r, _ in runs], [c for _, c in runs], n]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+            held.clear()
+
+        for batch in batches:
+            for *key, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if t is not None and len(t) > order:
+                    held[tuple(key)].update(zip((t[i : i + order] for i in range(len(t) - order)), t[order:]))
+            if sum(map(len, held.values())) > MOST_RUNS:
+                yield from said()
+        yield from said()
+
+    return df.select(*by, text).mapInArrow(work, spec).groupBy(*by, "context", "next").agg(F.sum("n").alias("n"))
 
 
 def model(df: DataFrame, text: str, order: int) -> DataFrame:
