@@ -28,7 +28,7 @@ def _characters(text: Column) -> Column:
 
 def contexts(df: DataFrame, text: str, order: int, by: list[str] | None = None) -> DataFrame:
     """(by..., context, next, n): how often each character follows each run of ``order``. A task counts what it reads, in batches of rows,
-    and says each run once or, where it holds MOST_RUNS, now and then: a row of each character would be 20 times slower."""
+    and says each run once or, where it holds MOST_RUNS, now and then, so that no character becomes a row."""
     by = by or []
     spec = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in by), *T._parse_datatype_string("context string, next string, n bigint").fields])
     arrow = to_arrow_schema(spec)
