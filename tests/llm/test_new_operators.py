@@ -4,7 +4,7 @@ import hashlib
 import os
 import random
 import time
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -287,6 +287,25 @@ def test_both_places_of_a_repeated_passage(spark, parts):
     assert sorted((r.doc_id, r.start_word, r.end_word) for r in found) == sorted(x for k in range(0, 60, 2) for x in ((k, 40, 100), (k, 145, 205), (k + 1, 30, 90)))
 
 
+def test_copies_that_are_unlike_their_first(spark):
+    """Of three texts the one in the middle is like both others, which are not like each other; or two share more than the third holds:
+    whichever comes first, all are found, whole, in one class."""
+    rng = random.Random(41)
+    some = lambda n: [f"w{rng.randrange(100_000)}" for _ in range(n)]
+    n, texts = 120, []
+    for _ in range(n):
+        p, q, more = some(60), some(70), some(12)
+        texts += [" ".join(some(30) + p[:k] + some(len(p[k : k + 1])) + p[k + 1 :] + some(30)) for k in (20, 60, 39)]
+        texts += [" ".join(some(30) + q[a:] + more * longer + some(30)) for a, longer in ((12, 0), (0, 1), (0, 1))]
+    by = defaultdict(list)
+    for r in passages.repeated_passages(docs_of(spark, texts)).collect():
+        by[r.doc_id].append(r)
+    chains = sum(all(by[k + j] for j in range(3)) and len({(r.class_doc, r.class_start) for j in range(3) for r in by[k + j]}) == 1 for k in range(0, 6 * n, 6))
+    whole = sum(any((r.start_word, r.end_word) == (30, 112) for r in by[k + j]) for k in range(3, 6 * n, 6) for j in (1, 2))
+    print("CHAINS", chains, "WHOLE", whole)
+    assert chains >= 0.98 * n and whole >= 0.98 * 2 * n
+
+
 # --- secrets
 
 
