@@ -579,6 +579,36 @@ def test_passages_at_anchors_equal_brute_force(x, y, shared, edit, once):
     assert all(not any(a2 <= j <= b2 for _, _, a2, b2 in got) for _, j in failed)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=30), st.lists(st.integers(0, 5), max_size=30), st.integers(1, 9))
+def test_ways_go_on_with_the_run_that_gains_most(x, y, gap):
+    """Runs within a square, looked at by diagonals without sorting: the first of those that gain most, by definition."""
+    cell, p, q = passages._diagonals(gap)
+    inside = cell < gap * gap
+    assert sorted(cell[inside].tolist()) == list(range(gap * gap)) and (cell == p * gap + q)[inside].all()
+    i = j = 0
+    want = []
+    while True:
+        n = next((k for k in range(min(len(x) - i, len(y) - j)) if x[i + k] != y[j + k]), min(len(x) - i, len(y) - j))
+        want += [(i, j, n)] if n else []
+        i, j = i + n, j + n
+        u, v = x[i : i + gap], y[j : j + gap]
+        runs = []
+        for d in range(1 - len(u), len(v)):
+            for a in range(max(0, -d), min(len(u), len(v) - d)):
+                if u[a] == v[a + d] and not (a and a + d and u[a - 1] == v[a + d - 1]):
+                    long = next((k for k in range(min(len(u) - a, len(v) - a - d)) if u[a + k] != v[a + d + k]), min(len(u) - a, len(v) - a - d))
+                    runs.append(((1 - 0.8) * long - 0.8 * (2 * a + d), a, a + d))
+        if not runs:
+            break
+        _, a, b = max(runs, key=lambda r: r[0])
+        i, j = i + a, j + b
+    got = passages._way(np.array(x, np.int32), np.array(y, np.int32), gap, 0.8)
+    assert got == want
+    for f in passages._along(got, 3, 0.8) if got else ():
+        assert min(f[1] - f[0], f[3] - f[2]) >= 2 and x[f[0]] == y[f[2]] and x[f[1]] == y[f[3]]
+
+
 def test_heads_and_tails_link_to_the_first_however_dealt(spark):
     """Windows of few signatures, dealt in many ways: each is linked to the least (text, place) of its signature, equal ones once."""
     rng = random.Random(8)
