@@ -45,6 +45,29 @@ def dedup(df):
     return sorted((tuple(r) for r in suffixes.digests(df).collect()), key=repr)
 
 
+def test_strings_and_anchors_by_definition():
+    """Bytes from each place on, whole up to the end; the anchor of each window, the first of its grams whose hash is least, whatever the block and where equal grams repeat."""
+    rng = np.random.default_rng(13)
+    flat = np.concatenate([rng.integers(97, 99, 300), np.full(120, 120), rng.integers(0, 256, 400), np.tile(np.arange(97, 104), 40)]).astype(np.uint8)
+    text, at = flat.tobytes(), rng.integers(0, len(flat) - 76, 200)
+    for size in (8, 50, 77):
+        assert [bytes(x) for x in suffixes._strings(flat, size, f"V{size}")] == [(text[k:] + b"\0" * size)[:size] for k in range(len(text))]
+    assert [int(x) for x in suffixes._eights(flat, big=True)] == [int.from_bytes((text[k:] + b"\0" * 8)[:8], "big") for k in range(len(text))]
+    size = rng.integers(50, 77, len(at))
+    assert [x.tobytes() for x in suffixes._padded(flat, at, size)] == [(text[k : k + n] + b"\0" * 76)[:76] + bytes([n]) for k, n in zip(at, size.tolist())]
+    assert [x.tobytes() for x in suffixes._wide(flat, at, 50)] == [text[k : k + 50] + b"\1" for k in at]
+    ends = np.array([40, 420, 421, 700, len(flat)])
+    h = suffixes._hashes(suffixes._eights(np.concatenate([flat, np.zeros(30, np.uint8)])), 24, len(flat))
+    where = {}
+    for begin, end in zip([0, *ends[:-1]], ends):
+        for w in range(begin, end - 49):
+            where[w] = min(range(w, w + 27), key=lambda k: (int(h[k]) >> 48, k))
+    for block in (1 << 16, 64):
+        first, last, key, _ = suffixes.ruled(flat, ends, block)
+        got = {w: int(k) for a, b, k in zip(first.tolist(), last.tolist(), key) for w in range(a, b + 1)}
+        assert got == {w: int(suffixes._mix(h[k : k + 1] + np.uint64(1))[0]) for w, k in where.items()}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_suffix_array_and_prefixes(seed):
     rng = np.random.default_rng(seed)
