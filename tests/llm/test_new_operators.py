@@ -329,6 +329,56 @@ def test_copies_that_are_unlike_their_first(spark):
     assert chains >= 0.98 * n and whole >= 0.98 * 2 * n
 
 
+def test_the_longest_run_of_a_passage_is_a_window_of_both_texts():
+    """Texts that share a run of as many shingles as every passage has share a window under one function, wherever the run stands;
+    and passages with words changed, left out or put in have such a run."""
+    rng = random.Random(43)
+    some = lambda n: [f"w{rng.randrange(100_000)}" for _ in range(n)]
+    n = passages.shared_run(46, 0.8)
+    assert n == 21
+    for _ in range(200):
+        run = some(n + passages.SHINGLE - 1)
+        texts = [" ".join(some(rng.randrange(40, 90)) + run + some(rng.randrange(40, 90))).encode() for _ in range(2)]
+        key, of, p, _ = passages.windows_of(texts, 46, 1)
+        assert set(key[of == 0].tolist()) & set(key[of == 1].tolist())
+    for _ in range(100):
+        p = some(rng.randrange(50, 160))
+        q = [v for w in p for v in rng.choices(([w], some(1), [], [w, *some(1)]), (60, 1, 1, 1))[0]]
+        x, y = (passages.shingles(" ".join(t).encode()) for t in (p, q))
+        if passages.near_passages(x, y, 46, 0.8):
+            assert passages._exact_runs(x, y)[:, 2].max() >= n
+
+
+def test_what_is_held_with_a_first_is_not_written_row_by_row(spark, monkeypatch):
+    """40 near copies of a text of 600 words: the first verification wrote a row for each anchor and sampled shingle of each copy."""
+    rng = random.Random(44)
+    text = [f"w{rng.randrange(100_000)}" for _ in range(600)]
+    texts = [" ".join(text[:k] + ["edited"] + text[k + 1 :]) for k in rng.sample(range(600), 40)]
+    rows = []
+
+    def staged(df, label):
+        made = stage(df, label)
+        rows.append((label, made.count()))
+        return made
+
+    stage = passages.stage
+    monkeypatch.setattr(passages, "stage", staged)
+    found = passages.repeated_passages(docs_of(spark, texts)).collect()
+    assert {r.doc_id for r in found} == set(range(40)) and len({(r.class_doc, r.class_start) for r in found}) == 1
+    assert next(n for label, n in rows if label == "passage-found") < 200 * 40
+
+
+def test_runs_of_one_word_meet_behind_a_shorter_one(spark):
+    """A run of one word that is too short to be a passage does not stand between two that are long enough."""
+    rng = random.Random(45)
+    some = lambda n: " ".join(f"w{rng.randrange(100_000)}" for _ in range(n))
+    texts = []
+    for k in range(30):
+        texts += [f"{some(50)} {' '.join([f'again{k}'] * n)} {some(50)}" for n in (40, 80, 90)]
+    found = {r.doc_id for r in passages.repeated_passages(docs_of(spark, texts)).collect()}
+    assert found == {k for k in range(90) if k % 3}
+
+
 # --- secrets
 
 
