@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.window import Window
 
-from .vectors import dot, norm
+from .nearest import nearest
+from .vectors import norm, query_blocks, ranked
 
 #: Rows that the centroids are fitted on at most, and cells at most: with 3,072 numbers a vector, 250 MB on the driver and 13 MB in a task.
 SAMPLE, MOST_CELLS, ROUNDS = 20_000, 1024, 8
@@ -71,14 +71,14 @@ def in_cells(df: DataFrame, vec_col: str, centroids: np.ndarray, probes: int = 1
 def cell_neighbours(queries: DataFrame, index: DataFrame, centroids: np.ndarray, id_col: str, vec_col: str, k: int, probes: int) -> DataFrame:
     """(query, id, score, rank): the ``k`` nearest by cosine among the rows of ``index`` (:func:`in_cells`) in the query's ``probes`` cells.
 
-    Both sides meet on the cell, in a join that Spark may split where a cell is full; scores are exact. For all rows use
+    A task multiplies a block of queries with its rows of each cell; scores are exact. For all rows use
     :func:`stelae.operators.vectors.neighbours`, which this equals where all cells are probed.
     """
-    asked = in_cells(queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("_q")), "_q", centroids, probes).withColumn("_qn", norm(F.col("_q")))
-    met = index.select("cell", id_col, vec_col, norm(F.col(vec_col)).alias("_n")).join(asked, "cell").where(F.col("query") != F.col(id_col))
-    scored = met.select("query", id_col, (dot(F.col(vec_col), F.col("_q")) / (F.col("_n") * F.col("_qn"))).alias("score"))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    rows, found = index.select(id_col, vec_col, "cell"), None
+    for block in query_blocks(queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("_q"))):
+        best = nearest(rows, block, k, centroids=centroids, probes=probes)
+        found = best if found is None else found.unionByName(best)
+    return ranked(found, id_col, k)
 
 
 def recall(found: DataFrame, exact: DataFrame, id_col: str) -> DataFrame:
