@@ -164,5 +164,5 @@ def structural_neighbours(spark, d):
     from stelae.operators.vectors import neighbours
 
     p = table(spark, d, "supplier").select("s_suppkey", O.parse(O.tokens(F.concat(F.when(F.col("s_suppkey") % 2 == 0, "mi ").otherwise(""), "s_name", F.lit(" arnθal")))).alias("r"))
-    v = O.bundle(p, "s_suppkey", "r").select("s_suppkey", "structure")
-    return neighbours(v.where("s_suppkey % 50 = 0"), v, "s_suppkey", "structure", 5)
+    asked, v = (O.bundle(x, "s_suppkey", "r", wanted=("structure",)) for x in (p.where("s_suppkey % 50 = 0"), p))
+    return neighbours(asked, v, "s_suppkey", "structure", 5)
