@@ -71,11 +71,13 @@ def named_edges(relations: DataFrame, names: DataFrame, source: str, target: str
     return relations.join(a, source).join(b, target, "left")
 
 
-def numbered(df: DataFrame, order: str, prefix: str = "P", digits: int = 5) -> DataFrame:
-    """``df`` with ids ``P00000``... in order: rows are ranged by ``order``, and a rank within each range adds to the ranges before."""
+def numbered(df: DataFrame, order: str, prefix: str = "P", digits: int = 5, cut: bool = False) -> DataFrame:
+    """``df`` with ids ``P00000``... in order: rows are ranged by ``order``, and a rank within each range adds to the ranges before. Numbers of
+    more digits stay whole; with ``cut`` they keep their first ``digits``, as SQL's lpad has it, so ids repeat."""
     ranked = running_sum(df, [], [order], F.lit(1), "_r")
     number = (F.col("_r") - 1).cast("string")
-    made = F.concat(F.lit(prefix), F.when(F.length(number) < digits, F.lpad(number, digits, "0")).otherwise(number))
+    padded = F.lpad(number, digits, "0")
+    made = F.concat(F.lit(prefix), padded if cut else F.when(F.length(number) < digits, padded).otherwise(number))
     return ranked.withColumn("person_id", made).drop("_r")
 
 

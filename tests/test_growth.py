@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from stelae.operators import evaluation, roles, vectors
+from stelae.operators import evaluation, graph, roles, spatial, vectors
 
 
 def plan(df) -> str:
@@ -66,3 +66,22 @@ def test_bundles_have_the_atoms_that_expressions_give(spark):
     atoms = {k: roles.signs_of(k) for k in ("role EGO", "role GENTILICIUM", "word mi", "word spurinas", "place 0", "place 1")}
     assert row.content == (atoms["role EGO"] * atoms["word mi"] + atoms["role GENTILICIUM"] * atoms["word spurinas"]).tolist()
     assert row.structure == (atoms["role EGO"] * atoms["place 0"] + atoms["role GENTILICIUM"] * atoms["place 1"]).tolist()
+
+
+def test_numbers_of_more_digits_are_whole_or_cut_as_sql_has_them(spark):
+    df = spark.range(101)
+    got = {r.id: r.person_id for r in graph.numbered(df, "id", digits=2, cut=True).collect()}
+    assert got[7] == "P07" and got[99] == "P99" and got[100] == "P10"
+    assert {r.id: r.person_id for r in graph.numbered(df, "id", digits=2).collect()}[100] == "P100"
+
+
+def test_numbered_persons_equal_sql_beyond_five_digits(spark, tmp_path):
+    import duckdb
+
+    from stelae.plans import catalogue
+
+    spark.range(100_200).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    want = dict(con.execute(catalogue.ORACLE_SQL["numbered_persons"]).fetchall())
+    assert {r.c_custkey: r.person_id for r in catalogue.QUERIES["numbered_persons"](spark, str(tmp_path)).collect()} == want
