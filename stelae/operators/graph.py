@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import fixed, running_sum
@@ -89,10 +91,53 @@ def parent_links(roles: DataFrame, person: str, gens: str, name: str, patronymic
 
 
 def entity_pairs(df: DataFrame, block: str, id_col: str, name: str, gender: str, least: float, semantic: float = 0.5, place: float = 1.0) -> DataFrame:
-    """(a, b, score), a < b, of one block: 0.4 name + 0.4 semantic + 0.2 place; known and different genders veto the name part."""
-    left = df.select(block, F.col(id_col).alias("a"), F.col(name).alias("_na"), F.col(gender).alias("_ga"))
-    right = df.select(block, F.col(id_col).alias("b"), F.col(name).alias("_nb"), F.col(gender).alias("_gb"))
-    alike = 1 - F.levenshtein("_na", "_nb") / F.greatest(F.length("_na"), F.length("_nb"), F.lit(1))
+    """(a, b, score), a < b, of one block: 0.4 name + 0.4 semantic + 0.2 place; known and different genders veto the name part.
+
+    Where a pair needs names alike to pass, only such names meet: equal ones, and those of one edit on what is left without a letter, each pair
+    on one key; where more edits pass, names first meet by parts (:func:`within_edits`). Where all pairs pass, all are made.
+    """
+    from .edits import within_edits
+
     veto = F.col("_ga").isNotNull() & F.col("_gb").isNotNull() & (F.col("_ga") != F.col("_gb"))
-    score = 0.4 * F.when(veto, 0.0).otherwise(alike) + 0.4 * semantic + 0.2 * place
-    return left.join(right, block).where("a < b").select("a", "b", score.alias("score")).where(F.col("score") > least)
+    longest = F.greatest(F.length("_na"), F.length("_nb"), F.lit(1))
+
+    def score(edits: Column) -> Column:
+        return 0.4 * F.when(veto, 0.0).otherwise(1 - edits / longest) + 0.4 * semantic + 0.2 * place
+
+    def side(id_as: str, n: str, g: str, *more: Column) -> DataFrame:
+        return df.select(F.col(block).alias("_block"), F.col(id_col).alias(id_as), F.col(name).alias(n), F.col(gender).alias(g), *more)
+
+    def passing(met: DataFrame, edits: Column) -> DataFrame:
+        return met.where("a < b").select("a", "b", score(edits).alias("score")).where(F.col("score") > least)
+
+    needed = (least - 0.4 * semantic - 0.2 * place) / 0.4  # likeness of names that a pair must exceed
+    if needed < 1e-9:
+        return passing(side("a", "_na", "_ga").join(side("b", "_nb", "_gb").hint("merge"), "_block"), F.levenshtein("_na", "_nb"))
+    size = df.agg(F.min(F.length(name)).alias("low"), F.max(F.length(name)).alias("high")).first()
+    most = math.floor((1 - needed) * max(size.high or 0, 1) + 1e-9)
+    if most > 1:
+        near = within_edits(df.select(F.col(name).alias("a")).where("a is not null").distinct(), df.select(F.col(name).alias("b")).where("b is not null").distinct(), most)
+        near = near.where(1 - F.col("edits") / F.greatest(F.length("a"), F.length("b"), F.lit(1)) > needed - 1e-9).select(F.col("a").alias("_na"), F.col("b").alias("_nb"), "edits")
+        there = df.select(F.col(block).alias("_block"), F.col(name).alias("_nb")).distinct()
+        held = df.select(F.col(block).alias("_block"), F.col(name).alias("_na")).distinct().join(near.hint("merge"), "_na").join(there.hint("merge"), ["_block", "_nb"])
+        met = side("a", "_na", "_ga").join(held.hint("merge"), ["_block", "_na"]).join(side("b", "_nb", "_gb").hint("merge"), ["_block", "_nb"])
+        return passing(met, F.col("edits"))
+
+    def keys(n: str, other: bool) -> Column:
+        """(kind, at, letters): 0 for equal names; 1 for names without the letter at a place; 2 and 3 for a longer name of a or b, less a letter."""
+        key = lambda kind, at, letters: F.struct(F.lit(kind).alias("kind"), at.alias("at"), letters.alias("letters"))
+        nowhere, places = F.lit(0), F.when(F.length(n) > 0, F.sequence(F.lit(1), F.length(n))).otherwise(F.array().cast("array<int>"))
+        without = F.transform(places, lambda i: F.concat(F.substring(F.col(n), F.lit(1), i - 1), F.substring(F.col(n), i + 1, F.length(n))))
+        made = [F.array(key(0, nowhere, F.col(n)))]
+        if most == 1:
+            made.append(F.transform(without, lambda w, i: key(1, i, w)))
+            if size.low != size.high:
+                shorter = F.transform(F.array_distinct(without), lambda w: key(3 if other else 2, nowhere, w))
+                made += [shorter, F.array(key(2 if other else 3, nowhere, F.col(n)))]
+        return F.explode(F.concat(*made)).alias("_key")
+
+    a = side("a", "_na", "_ga", keys(name, False)).where("_na is not null")
+    b = side("b", "_nb", "_gb", keys(name, True)).where("_nb is not null")
+    flat = lambda x: x.select("*", "_key.*").drop("_key")
+    met = flat(a).join(flat(b).hint("merge"), ["_block", "kind", "at", "letters"]).where((F.col("kind") != 1) | (F.col("_na") != F.col("_nb")))
+    return passing(met, F.when(F.col("kind") == 0, 0).otherwise(1))

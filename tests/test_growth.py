@@ -85,3 +85,29 @@ def test_numbered_persons_equal_sql_beyond_five_digits(spark, tmp_path):
     con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
     want = dict(con.execute(catalogue.ORACLE_SQL["numbered_persons"]).fetchall())
     assert {r.c_custkey: r.person_id for r in catalogue.QUERIES["numbered_persons"](spark, str(tmp_path)).collect()} == want
+
+
+def slow_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_entity_pairs_equal_all_pairs_without_making_them(spark):
+    rng = random.Random(2)
+    for sizes, least, meet in (((4, 4), 0.65, True), ((0, 4), 0.65, True), ((1, 9), 0.65, True), ((4, 4), 0.79, True), ((2, 3), 0.3, False)):
+        rows = [(i, i % 2, "".join(rng.choice("ab") for _ in range(rng.randint(*sizes))) if i % 17 else None, rng.choice(["m", "f", None])) for i in range(90)]
+        got = graph.entity_pairs(spark.createDataFrame(rows, "id int, k int, n string, g string"), "k", "id", "n", "g", least)
+        want = []
+        for i, k, n, g in rows:
+            for j, m, o, h in rows:
+                if k == m and i < j:
+                    veto = None not in (g, h) and g != h
+                    alike = 0.0 if veto else None if None in (n, o) else 1 - slow_edits(n, o) / max(len(n), len(o), 1)
+                    if alike is not None and 0.4 * alike + 0.4 > least:
+                        want.append((i, j, round(0.4 * alike + 0.4, 9)))
+        assert sorted((r.a, r.b, round(r.score, 9)) for r in got.collect()) == sorted(want) and want
+        assert ("levenshtein" not in plan(got)) or sizes == (1, 9) or not meet
