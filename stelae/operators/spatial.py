@@ -29,10 +29,11 @@ def within_radius(df: DataFrame, lat: float, lon: float, metres: float, lat_col:
     return df.where(box).withColumn("distance_m", F.greatest(far - slack, F.lit(0.0))).where(F.col("distance_m") <= metres)
 
 
-def spatial_join(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lon: str = "lon", prefix: str = "r_") -> DataFrame:
-    """Pairs within ``km``, with ``distance_km``, anywhere on the sphere: points in space fall in cubes as wide as the chord of
-    ``km``, the right side goes to its cube and the 26 around it, an equi-join on cubes, then the exact distance. ``right``
-    columns get ``prefix``. Poles and the date line need no care, as cubes know neither."""
+def place_pairs(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lon: str = "lon", prefix: str = "r_") -> DataFrame:
+    """(lat, lon, r_lat, r_lon, distance_km): pairs of different places within ``km``, anywhere on the sphere: points in space fall in cubes as
+    wide as the chord of ``km``, the right side goes to its cube and the 26 around it, an equi-join on cubes, then the exact distance.
+    Poles and the date line need no care, as cubes know neither. The join is by sorting: the size of the right side is known to Spark as
+    it was before it went to 27 cubes, so it would be sent whole to all."""
     wide = max(2 * EARTH_KM * math.sin(min(km / (2 * EARTH_KM), math.pi / 2)) * 1.000001, 1e-6)
 
     def cubes(y: str, x: str) -> list[Column]:
@@ -41,12 +42,32 @@ def spatial_join(left: DataFrame, right: DataFrame, km: float, lat: str = "lat",
 
     here = lambda y, x: F.struct(*[c.alias(f"c{k}") for k, c in enumerate(cubes(y, x))])
     around = F.array(*[F.struct(*[F.lit(v).alias(f"d{k}") for k, v in enumerate(d)]) for d in product((-1, 0, 1), repeat=3)])
-    a = left.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("_cube", here(lat, lon))
-    b = right.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*[F.col(c).alias(prefix + c) for c in right.columns])
+    places = lambda df: df.select(lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).distinct()
+    a = places(left).withColumn("_cube", here(lat, lon))
+    b = places(right).select(F.col(lat).alias(prefix + lat), F.col(lon).alias(prefix + lon))
     b = b.withColumn("_at", here(prefix + lat, prefix + lon)).withColumn("_by", F.explode(around))
     b = b.withColumn("_cube", F.struct(*[(F.col(f"_at.c{k}") + F.col(f"_by.d{k}")).alias(f"c{k}") for k in range(3)])).drop("_at", "_by")
     far = haversine_km(F.col(lat), F.col(lon), F.col(prefix + lat), F.col(prefix + lon))
-    return a.join(b, "_cube").withColumn("distance_km", far).where(F.col("distance_km") <= km).drop("_cube")
+    return a.join(b.hint("merge"), "_cube").withColumn("distance_km", far).where(F.col("distance_km") <= km).drop("_cube")
+
+
+def spatial_join(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lon: str = "lon", prefix: str = "r_") -> DataFrame:
+    """Pairs of rows within ``km``, with ``distance_km``: rows of the pairs of places (:func:`place_pairs`), so a distance is worked out once
+    however many rows stand at its ends. ``right`` columns get ``prefix``."""
+    met = left.join(place_pairs(left, right, km, lat, lon, prefix).hint("merge"), [lat, lon])
+    other = right.select(*[F.col(c).alias(prefix + c) for c in right.columns])
+    out = met.join(other.hint("merge"), [prefix + lat, prefix + lon])
+    return out.select(*left.columns, *other.columns, "distance_km")
+
+
+def nearest_within(left: DataFrame, right: DataFrame, right_id: str, km: float, k: int, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """``left`` with ``right_id`` and ``distance_km`` of the ``k`` nearest rows of ``right`` within ``km``, of equal distances the lesser ids. They
+    are found for each place of ``left`` once, and of a place of ``right`` no more than its ``k`` least ids can be among them."""
+    from .search import first_per
+
+    few = first_per(right.select(F.col(right_id).alias("_id"), F.col(lat).alias("r_" + lat), F.col(lon).alias("r_" + lon)), ["r_" + lat, "r_" + lon], [F.col("_id")], k)
+    met = place_pairs(left, right, km, lat, lon).join(few.hint("merge"), ["r_" + lat, "r_" + lon]).select(lat, lon, F.col("_id").alias(right_id), "distance_km")
+    return left.join(first_per(met, [lat, lon], [F.col("distance_km"), F.col(right_id)], k).hint("merge"), [lat, lon])
 
 
 def place_and_time_score(distance_km: Column, years: Column) -> Column:

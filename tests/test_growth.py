@@ -111,3 +111,20 @@ def test_entity_pairs_equal_all_pairs_without_making_them(spark):
                         want.append((i, j, round(0.4 * alike + 0.4, 9)))
         assert sorted((r.a, r.b, round(r.score, 9)) for r in got.collect()) == sorted(want) and want
         assert ("levenshtein" not in plan(got)) or sizes == (1, 9) or not meet
+
+
+def test_rows_of_a_place_share_its_distances(spark):
+    rng = random.Random(4)
+    spots = [(40 + rng.random(), 9 + rng.random()) for _ in range(12)]
+    left = spark.createDataFrame([(i, *spots[i % 12]) for i in range(30)], "s int, lat double, lon double")
+    right = spark.createDataFrame([(i, *spots[i % 7]) for i in range(40)] + [(99, None, 1.0)], "c int, lat double, lon double")
+    pairs = spatial.place_pairs(left, right, 40.0)
+    assert "Broadcast" not in plan(pairs) and pairs.count() <= 84
+    joined = spatial.spatial_join(left, right, 40.0)
+    assert "Broadcast" not in plan(joined)
+    rows = joined.select("s", F.col("r_c").alias("c"), "distance_km").collect()
+    want = []
+    for s in range(30):
+        want += [(s, c, d) for d, c in sorted((r.distance_km, r.c) for r in rows if r.s == s)[:3]]
+    got = spatial.nearest_within(left, right, "c", 40.0, 3)
+    assert sorted((r.s, r.c, r.distance_km) for r in got.collect()) == sorted(want)
