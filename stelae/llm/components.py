@@ -11,8 +11,9 @@ from .common import stage, unstage
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
-    # least is a table of its own, so both sides of the join are plain exchanges that AQE may split where a node is hot
-    out = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # least is a table of its own, so both sides of the join are plain exchanges that AQE may split where a node is hot; joins are by sorting,
+    # as a table's size in files is less than in the driver's memory
+    out = both.join(least.hint("merge"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     done = stage(out.where("u <> v").distinct(), "cc-large")
     unstage(least)
     return done
@@ -21,7 +22,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = stage(down.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
-    out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    out = down.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     done = stage(out.where("u <> v").distinct(), "cc-small")
     unstage(least)
     return done

@@ -157,7 +157,8 @@ def links(nodes: DataFrame, most: int = MOST_BITS, block: int = BLOCK) -> DataFr
     as_guest = F.transform(every, lambda i: F.struct(i.alias("a"), own.alias("b")))
     as_resident = F.transform(every, lambda i: F.struct(own.alias("a"), i.alias("b")))
     places = F.when(F.col("k") == 1, F.array(here)).when(F.col("resident"), F.array_distinct(F.concat(as_guest, as_resident))).otherwise(as_guest)
-    dealt = met.join(busy, "anchor").select("anchor", "fp", F.explode(places).alias("p"))
+    # by sorting, as Spark knows the size of ``met`` before the 33 rows that a fingerprint becomes, and would send ``busy`` whole
+    dealt = met.join(busy.hint("merge"), "anchor").select("anchor", "fp", F.explode(places).alias("p"))
     dealt = dealt.select("anchor", F.col("p.a").alias("a"), F.col("p.b").alias("b"), "fp")
     dealt = dealt.repartition("anchor", "a", "b").sortWithinPartitions("anchor", "a", "b")
     return dealt.mapInArrow(_compare(most), "u bigint, v bigint")
@@ -167,7 +168,7 @@ def component_of(marked: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """From rows with ``fp``: (fp, root), each fingerprint once; equal roots are one component."""
     nodes = stage(marked.select("fp").distinct(), "simhash-nodes")
     roots = components(links(nodes, most))
-    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, most: int = MOST_BITS) -> DataFrame:
@@ -180,9 +181,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = stage(fingerprints(docs, id_col, text_col, words_per_shingle), "simhash")
     nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     roots = components(links(nodes, most))
-    of = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    of = nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stage(of.join(least, "root").select("fp", "component_id"), "simhash-components")
+    named = stage(of.join(least.hint("merge"), "root").select("fp", "component_id"), "simhash-components")
     unstage(roots)
     unstage(nodes)
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")

@@ -128,3 +128,15 @@ def test_rows_of_a_place_share_its_distances(spark):
         want += [(s, c, d) for d, c in sorted((r.distance_km, r.c) for r in rows if r.s == s)[:3]]
     got = spatial.nearest_within(left, right, "c", 40.0, 3)
     assert sorted((r.s, r.c, r.distance_km) for r in got.collect()) == sorted(want)
+
+
+def test_near_copies_send_no_table_that_grows(spark):
+    from stelae.llm import components, simhash
+
+    docs = spark.createDataFrame([(i, f"some words that are here {i // 2} and more") for i in range(40)], "doc_id bigint, text string")
+    marked = simhash.fingerprints(docs)
+    assert "Broadcast" not in plan(simhash.links(marked.select("fp").distinct()))
+    assert "Broadcast" not in plan(simhash.near_duplicates(docs))
+    assert "Broadcast" not in plan(simhash.component_of(marked))
+    links = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "u bigint, v bigint")
+    assert sorted(tuple(r) for r in components.components(links).collect()) == [(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)]
