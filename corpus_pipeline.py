@@ -35,7 +35,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     marked = stage(map_rows(named, marks, schema), "near-copies")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("x")
-    chosen = marked.join(simhash.component_of(marked), "fp").groupBy("root").agg(first)
+    chosen = marked.join(simhash.component_of(marked).hint("merge"), "fp").groupBy("root").agg(first)
     chosen = stage(chosen.select("root", F.col("x.doc_id").alias("_id"), F.col("x.h").alias("_h")), "near-copies-chosen")
     packed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.struct(*docs.columns).alias("row"))  # no column of docs stands beside ours
     # rows meet on one key, so the aggregation that makes equal rows one needs no shuffle of its own; the rest is compared beside it
