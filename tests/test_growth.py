@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from stelae.operators import evaluation, graph, roles, spatial, vectors
+from stelae.operators import aggregates, evaluation, graph, joins, roles, spatial, vectors
 
 
 def plan(df) -> str:
@@ -140,3 +140,27 @@ def test_near_copies_send_no_table_that_grows(spark):
     assert "Broadcast" not in plan(simhash.component_of(marked))
     links = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "u bigint, v bigint")
     assert sorted(tuple(r) for r in components.components(links).collect()) == [(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)]
+
+
+def test_ngrams_equal_sets_of_substrings(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abé\U0001f600 \n\x0b") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    wide = ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(3000)), "".join(chr(rng.randint(0x20000, 0x2A6DF)) for _ in range(3000))]
+    for some in (texts, wide, [], ["ab"]):
+        want = {}
+        for t in some:
+            for g in {t[i : i + 5] for i in range(len(t) - 4)}:
+                if not any(c in " \t\n\f\r" for c in g):
+                    want[g] = want.get(g, 0) + 1
+        grams, documents = aggregates.ngram_counts(some, 5)
+        assert dict(zip(grams, documents.tolist())) == want and len(grams) == len(want)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(3)
+    got = aggregates.ngram_gold(df, "id", "t", (2, 4), (3, 6), 12, 4)
+    want = {}
+    for i, t in enumerate(texts):
+        for n in (2, 3, 4):
+            for g in {t[j : j + n] for j in range(len(t) - n + 1)} if len(t) >= 4 else ():
+                if not any(c in " \t\n\f\r" for c in g):
+                    want.setdefault(g, []).append(i)
+    best = sorted((-len(g), len(ids), g.encode(), g) for g, ids in want.items() if 3 <= len(ids) <= 6)[:12]
+    assert {(r.gram, r.documents, tuple(r.ids)) for r in got.collect()} == {(g, n, tuple(want[g][:4])) for _, n, _, g in best} and best
