@@ -122,10 +122,34 @@ def earlier_source_wins(sources: list[DataFrame], key: str) -> DataFrame:
 
 
 def word_overlap(left: DataFrame, right: DataFrame, id_left: str, id_right: str, words: str, least: int = 2, long_word: int = 6) -> DataFrame:
-    """(id_left, id_right, shared): ``least`` shared words of over 3 letters, or one of ``long_word`` letters; the first match per left row."""
-    a = left.select(id_left, F.explode(F.array_distinct(words)).alias("w")).where(F.length("w") > 3)
-    b = right.select(id_right, F.explode(F.array_distinct(words)).alias("w")).where(F.length("w") > 3)
-    met = a.join(b, "w").groupBy(id_left, id_right).agg(F.count("*").alias("shared"), F.max(F.length("w")).alias("longest"))
-    met = met.where((F.col("shared") >= least) | (F.col("longest") >= long_word))
-    w = Window.partitionBy(id_left).orderBy(id_right)
-    return met.withColumn("n", F.row_number().over(w)).where("n = 1").select(id_left, id_right, "shared")
+    """(id_left, id_right, shared): ``least`` shared words of over 3 letters, or one of ``long_word`` letters; the first match per left row.
+
+    A match is a long word or (for ``least`` of 2) two short ones that both rows have, so the first row of each such key is all that is
+    asked of ``right``; for a greater ``least`` all rows that share a word meet.
+    """
+
+    def held(df: DataFrame, key: str, name: str) -> DataFrame:
+        each = df.select(key, F.explode(words).alias("w")).where(F.length("w") > 3)
+        return each.groupBy(key).agg(F.array_sort(F.collect_set("w")).alias(name))
+
+    a, b = held(left, id_left, "_a"), held(right, id_right, "_b")
+    if least > 2:
+        met = a.select(id_left, F.explode("_a").alias("w")).join(b.select(id_right, F.explode("_b").alias("w")), "w")
+        met = met.groupBy(id_left, id_right).agg(F.count("*").alias("shared"), F.max(F.length("w")).alias("longest"))
+        met = met.where((F.col("shared") >= least) | (F.col("longest") >= long_word))
+        w = Window.partitionBy(id_left).orderBy(id_right)
+        return met.withColumn("n", F.row_number().over(w)).where("n = 1").select(id_left, id_right, "shared")
+
+    def keys(name: str) -> Column:
+        alone = F.filter(name, lambda x: F.length(x) >= long_word) if least == 2 else F.col(name)
+        out = F.transform(alone, lambda x: F.struct(x.alias("x"), F.lit("").alias("y")))
+        if least < 2:
+            return out
+        short = F.filter(name, lambda x: F.length(x) < long_word)
+        pairs = F.transform(short, lambda x, i: F.transform(F.slice(short, i + 2, F.size(short)), lambda y: F.struct(x.alias("x"), y.alias("y"))))
+        return F.concat(out, F.flatten(pairs))
+
+    first = b.select(id_right, F.explode(keys("_b")).alias("_key")).groupBy("_key").agg(F.min(id_right).alias(id_right))
+    best = a.select(id_left, F.explode(keys("_a")).alias("_key")).join(first.hint("merge"), "_key").groupBy(id_left).agg(F.min(id_right).alias(id_right))
+    met = best.join(a.hint("merge"), id_left).join(b.hint("merge"), id_right)
+    return met.select(id_left, id_right, F.size(F.array_intersect("_a", "_b")).cast("bigint").alias("shared"))

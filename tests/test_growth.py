@@ -142,6 +142,25 @@ def test_near_copies_send_no_table_that_grows(spark):
     assert sorted(tuple(r) for r in components.components(links).collect()) == [(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)]
 
 
+def test_first_word_matches_equal_all_pairs(spark):
+    rng = random.Random(6)
+    words = ["abc", "abcd", "bcde", "cdef", "defg", "efghi", "longer", "longest", "dcba"]
+    rows = [(i, [rng.choice(words[: 5 + i % 5]) for _ in range(rng.randint(0, 5))]) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, w array<string>")
+    left, right = df.where("id % 5 = 0").withColumnRenamed("id", "a"), df.where("id % 5 <> 0").withColumnRenamed("id", "b")
+    for least in (1, 2, 3):
+        want = []
+        for a, v in rows:
+            for b, w in rows if a % 5 == 0 else []:
+                both = {x for x in set(v) & set(w) if len(x) > 3}
+                if b % 5 and (len(both) >= least or any(len(x) >= 6 for x in both)):
+                    want.append((a, b, len(both)))
+                    break
+        found = joins.word_overlap(left, right, "a", "b", "w", least)
+        assert sorted(tuple(r) for r in found.collect()) == sorted(want) and want
+        assert least > 2 or "Window" not in plan(found)
+
+
 def test_ngrams_equal_sets_of_substrings(spark):
     rng = random.Random(8)
     texts = ["".join(rng.choice("abé\U0001f600 \n\x0b") for _ in range(rng.randint(0, 60))) for _ in range(40)]
