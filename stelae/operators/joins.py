@@ -20,11 +20,15 @@ def join_on_either(left: DataFrame, right: DataFrame, left_key: str, right_keys:
 
 
 def shared_identifiers(df: DataFrame, id_col: str, identifiers: list[str]) -> DataFrame:
-    """(id, mate): rows that hold any identifier value of the row ``id``, whichever column holds it; blank values never match."""
-    held = df.select(id_col, F.explode(F.array(*[F.col(c).cast("string") for c in identifiers])).alias("value"))
-    held = held.where(F.trim("value") != "").distinct()
-    mates = held.withColumnRenamed(id_col, "mate")
-    return held.join(mates, "value").where(F.col(id_col) != F.col("mate")).select(id_col, "mate").distinct()
+    """(id, mate): rows that hold any identifier value of the row ``id``, whichever column holds it; blank values never match. A pair is made
+    at the least value that both hold, so pairs, which may be many more than rows, are neither kept nor dealt out to find repeats."""
+    held = df.select(id_col, F.explode(F.array(*[F.col(c).cast("string") for c in identifiers])).alias("value")).where(F.trim("value") != "")
+    held = held.groupBy(id_col).agg(F.array_sort(F.collect_set("value")).alias("_held"))
+    rows = held.select(id_col, "_held", F.posexplode("_held").alias("_at", "value"))
+    mates = held.select(F.col(id_col).alias("mate"), F.col("_held").alias("_theirs"), F.explode("_held").alias("value"))
+    at = F.col("_at")
+    before = F.when(at == 0, False).when(at == 1, F.array_contains("_theirs", F.element_at("_held", 1))).otherwise(F.arrays_overlap(F.slice("_held", 1, at), "_theirs"))
+    return rows.join(mates.hint("merge"), "value").where((F.col(id_col) != F.col("mate")) & ~before).select(id_col, "mate")
 
 
 def identifier_classes(df: DataFrame, id_col: str, identifiers: list[str]) -> DataFrame:

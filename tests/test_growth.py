@@ -161,6 +161,18 @@ def test_first_word_matches_equal_all_pairs(spark):
         assert least > 2 or "Window" not in plan(found)
 
 
+def test_pairs_of_shared_identifiers_are_made_once(spark):
+    rng = random.Random(7)
+    rows = [(i % 50, *[rng.choice(["x", "y", "z", "", " ", None, str(i % 6)]) for _ in range(3)]) for i in range(60)]
+    found = joins.shared_identifiers(spark.createDataFrame(rows, "id int, a string, b string, c string"), "id", ["a", "b", "c"])
+    held = {}
+    for i, *vs in rows:
+        held.setdefault(i, set()).update(v for v in vs if v and v.strip())
+    assert sorted(tuple(r) for r in found.collect()) == sorted((i, j) for i in held for j in held if i != j and held[i] & held[j])
+    last = plan(found).split("SortMergeJoin")[0]
+    assert "Aggregate" not in last and "Broadcast" not in plan(found)
+
+
 def test_ngrams_equal_sets_of_substrings(spark):
     rng = random.Random(8)
     texts = ["".join(rng.choice("abé\U0001f600 \n\x0b") for _ in range(rng.randint(0, 60))) for _ in range(40)]
