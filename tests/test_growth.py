@@ -195,3 +195,20 @@ def test_ngrams_equal_sets_of_substrings(spark):
                     want.setdefault(g, []).append(i)
     best = sorted((-len(g), len(ids), g.encode(), g) for g, ids in want.items() if 3 <= len(ids) <= 6)[:12]
     assert {(r.gram, r.documents, tuple(r.ids)) for r in got.collect()} == {(g, n, tuple(want[g][:4])) for _, n, _, g in best} and best
+
+
+def test_overlaps_of_groups_are_counted_by_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(rng.randint(0, 40), rng.choice(["a", "b", "c", "d", "e", None])) for _ in range(120)] + [(None, "a")]
+    held = {}
+    for g, m in rows:
+        if g is not None and m is not None:
+            held.setdefault(g, set()).add(m)
+    want = sorted((a, b, len(held[a] & held[b])) for a in held for b in held if a < b and held[a] & held[b])
+    df = spark.createDataFrame(rows, "g bigint, m string")
+    for block, pairs in ((65_536, 1 << 22), (7, 30), (1, 1)):
+        monkeypatch.setattr(aggregates, "GROUP_BLOCK", block)
+        monkeypatch.setattr(aggregates, "PAIRS", pairs)
+        found = aggregates.overlap_of_groups(df, "g", "m")
+        assert sorted(tuple(r) for r in found.collect()) == want
+        assert "Join" not in plan(found)
